@@ -29,7 +29,8 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
     rows = docs.select(F.col(id_col).alias("doc_id"), common.text_of(text_col).alias("text")).withColumn("digest", F.sha2("text", 256))
     salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     local = salted.groupBy("digest", "text", "salt").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return local.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    met = local.repartition("digest")  # one exchange serves the grouping by (digest, text) and a window over digest
+    return met.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
