@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact_dedup, sharding, url_filter
+from . import bpe, common, exact_dedup, ngram_join, sharding, url_filter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -22,6 +22,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(common.documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(common.documents(spark, sf_dir))
 
@@ -30,6 +34,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_filter": op7_url_filter,
+    "op9_ngram_join": op9_ngram_join,
     "op10_sharding": op10_sharding,
 }
 
