@@ -116,10 +116,10 @@ def verified(docs: DataFrame, classes: DataFrame, threshold: float, id_col: str,
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     parts = parts.select("pivot", "rep", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), common.text_of(text_col).alias("text"))
-    texts = texts.join(spread, "rep", "left_semi").select("rep", "text")
-    sets = texts.mapInArrow(_sets, "rep long, shingles array<long>").join(spread, "rep")
+    texts = texts.join(spread.hint("merge"), "rep", "left_semi").select("rep", "text")  # the same plan at every size
+    sets = texts.mapInArrow(_sets, "rep long, shingles array<long>").join(spread.hint("merge"), "rep")
     sets = sets.dropDuplicates(["rep"])
-    blocks = parts.join(sets, "rep").groupBy("pivot", "low", "high")
+    blocks = parts.join(sets.hint("merge"), "rep").groupBy("pivot", "low", "high")
     return common.written(blocks.applyInPandas(verifier(threshold), "a long, b long, links long"), "join-links")
 
 
