@@ -35,7 +35,7 @@ BLANKS = regex.compile(r"\s+")
 #: Characters that str.split() parts at and the pattern's white space doesn't, or the other way round.
 ODD_BLANKS = re.compile("[\x1c-\x1f᠎​]")
 END = "</w>"
-#: Entries of a worker's cache of encoded chunks; a full cache is emptied. Bounds memory, not results.
+#: Entries of the newer half of a worker's cache of encoded chunks. Bounds memory, not results.
 CACHE = 400_000
 
 
@@ -46,6 +46,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Cached(dict):
+    """Value of a key, made on first use. A full cache becomes the older half, which is asked before making anew."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) < 64:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class WordBPE:
     """Encoder and decoder of one tokenizer file."""
 
@@ -58,8 +77,8 @@ class WordBPE:
         self.string = {i: s for s, i in (self.vocab | self.special).items()}
         self.letters = byte_letters()
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.angled = all("<" in s for s in self.special)
+        self.words = _Cached(self.merge)
 
     @classmethod
     def load(cls, path: str) -> WordBPE:
@@ -91,28 +110,20 @@ class WordBPE:
                 heapq.heappush(queue, (r, left, symbols[left], a + b))
         return tuple(self.vocab[s] for s in symbols if s is not None and s in self.vocab)
 
-    def word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            ids = self.merge(word)
-            if len(word) < 64:
-                self.words[word] = ids
-        return ids
-
     def plain(self, text: str) -> tuple[int, ...]:
         """Ids of a text without special tokens."""
+        if text.isalpha() and "Σ" not in text and unicodedata.is_normalized("NFC", text) and (low := text.lower()).isalpha():
+            return self.words[low]  # one word: the usual case
         if text.isascii():
             found = ASCII_WORDS.findall(text.lower())
         else:
             text = BLANKS.sub(" ", unicodedata.normalize("NFC", text))
             found = WORDS.findall("".join(map(str.lower, text)))
-        return self.word(found[0]) if len(found) == 1 else tuple(i for w in found for i in self.word(w))
+        return tuple([i for w in found for i in self.words[w]])
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of any text, special tokens found first."""
-        if self.specials is None or not any(s in text for s in self.special):
+        if self.specials is None or "<" not in text and self.angled or not any(s in text for s in self.special):
             return self.plain(text)
         parts = self.specials.split(text)
         return tuple(i for k, p in enumerate(parts) for i in ((self.special[p],) if k % 2 else self.plain(p)))
@@ -129,22 +140,6 @@ class WordBPE:
         return " ".join([self.string[i] for i in ids])
 
 
-class _Cached(dict):
-    """value of a chunk, made on first use; emptied when full."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, chunk: str):
-        if len(self) >= CACHE:
-            self.clear()
-        value = self.make(chunk)
-        if len(chunk) < 64:
-            self[chunk] = value
-        return value
-
-
 _worker: dict[tuple[str, str], tuple[WordBPE, _Cached]] = {}
 
 
