@@ -5,11 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact_dedup, fingerprints, ngram_join, packing, sharding, url_filter
+from . import bpe, common, exact_dedup, fingerprints, ngram_join, packing, quality, sharding, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(common.documents(spark, sf_dir))
 
@@ -18,6 +23,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.documents(spark, sf_dir), TOKENIZER)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(common.documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(common.documents(spark, sf_dir))
 
@@ -39,8 +48,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_fingerprints": op2_fingerprints,
     "op3_bpe": op3_bpe,
+    "op4_quality": op4_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
