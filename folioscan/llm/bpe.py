@@ -110,16 +110,19 @@ class WordBPE:
                 heapq.heappush(queue, (r, left, symbols[left], a + b))
         return tuple(self.vocab[s] for s in symbols if s is not None and s in self.vocab)
 
+    def split(self, text: str) -> list[str]:
+        """Normalised words of a text without special tokens."""
+        head = text[:-1] if text[-1:] in (".", ",") else text
+        if head.isalpha() and "Σ" not in head and (head.isascii() or unicodedata.is_normalized("NFC", head)) and (low := head.lower()).isalpha():
+            return [low] if head is text else [low, text[-1]]  # the usual case: one word, perhaps with a stop
+        if text.isascii():
+            return ASCII_WORDS.findall(text.lower())
+        return WORDS.findall("".join(map(str.lower, BLANKS.sub(" ", unicodedata.normalize("NFC", text)))))
+
     def plain(self, text: str) -> tuple[int, ...]:
         """Ids of a text without special tokens."""
-        if text.isalpha() and "Σ" not in text and unicodedata.is_normalized("NFC", text) and (low := text.lower()).isalpha():
-            return self.words[low]  # one word: the usual case
-        if text.isascii():
-            found = ASCII_WORDS.findall(text.lower())
-        else:
-            text = BLANKS.sub(" ", unicodedata.normalize("NFC", text))
-            found = WORDS.findall("".join(map(str.lower, text)))
-        return tuple([i for w in found for i in self.words[w]])
+        found = self.split(text)
+        return self.words[found[0]] if len(found) == 1 else tuple([i for w in found for i in self.words[w]])
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """Ids of any text, special tokens found first."""

@@ -32,18 +32,30 @@ GAP = 5e-4
 
 
 class LibraryBPE(bpe.WordBPE):
-    """Words merged by the tokenizers library's model; the rest as in bpe."""
+    """Words merged by the tokenizers library's model, ids as little-endian unsigned 32-bit bytes; the rest as in bpe."""
 
     @classmethod
     def load(cls, path: str) -> LibraryBPE:
         from tokenizers import Tokenizer
 
         out = super().load(path)
-        out.model = Tokenizer.from_file(path).model
+        out.tokenize = Tokenizer.from_file(path).model.tokenize
         return out
 
-    def merge(self, word: str) -> tuple[int, ...]:
-        return tuple(t.id for t in self.model.tokenize("".join([self.letters[b] for b in word.encode("utf-8")])))
+    def merge(self, word: str) -> bytes:
+        """Printable ASCII stands for itself among the byte letters."""
+        letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode("utf-8")])
+        ids = [t.id for t in self.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def plain(self, text: str) -> bytes:
+        return b"".join([self.words[w] for w in self.split(text)])
+
+    def chunk(self, text: str) -> bytes:
+        if "<" not in text and self.angled:
+            return self.plain(text)
+        parts = self.specials.split(text) if self.specials else [text]
+        return b"".join([struct.pack("<I", self.special[p]) if k % 2 else self.plain(p) for k, p in enumerate(parts)])
 
 
 _worker: dict[str, tuple[LibraryBPE, bpe._Cached]] = {}
@@ -53,13 +65,13 @@ def cutter(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _worker:
             own = LibraryBPE.load(tokenizer)
-            _worker[tokenizer] = (own, bpe._Cached(lambda chunk: struct.pack(f"<{len(ids := own.chunk(chunk))}I", *ids)))
+            _worker[tokenizer] = (own, bpe._Cached(own.chunk))
         own, cache = _worker[tokenizer]
-        end = np.array([end_id], "<u4").tobytes()
+        end, value = struct.pack("<I", end_id), cache.__getitem__
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = b"".join([cache[p] for p in own.pieces(text)]) + end
+                ids = b"".join(map(value, own.pieces(text))) + end
                 n = len(ids) // 4
                 rows += [(doc_id, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)]), n) for at in range(0, n, capacity)]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
@@ -89,31 +101,49 @@ def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, n
     return float(best[capacity]), pattern
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots, element-wise operations only: a driver's BLAS threads may be at odds with Spark's."""
+    n = len(matrix)
+    both = np.concatenate([matrix, np.eye(n)], 1)
+    for k in range(n):
+        best = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, best]] = both[[best, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, n:]
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(1)
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, most: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as columns, times): covers ``demand`` exactly in the fewest sequences, fractions allowed."""
     m = len(sizes)
     columns = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(columns))
     demand = demand + 1e-7 * np.arange(1, m + 1)  # ties in the ratio test, else pivots may cycle
-    times = inverse @ demand
+    times = _times(inverse, demand)
     for step in range(most):
         duals = inverse.sum(0)
         value, pattern = price(duals, sizes, capacity)
         if value <= 1 + 1e-9 or times.sum() * (1 - 1 / value) <= gap * times.sum():
             break
-        move = inverse @ pattern
+        move = _times(inverse, pattern)
         up = move > 1e-10
         ratio = np.full(m, np.inf)
         ratio[up] = np.maximum(times[up], 0) / move[up]
         out = int(ratio.argmin())
         columns[:, out] = pattern
         if step % 100 == 99:
-            inverse = np.linalg.inv(columns)
+            inverse = _inverse(columns)
         else:
             row = inverse[out] / move[out]
             inverse -= np.outer(move, row)
             inverse[out] = row
-        times = inverse @ demand
+        times = _times(inverse, demand)
     return columns, np.maximum(times, 0)
 
 

@@ -180,13 +180,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
     patterns = np.array([["-01".index(v) - 1 for v in r.votes] for r in counted])
     prior, accuracy, posterior = estimate(patterns, np.array([r.n for r in counted], float))
     by_votes = {r.votes: p for r, p in zip(counted, posterior, strict=True)}
-    seen = sample_of(rows, sample).mapInArrow(_featured, "votes string, features binary").filter(F.col("votes") != "-" * len(LABELLERS)).collect()
-    if not seen:
-        return {"weights": np.zeros(WIDTH + 1), "accuracy": accuracy, "prior": prior}
-    x = np.stack([np.frombuffer(r.features, np.float32) for r in seen])
-    y = np.array([by_votes.get(r.votes, prior) for r in seen])
-    order = np.lexsort((y, x.sum(1)))
-    return {"weights": train(x[order], y[order]), "accuracy": accuracy, "prior": prior}
+    seen = sample_of(rows, sample).mapInArrow(_featured, "votes string, features binary").filter(F.col("votes") != "-" * len(LABELLERS))
+
+    def fitted(batches):
+        """One task over at most ``sample`` rows: Spark gives its workers one BLAS thread."""
+        got = sorted((r["features"], by_votes.get(r["votes"], prior)) for batch in batches for r in batch.to_pylist())
+        x = np.stack([np.frombuffer(f, np.float32) for f, _ in got]) if got else np.zeros((0, WIDTH), np.float32)
+        w = train(x, np.array([y for _, y in got])) if got else np.zeros(WIDTH + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], ["weights"])
+
+    weights = seen.coalesce(1).mapInArrow(fitted, "weights array<double>").first()
+    return {"weights": np.array(weights[0]) if weights else np.zeros(WIDTH + 1), "accuracy": accuracy, "prior": prior}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
