@@ -1,22 +1,48 @@
-"""Training-data pipeline: stages over documents, each written and read again."""
+"""Training-data pipeline: five stages over documents, each written and read again.
+
+Every stage works on all rows that its predecessor kept. The first four return the columns of documents;
+the last returns pieces packed into sequences. ORACLE_SQL is None: learned scores and packing are no SQL.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import common, exact_dedup
+from folioscan.llm import common, entries, exact_dedup, ngram_join, packing, quality, toxicity
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label quality classifier keeps."""
+    return quality.keep(docs)
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar does not call toxic."""
+    return toxicity.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One whole row of each text."""
     return exact_dedup.keep_one(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, Jaccard 0.8)."""
+    return ngram_join.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences of 2048 tokens."""
+    return packing.pack(docs, entries.TOKENIZER)
+
+
+STAGES = [("quality_classifier", keep_good), ("toxicity", keep_clean), ("exact_dedup", drop_copies), ("ngram_jaccard_join", drop_near), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), name)
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact_dedup, fingerprints, ngram_join, packing, quality, sharding, toxicity, url_filter
+from . import bpe, common, exact_dedup, fingerprints, lm_score, ngram_join, packing, quality, sharding, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,6 +27,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.documents(spark, sf_dir))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return lm_score.score(docs, lm_score.fit(docs))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(common.documents(spark, sf_dir))
 
@@ -52,6 +57,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_bpe": op3_bpe,
     "op4_quality": op4_quality,
+    "op5_lm_score": op5_lm_score,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_packing": op8_packing,
