@@ -28,28 +28,61 @@ def evidence_counts(regions: DataFrame) -> DataFrame:
     return without_nested(keyword_matches(regions)).groupBy("doc_id", "doc_type", "evidence").agg(F.count("*").alias("n"))
 
 
+def _keyword_counts(found: DataFrame) -> DataFrame:
+    """One row per document: a count of keywords for every (type, evidence), nested ones left out.
+
+    A flag per keyword in one aggregate (the list is a small constant), so no second pass for nesting.
+    """
+    rows = dims.keyword_rows()
+    flag = {row: f"k{n}" for n, row in enumerate(rows)}
+    flags = found.groupBy("doc_id").agg(*[F.bool_or((F.col("doc_type") == t) & (F.col("evidence") == e) & (F.col("keyword") == k)).alias(flag[t, e, k]) for t, e, k in rows])
+    wider = {(t, e, a): [flag[t, e, b] for t2, e2, a2, b in dims.nesting_rows() if (t2, e2, a2) == (t, e, a)] for t, e, a in rows}
+
+    def counted(t: str, e: str):
+        out = F.lit(0)
+        for row in rows:
+            if row[:2] == (t, e):
+                lone = F.col(flag[row])
+                for longer in wider[row]:
+                    lone = lone & ~F.col(longer)
+                out = out + lone.cast("int")
+        return out.alias(f"{t}__{e}")
+
+    return flags.select("doc_id", *[counted(t, e) for t, e in dims.KEYWORDS])
+
+
 def document_scores(regions: DataFrame) -> DataFrame:
-    """doc_id, doc_type, score, reasons of every type with evidence."""
-    counts = evidence_counts(regions)
-    n = lambda kind: F.coalesce(F.max(F.when(F.col("evidence") == kind, F.col("n"))), F.lit(0))
-    plain = counts.filter("evidence = 'keyword'").select("doc_id", "doc_type", (2 * F.col("n")).alias("score"), F.concat(F.element_at(F.create_map(*[F.lit(x) for t, p in (("pan", "PAN"), ("aadhaar", "AADHAAR"), ("driving_licence", "DL"), ("voter_id", "VOTER"), ("passport", "PASSPORT")) for x in (t, p)]), F.col("doc_type")), F.lit("_KEYWORDS_"), F.col("n").cast("string")).alias("reason"), F.lit(0).alias("rank"))
-    rural = counts.filter("doc_type = 'nrega_job_card'").groupBy("doc_id").agg(n("title").alias("t"), n("card").alias("c"), n("context").alias("x"), n("acronym").alias("a"))
-    strong = F.col("t") > 0
-    weak = ((F.col("a") > 0) & ((F.col("c") > 0) | (F.col("x") > 0))) | ((F.col("c") > 0) & (F.col("x") > 0))
-    rural = rural.filter(strong | weak).select("doc_id", F.lit("nrega_job_card").alias("doc_type"), F.when(strong, 9 + F.least("t", F.lit(2))).otherwise(8).alias("score"), F.when(strong, "NREGA_EXPLICIT_TITLE").otherwise("NREGA_JOB_CARD_CONTEXT").alias("reason"), F.lit(0).alias("rank"))
-    npr = counts.filter("doc_type = 'npr_letter'").groupBy("doc_id").agg(n("title").alias("t"), n("issuer").alias("i"), n("acronym").alias("a"))
-    npr = npr.filter((F.col("t") > 0) | ((F.col("a") > 0) & (F.col("i") > 0))).select("doc_id", F.lit("npr_letter").alias("doc_type"), F.when(F.col("t") > 0, 9).otherwise(8).alias("score"), F.when(F.col("t") > 0, "NPR_EXPLICIT_TITLE").otherwise("NPR_ISSUER_CONTEXT").alias("reason"), F.lit(0).alias("rank"))
+    """doc_id, doc_type, score, reasons of every type with evidence; three aggregates on doc_id, no unions."""
+    found = R.grams(regions, dims.sizes([r[2] for r in dims.keyword_rows()])).join(F.broadcast(dims.keyword_dim(regions.sparkSession)), F.col("gram") == F.col("keyword"))
     text = F.col("text")
-    formats = regions.groupBy("doc_id").agg(F.bool_or(I.pan(text).isNotNull()).alias("pan"), F.bool_or(I.licence(text).isNotNull()).alias("dl"), F.bool_or(I.epic(text).isNotNull()).alias("epic"))
-    joined = R.joined_text(regions).select("doc_id", I.aadhaar(F.col("joined")).isNotNull().alias("uid"), I.aadhaar_valid(F.col("joined")).alias("uid_ok"))
+    ordered = F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("page_no", "seq", "text"))))
+    facts = regions.groupBy("doc_id").agg(F.bool_or(I.pan(text).isNotNull()).alias("pan"), F.bool_or(I.licence(text).isNotNull()).alias("dl"), F.bool_or(I.epic(text).isNotNull()).alias("epic"), F.array_join(F.transform(ordered, lambda r: r["text"]), " ").alias("joined"))
     mrz = R.mrz_pages(regions).groupBy("doc_id").agg(F.bool_or("has_mrz").alias("mrz"))
-    flags = formats.join(joined, "doc_id").join(mrz, "doc_id")
-    kinds = [("pan", "pan", 3, "PAN_FORMAT", 1), ("uid", "aadhaar", 3, "AADHAAR_NUMBER", 1), ("uid_ok", "aadhaar", 2, "AADHAAR_CHECKSUM_VALID", 2), ("dl", "driving_licence", 3, "DL_FORMAT", 1), ("epic", "voter_id", 3, "EPIC_FORMAT", 1), ("mrz", "passport", 4, "MRZ_DETECTED", 1)]
-    hits = F.array_compact(F.array(*[F.when(F.col(c), F.struct(F.lit(t).alias("doc_type"), F.lit(s).alias("score"), F.lit(r).alias("reason"), F.lit(k).alias("rank"))) for c, t, s, r, k in kinds]))
-    shaped = flags.select("doc_id", F.explode(hits).alias("h")).select("doc_id", "h.*")
-    every = plain.unionByName(rural).unionByName(npr).unionByName(shaped)
-    reasons = F.transform(F.array_sort(F.collect_list(F.struct("rank", "reason"))), lambda r: r["reason"])
-    return every.groupBy("doc_id", "doc_type").agg(F.sum("score").cast("int").alias("score"), F.array_join(reasons, ",").alias("reasons"))
+    rows = facts.join(mrz, "doc_id").join(_keyword_counts(found), "doc_id", "left")
+    n = lambda t, e="keyword": F.coalesce(F.col(f"{t}__{e}"), F.lit(0))
+    uid, uid_ok = I.aadhaar(F.col("joined")).isNotNull(), I.aadhaar_valid(F.col("joined"))
+    title, card, context, acronym = (n("nrega_job_card", e) for e in ("title", "card", "context", "acronym"))
+    rural = ((acronym > 0) & ((card > 0) | (context > 0))) | ((card > 0) & (context > 0))
+    npr, npr_weak = n("npr_letter", "title") > 0, (n("npr_letter", "acronym") > 0) & (n("npr_letter", "issuer") > 0)
+    words = lambda t, prefix: (n(t) > 0, 2 * n(t), F.concat(F.lit(f"{prefix}_KEYWORDS_"), n(t).cast("string")))
+    evidence = {
+        "pan": [words("pan", "PAN"), (F.col("pan"), 3, "PAN_FORMAT")],
+        "aadhaar": [words("aadhaar", "AADHAAR"), (uid, 3, "AADHAAR_NUMBER"), (uid_ok, 2, "AADHAAR_CHECKSUM_VALID")],
+        "driving_licence": [words("driving_licence", "DL"), (F.col("dl"), 3, "DL_FORMAT")],
+        "voter_id": [words("voter_id", "VOTER"), (F.col("epic"), 3, "EPIC_FORMAT")],
+        "nrega_job_card": [(title > 0, 9 + F.least(title, F.lit(2)), "NREGA_EXPLICIT_TITLE"), ((title == 0) & rural, 8, "NREGA_JOB_CARD_CONTEXT")],
+        "npr_letter": [(npr, 9, "NPR_EXPLICIT_TITLE"), (~npr & npr_weak, 8, "NPR_ISSUER_CONTEXT")],
+        "passport": [words("passport", "PASSPORT"), (F.col("mrz"), 4, "MRZ_DETECTED")],
+    }
+
+    def judged(t: str):
+        total, why = F.lit(0), []
+        for holds, score, reason in evidence[t]:
+            total = total + F.when(holds, score if not isinstance(score, int) else F.lit(score)).otherwise(0)
+            why.append(F.when(holds, reason if not isinstance(reason, str) else F.lit(reason)))
+        return F.when(total > 0, F.struct(F.lit(t).alias("doc_type"), total.cast("int").alias("score"), F.array_join(F.array_compact(F.array(*why)), ",").alias("reasons")))
+
+    return rows.select("doc_id", F.explode(F.array_compact(F.array(*map(judged, dims.TYPES)))).alias("s")).select("doc_id", "s.*")
 
 
 def classify_documents(regions: DataFrame) -> DataFrame:

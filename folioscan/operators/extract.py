@@ -1,4 +1,8 @@
-"""Typed fields of cards: labelled values joined with identifiers found in the text, one wide row per document."""
+"""Typed fields of cards: labelled values joined with identifiers found in the text, one wide row per document.
+
+``facts`` makes everything that any type needs in one aggregate over the regions and one over the labelled values;
+an extractor is a projection of it, so a job over mixed types pays for the joins once.
+"""
 
 from __future__ import annotations
 
@@ -9,96 +13,151 @@ from folioscan.functions import dates
 from folioscan.functions import identifiers as I
 from folioscan.functions import text as T
 from folioscan.operators import layout
+from folioscan.plans import dims
 
+VID = r"\b\d{4}\s\d{4}\s\d{4}\s\d{4}\b"
 
-def _fields(regions: DataFrame, doc_type: str, names: list[str]) -> DataFrame:
-    """doc_id and one column per field, with the label's text and place beside it."""
-    values = layout.label_values(regions).filter(F.col("doc_type") == doc_type)
-    pick = lambda field, c: F.max(F.when(F.col("field") == field, F.col(c)))
-    return values.groupBy("doc_id").agg(*[x for n in names for x in (pick(n, "value").alias(n), pick(n, "label_seq").alias(f"{n}_seq"), pick(n, "label_text").alias(f"{n}_label"))])
 
+def _labelled(regions: DataFrame) -> DataFrame:
+    """doc_id and, for every (type, field), a struct of value, label_seq and label_text."""
+    values = layout.label_values(regions)
+    one = F.struct("value", "label_seq", "label_text")
+    return values.groupBy("doc_id").agg(*[F.max(F.when((F.col("doc_type") == t) & (F.col("field") == f), one)).alias(f"{t}__{f}") for t, f in dims.LABELS])
 
-def _docs(regions: DataFrame) -> DataFrame:
-    return regions.select("doc_id").distinct()
 
+def _found(regions: DataFrame) -> DataFrame:
+    """First identifiers, dates and inline values of each document."""
+    text, order = F.col("text"), F.struct("page_no", "seq")
+    word = F.upper(text)
+    first = lambda value, rank=order: F.min_by(value, F.when(value.isNotNull(), rank))
+    sex = F.when(word.rlike(r"\bFEMALE\b"), "FEMALE").when(word.rlike(r"\bMALE\b"), "MALE").when(word.rlike(r"\bTRANSGENDER\b"), "TRANSGENDER")
+    born = F.when(word.rlike("DOB|BIRTH") & dates.printed(text).isNotNull(), 1).when(word.rlike("DOB|BIRTH"), 2).when(dates.printed(text).isNotNull(), 3)
+    bare = F.regexp_replace(text, VID, " ")
+    head = F.upper(F.trim(F.split("text", "[:：]", 2)[0]))
+    tail = F.trim(F.get(F.split("text", "[:：]", 2), F.lit(1)))
+    inline = lambda name: first(F.when((head == name) & (tail != ""), tail))
+    return regions.groupBy("doc_id").agg(
+        first(I.pan(text), F.struct((~I.pan_valid(text)).cast("int").alias("c"), F.col("page_no"), F.col("seq"))).alias("any_pan"),
+        first(dates.printed(text)).alias("any_date"),
+        first(I.epic(text)).alias("epic_number"),
+        first(I.licence(text)).alias("dl_number"),
+        first(I.job_card(text)).alias("any_card"),
+        first(I.aadhaar(bare)).alias("aadhaar_number"),
+        first(I.aadhaar_last4(bare)).alias("masked_last4"),
+        first(I.virtual_id(text)).alias("vid"),
+        first(sex).alias("any_sex"),
+        first(I.pincode(bare)).alias("any_pin"),
+        F.min_by(F.struct("page_no", "top", "left", dates.printed(text).alias("date")), F.when(born.isNotNull(), F.struct(born.alias("c"), F.col("page_no"), F.col("seq")))).alias("dob"),
+        F.bool_or(T.norm_text(text).contains("NATIONAL POPULATION REGISTER")).alias("npr_title"),
+        inline("NAME").alias("npr_name"),
+        inline("ADDRESS").alias("npr_address"),
+        inline("DATE").alias("npr_date"),
+    )
 
-def extract_pan(regions: DataFrame) -> DataFrame:
-    """pan_number (labelled and valid, else the first valid, else the first shaped), name, father_name, date_of_birth."""
-    labelled = _fields(regions, "pan", ["name", "father_name", "date_of_birth", "pan_number"])
-    text, rank = F.col("text"), F.struct((~I.pan_valid(F.col("text"))).cast("int").alias("c"), F.col("page_no"), F.col("seq"))
-    shaped = regions.filter(I.pan(text).isNotNull()).groupBy("doc_id").agg(F.min_by(I.pan(text), rank).alias("any_pan"))
-    first = regions.filter(dates.printed(text).isNotNull()).groupBy("doc_id").agg(F.min_by(dates.printed(text), F.struct("page_no", "seq")).alias("any_date"))
-    out = _docs(regions).join(labelled, "doc_id", "left").join(shaped, "doc_id", "left").join(first, "doc_id", "left")
-    name, father = T.clean_colon(F.col("name")), T.clean_colon(F.col("father_name"))
-    same = F.coalesce((name == father) & (F.col("name_seq") == F.col("father_name_seq")), F.lit(False))
-    return out.select("doc_id", F.when(I.pan_valid(F.col("pan_number")), I.pan(F.col("pan_number"))).otherwise(F.col("any_pan")).alias("pan_number"), F.when(~same, name).alias("name"), father.alias("father_name"), F.coalesce(dates.printed(F.col("date_of_birth")), F.col("any_date")).alias("date_of_birth"))
+
+def _above(regions: DataFrame, found: DataFrame) -> DataFrame:
+    """The name-like text nearest above the birth date."""
+    text, word = F.col("text"), F.upper(F.col("text"))
+    anchors = found.filter("dob is not null").select("doc_id", F.col("dob.page_no").alias("page_no"), F.col("dob.top").alias("d_top"), F.col("dob.left").alias("d_left"))
+    like = (F.length(text) >= 3) & ~text.rlike(r"\d") & text.rlike("[A-Za-z]") & ~word.rlike("GOVERNMENT|INDIA|AADHAAR|DOB|BIRTH|MALE|FEMALE|AUTHORITY|IDENTIFICATION|ADDRESS") & ~text.rlike(r"\b[SCDWscdw]/[Oo]\b")
+    above = regions.filter(like).join(anchors, ["doc_id", "page_no"]).filter(F.col("bottom") <= F.col("d_top") + 5)
+    return above.groupBy("doc_id").agg(F.min_by("text", F.struct((F.col("d_top") - F.col("bottom")).alias("dy"), F.abs(F.col("left") - F.col("d_left")).alias("dx"), F.col("seq"))).alias("above"))
+
+
+def facts(regions: DataFrame) -> DataFrame:
+    """Everything that an extractor projects; one row per document."""
+    found = _found(regions)
+    return found.join(_labelled(regions), "doc_id", "left").join(_above(regions, found), "doc_id", "left")
 
 
 def _relation(c: Column) -> Column:
-    return F.regexp_replace(F.upper(c), "[^A-Z]", "").rlike("FATHER|HUSBAND|MOTHER")
+    return F.coalesce(F.regexp_replace(F.upper(c), "[^A-Z]", "").rlike("FATHER|HUSBAND|MOTHER"), F.lit(False))
 
 
-def extract_voter_id(regions: DataFrame) -> DataFrame:
-    """epic_number, name, relation_name, relation_type, date_of_birth, gender."""
-    labelled = _fields(regions, "voter_id", ["name", "father", "husband", "date_of_birth", "gender"])
-    epic = regions.filter(I.epic(F.col("text")).isNotNull()).groupBy("doc_id").agg(F.min_by(I.epic(F.col("text")), F.struct("page_no", "seq")).alias("epic_number"))
-    out = _docs(regions).join(labelled, "doc_id", "left").join(epic, "doc_id", "left")
-    clean = lambda c: T.after_colon(F.trim(F.col(c)))
-    father = F.when(F.coalesce(_relation(F.col("father_label")), F.lit(False)), clean("father"))
-    husband = F.when(F.coalesce(_relation(F.col("husband_label")), F.lit(False)), clean("husband"))
-    holder = F.when(~F.coalesce(_relation(F.col("name_label")), F.lit(False)) & ~F.coalesce(_relation(F.col("name")), F.lit(False)), clean("name"))
-    sex = F.upper(F.col("gender"))
+def pan_fields() -> dict[str, Column]:
+    """Number labelled and valid, else the first valid, else the first shaped; a name that is the father's is dropped."""
+    of = lambda f, c="value": F.col(f"pan__{f}")[c]
+    name, father = T.clean_colon(of("name")), T.clean_colon(of("father_name"))
+    same = F.coalesce((name == father) & (of("name", "label_seq") == of("father_name", "label_seq")), F.lit(False))
+    number = F.when(I.pan_valid(of("pan_number")), I.pan(of("pan_number"))).otherwise(F.col("any_pan"))
+    return {"pan_number": number, "name": F.when(~same, name), "father_name": father, "date_of_birth": F.coalesce(dates.printed(of("date_of_birth")), F.col("any_date"))}
+
+
+def voter_id_fields() -> dict[str, Column]:
+    of = lambda f, c="value": F.col(f"voter_id__{f}")[c]
+    clean = lambda f: T.after_colon(F.trim(of(f)))
+    father, husband = (F.when(_relation(of(f, "label_text")), clean(f)) for f in ("father", "husband"))
+    holder = F.when(~_relation(of("name", "label_text")) & ~_relation(of("name")), clean("name"))
+    sex = F.upper(of("gender"))
     gender = F.when(sex.contains("FEMALE"), "FEMALE").when(sex.contains("MALE"), "MALE").when(sex.rlike("TRANSGENDER|OTHER"), "TRANSGENDER").when(sex == "F", "FEMALE").when(sex == "M", "MALE")
-    return out.select("doc_id", "epic_number", holder.alias("name"), F.coalesce(father, husband).alias("relation_name"), F.when(father.isNotNull(), "father").when(husband.isNotNull(), "husband").alias("relation_type"), dates.printed(F.col("date_of_birth")).alias("date_of_birth"), gender.alias("gender"))
+    kind = F.when(father.isNotNull(), "father").when(husband.isNotNull(), "husband")
+    return {"epic_number": F.col("epic_number"), "name": holder, "relation_name": F.coalesce(father, husband), "relation_type": kind, "date_of_birth": dates.printed(of("date_of_birth")), "gender": gender}
+
+
+def driving_licence_fields() -> dict[str, Column]:
+    """A date may stand in its label's own text."""
+    of = lambda f, c="value": F.col(f"driving_licence__{f}")[c]
+    date = lambda f: F.coalesce(dates.printed(of(f, "label_text")), dates.printed(of(f)))
+    return {"dl_number": F.col("dl_number"), "name": T.clean_colon(of("name"))} | {f: date(f) for f in ("date_of_birth", "issue_date", "validity_date")}
+
+
+def aadhaar_fields() -> dict[str, Column]:
+    return {"aadhaar_number": F.col("aadhaar_number"), "masked_last4": F.when(F.col("aadhaar_number").isNull(), F.col("masked_last4")), "name": F.col("above"), "date_of_birth": F.col("dob.date"), "gender": F.col("any_sex"), "pincode": F.col("any_pin"), "vid": F.col("vid")}
+
+
+def npr_letter_fields() -> dict[str, Column]:
+    pin = F.regexp_extract("npr_address", r"\b([1-9]\d{5})\b", 1)
+    return {"name": F.col("npr_name"), "address": F.col("npr_address"), "issue_date": dates.printed(F.col("npr_date")), "pincode": F.when(pin != "", pin)}
+
+
+def nrega_fields() -> dict[str, Column]:
+    of = lambda f: F.col(f"nrega_job_card__{f}")["value"]
+    return {"job_card_number": F.coalesce(I.job_card(of("job_card_number")), F.col("any_card")), "head_of_household": of("head_of_household"), "village": of("village")}
+
+
+#: Fields of each type over ``facts``; ``register_extractor`` replaces or adds one.
+FIELDS = {"pan": pan_fields, "aadhaar": aadhaar_fields, "driving_licence": driving_licence_fields, "voter_id": voter_id_fields, "nrega_job_card": nrega_fields, "npr_letter": npr_letter_fields}
+
+
+def register_extractor(doc_type: str, fields) -> None:
+    """fields: () -> columns by name, over ``facts``."""
+    FIELDS[doc_type] = fields
+
+
+def _project(regions: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    return facts(regions).select("doc_id", *[c.alias(n) for n, c in fields.items()])
+
+
+def extract_pan(regions: DataFrame) -> DataFrame:
+    return _project(regions, pan_fields())
+
+
+def extract_voter_id(regions: DataFrame) -> DataFrame:
+    return _project(regions, voter_id_fields())
 
 
 def extract_driving_licence(regions: DataFrame) -> DataFrame:
-    """dl_number, name, date_of_birth, issue_date, validity_date; a date may stand in its label's own text."""
-    labelled = _fields(regions, "driving_licence", ["name", "date_of_birth", "issue_date", "validity_date"])
-    number = regions.filter(I.licence(F.col("text")).isNotNull()).groupBy("doc_id").agg(F.min_by(I.licence(F.col("text")), F.struct("page_no", "seq")).alias("dl_number"))
-    out = _docs(regions).join(labelled, "doc_id", "left").join(number, "doc_id", "left")
-    date = lambda c: F.coalesce(dates.printed(F.col(f"{c}_label")), dates.printed(F.col(c))).alias(c)
-    return out.select("doc_id", "dl_number", T.clean_colon(F.col("name")).alias("name"), date("date_of_birth"), date("issue_date"), date("validity_date"))
+    return _project(regions, driving_licence_fields())
 
 
 def extract_aadhaar(regions: DataFrame) -> DataFrame:
-    """aadhaar_number, last4 of a masked one, name above the birth date, date_of_birth, gender, pincode, virtual id."""
-    text = F.col("text")
-    order = F.struct("page_no", "seq")
-    born = F.when(F.upper(text).rlike("DOB|BIRTH") & dates.printed(text).isNotNull(), 1).when(F.upper(text).rlike("DOB|BIRTH"), 2).when(dates.printed(text).isNotNull(), 3)
-    marked = regions.withColumn("_vid", I.virtual_id(text)).withColumn("text", F.regexp_replace(text, r"\b\d{4}\s\d{4}\s\d{4}\s\d{4}\b", " "))
-    word = F.upper(text)
-    sex = F.when(word.rlike(r"\bFEMALE\b"), "FEMALE").when(word.rlike(r"\bMALE\b"), "MALE").when(word.rlike(r"\bTRANSGENDER\b"), "TRANSGENDER")
-    one = marked.groupBy("doc_id").agg(
-        F.min_by(I.aadhaar(text), F.when(I.aadhaar(text).isNotNull(), order)).alias("aadhaar_number"),
-        F.min_by(I.aadhaar_last4(text), F.when(I.aadhaar_last4(text).isNotNull(), order)).alias("masked_last4"),
-        F.min_by("_vid", F.when(F.col("_vid").isNotNull(), order)).alias("vid"),
-        F.min_by(sex, F.when(sex.isNotNull(), order)).alias("gender"),
-        F.min_by(I.pincode(text), F.when(I.pincode(text).isNotNull(), order)).alias("pincode"),
-        F.min_by(F.struct("page_no", "top", "left", dates.printed(text).alias("date")), F.when(born.isNotNull(), F.struct(born.alias("c"), F.col("page_no"), F.col("seq")))).alias("dob"),
-    )
-    anchors = one.filter("dob is not null").select("doc_id", F.col("dob.page_no").alias("page_no"), F.col("dob.top").alias("d_top"), F.col("dob.left").alias("d_left"))
-    name_like = (F.length(text) >= 3) & ~text.rlike(r"\d") & text.rlike("[A-Za-z]") & ~word.rlike(r"GOVERNMENT|INDIA|AADHAAR|DOB|BIRTH|MALE|FEMALE|AUTHORITY|IDENTIFICATION|ADDRESS") & ~text.rlike(r"\b[SCDWscdw]/[Oo]\b")
-    above = regions.filter(name_like).join(anchors, ["doc_id", "page_no"]).filter(F.col("bottom") <= F.col("d_top") + 5)
-    above = above.groupBy("doc_id").agg(F.min_by("text", F.struct((F.col("d_top") - F.col("bottom")).alias("dy"), F.abs(F.col("left") - F.col("d_left")).alias("dx"), F.col("seq"))).alias("name"))
-    out = one.join(above, "doc_id", "left")
-    return out.select("doc_id", "aadhaar_number", F.when(F.col("aadhaar_number").isNull(), F.col("masked_last4")).alias("masked_last4"), "name", F.col("dob.date").alias("date_of_birth"), "gender", "pincode", "vid")
+    return _project(regions, aadhaar_fields())
 
 
-def extract_npr_letter(regions: DataFrame) -> DataFrame:
-    """name, address, issue_date, pincode from ``label: value`` texts of letters with their title."""
-    head = F.upper(F.trim(F.split("text", "[:：]", 2)[0]))
-    tail = F.trim(F.get(F.split("text", "[:：]", 2), F.lit(1)))
-    order = F.struct("page_no", "seq")
-    pick = lambda name, value: F.min_by(value, F.when((head == name) & (value != ""), order))
-    one = regions.groupBy("doc_id").agg(F.bool_or(T.norm_text(F.col("text")).contains("NATIONAL POPULATION REGISTER")).alias("titled"), pick("NAME", tail).alias("name"), pick("ADDRESS", tail).alias("address"), dates.printed(pick("DATE", tail)).alias("issue_date"))
-    pin = F.regexp_extract("address", r"\b([1-9]\d{5})\b", 1)
-    return one.filter("titled").select("doc_id", "name", "address", "issue_date", F.when(pin != "", pin).alias("pincode"))
+def extract_nrega(regions: DataFrame) -> DataFrame:
+    return _project(regions, nrega_fields())
 
 
-def extract_nrega(regions: DataFrame) -> DataFrame:
-    """job_card_number (labelled, else the first found), head_of_household, village."""
-    labelled = _fields(regions, "nrega_job_card", ["job_card_number", "head_of_household", "village"])
-    shaped = regions.filter(I.job_card(F.col("text")).isNotNull()).groupBy("doc_id").agg(F.min_by(I.job_card(F.col("text")), F.struct("page_no", "seq")).alias("any_card"))
-    out = _docs(regions).join(labelled, "doc_id", "left").join(shaped, "doc_id", "left")
-    return out.select("doc_id", F.coalesce(I.job_card(F.col("job_card_number")), F.col("any_card")).alias("job_card_number"), "head_of_household", "village")
+def extract_npr_letter(regions: DataFrame) -> DataFrame:
+    """Only documents that bear the register's title."""
+    return facts(regions).filter("npr_title").select("doc_id", *[c.alias(n) for n, c in npr_letter_fields().items()])
+
+
+def extract_all(regions: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, document_type, values (map of field to value) of every typed document, all types from one set of facts."""
+    rows = facts(regions).join(classes.select("doc_id", "document_type"), "doc_id")
+    maps = None
+    for doc_type, fields in FIELDS.items():
+        own = F.create_map(*[x for n, c in fields().items() for x in (F.lit(n), c.cast("string"))])
+        maps = F.when(F.col("document_type") == doc_type, own) if maps is None else maps.when(F.col("document_type") == doc_type, own)
+    return rows.select("doc_id", "document_type", maps.alias("values")).filter("values is not null")

@@ -65,8 +65,27 @@ def value_right(labels: DataFrame, regions: DataFrame, reach: int = 450) -> Data
 
 
 def label_values(regions: DataFrame) -> DataFrame:
-    """doc_id, page_no, doc_type, field, label_text, value: right of the label, else below; blank is null."""
-    labels = label_match(regions)
-    value = labels.join(value_right(labels, regions), [*PAGE, "label_seq"], "left").join(value_below(labels, regions), [*PAGE, "label_seq"], "left")
-    found = F.trim(F.coalesce("right", "below"))
-    return value.select(*PAGE, "doc_type", "field", "label_seq", "label_text", F.when(found != "", found).alias("value"))
+    """doc_id, page_no, doc_type, field, label_seq, label_text, value: right of the label, else below; blank is null.
+
+    One join of matched labels with their page and one aggregate on the same keys: the row's left edge, the nearest
+    region to the right, and the few regions of the band below, which are judged once the left edge is known.
+    """
+    other = R.label_like(regions).select(*PAGE, *[F.col(c).alias(f"o_{c}") for c in ("seq", "left", "top", "bottom", "text")], "label_like")
+    height = F.greatest(F.col("label_bottom") - F.col("label_top"), F.lit(1))
+    overlap = F.least("o_bottom", "label_bottom") - F.greatest("o_top", "label_top")
+    elsewhere = F.col("o_seq") != F.col("label_seq")
+    prefix = elsewhere & (overlap >= height * 0.5) & (F.col("o_left") < F.col("label_left")) & (F.length(F.regexp_replace("o_text", "[^A-Za-z0-9]", "")) <= 5)
+    gap = F.col("o_left") - F.col("label_right")
+    beside = elsewhere & (overlap >= height * 0.4) & (gap >= 0) & (gap < 450) & ~F.col("label_like")
+    drop = F.col("o_top") - F.col("label_bottom")
+    under = F.struct((F.greatest(drop, F.lit(0)) + F.when(F.col("label_like"), 500).otherwise(0)).cast("double").alias("cost"), F.col("o_left").alias("x"), F.col("o_seq").alias("seq"), F.col("o_text").alias("text"))
+    keys = [*PAGE, "doc_type", "field", "label_seq", "label_text"]
+    met = label_match(regions).join(other, PAGE).groupBy(*keys).agg(
+        F.least(F.min("label_left"), F.coalesce(F.min(F.when(prefix, F.col("o_left"))), F.min("label_left"))).alias("row_left"),
+        F.min_by("o_text", F.when(beside, F.struct(gap.alias("g"), F.col("o_seq")))).alias("right"),
+        F.collect_list(F.when((drop >= -10) & (drop < 80), under)).alias("under"),
+    )
+    near = F.filter("under", lambda r: F.abs(r["x"] - F.col("row_left")) < 200)
+    best = F.array_min(F.transform(near, lambda r: F.struct((r["cost"] + F.abs(r["x"] - F.col("row_left")) * 0.3).alias("c"), r["seq"].alias("seq"), r["text"].alias("text"))))
+    found = F.trim(F.coalesce("right", best["text"]))
+    return met.select(*keys, F.when(found != "", found).alias("value"))

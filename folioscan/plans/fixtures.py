@@ -140,3 +140,58 @@ def scan_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     status = F.when(kind == "error", "failure").when(kind == "signup", "unsupported_page").otherwise("success")
     return events.select(F.col("event_id").alias("doc_id"), F.col("ts"), status.alias("status"), (F.col("value") * 10).cast("int").alias("processing_ms"))
+
+
+def icao_sql(text: str, length: int) -> str:
+    """SQL for the check digit of a text of fixed length, valid in both engines."""
+    terms = [f"greatest(instr('{checksum.ALPHABET}', substr({text}, {k + 1}, 1)) - 1, 0) * {(7, 3, 1)[k % 3]}" for k in range(length)]
+    return f"(({' + '.join(terms)}) % 10)"
+
+
+def passports_sql(dialect: str) -> str:
+    """Biodata pages: labels and a two-line zone per customer; some digits broken, some letters for digits."""
+    text = "CAST(c_custkey AS VARCHAR(20))"
+    base = f"SELECT c_custkey AS k, 'L' || lpad({text}, 8, '0') AS num, lpad(CAST(c_custkey % 100 AS VARCHAR(20)), 2, '0') || lpad(CAST(c_custkey % 13 AS VARCHAR(20)), 2, '0') || lpad(CAST(1 + c_custkey % 28 AS VARCHAR(20)), 2, '0') AS born, lpad(CAST((c_custkey * 7) % 100 AS VARCHAR(20)), 2, '0') || '0415' AS ends, CASE c_custkey % 3 WHEN 0 THEN 'M' WHEN 1 THEN 'F' ELSE '<' END AS sex, {_name('c_custkey')} AS holder FROM {'{customer}' if dialect == 'spark' else 'customer'}"
+    with_digits = f"SELECT *, num || CAST({icao_sql('num', 9)} AS VARCHAR(20)) || 'IND' || born || CAST({icao_sql('born', 6)} AS VARCHAR(20)) || sex || ends || CAST(({icao_sql('ends', 6)} + CASE WHEN k % 11 = 0 THEN 1 ELSE 0 END) % 10 AS VARCHAR(20)) || '<<<<<<<<<<<<<<0' AS body FROM ({base})"
+    whole = "substr(body, 1, 10) || substr(body, 14, 7) || substr(body, 22, 22)"
+    line1 = "rpad('P<IND' || replace(replace(holder, ' ', '<<'), '-', '<'), 44, '<')"
+    line2 = f"body || CAST({icao_sql('whole', 39)} AS VARCHAR(20))"
+    fixed = "CASE WHEN k % 5 = 0 THEN substr(line2, 1, 13) || replace(substr(line2, 14, 6), '0', 'O') || substr(line2, 20, 25) WHEN k % 7 = 0 THEN replace(line2, '<', '>') ELSE line2 END"
+    zone = f"SELECT k, holder, line1, {fixed} AS line2 FROM (SELECT k, holder, {line1} AS line1, {line2} AS line2 FROM (SELECT *, {whole} AS whole FROM ({with_digits})))"
+    rows = [("'Surname'", "40", "20", "220", "45"), ("'Given Name(s)'", "40", "90", "220", "115"), ("'Date of Birth'", "40", "160", "220", "185"), ("line1", "10", "400", "600", "430"), ("CASE WHEN k % 17 = 0 THEN 'SMUDGED' ELSE line2 END", "10", "440", "600", "470")]
+    cells = ", ".join(_cell(k, (*r, "0.9", "1 = 1"), dialect == "spark") for k, r in enumerate(rows))
+    exploded = f"SELECT k AS doc_id, explode(array({cells})) AS r FROM ({zone})" if dialect == "spark" else f"SELECT k AS doc_id, unnest([{cells}]) AS r FROM ({zone})"
+    q = "" if dialect == "spark" else '"'
+    return f"SELECT doc_id, 0 AS page_no, r.seq, r.text, r.{q}left{q}, r.top, r.{q}right{q}, r.bottom, r.confidence FROM ({exploded})"
+
+
+def passports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(passports_sql("spark"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+
+
+SAMPLES_SQL = f"""
+    SELECT o_orderkey AS sample_id, {{kind}} AS document_type, CAST(o_orderkey % 4 AS VARCHAR(20)) AS design_family,
+        CAST(year(o_orderdate) {{div}} 5 * 5 AS VARCHAR(20)) AS year_band, o_orderpriority AS capture, o_orderstatus AS quality,
+        o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AS accepted, {_name("o_orderkey")} AS holder, 'ID' || CAST(o_orderkey AS VARCHAR(20)) AS number
+    FROM {{orders}}
+"""
+RESULTS_SQL = f"""
+    SELECT o_orderkey AS sample_id, CASE WHEN o_orderkey % 29 = 0 THEN 'unknown' ELSE {{kind}} END AS document_type,
+        (o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 41 <> 0) OR o_orderkey % 43 = 0 AS accepted,
+        CASE WHEN o_orderkey % 31 = 0 THEN replace({_name("o_orderkey")}, ' ', '-') WHEN o_orderkey % 47 = 0 THEN NULL ELSE {_name("o_orderkey")} END AS holder,
+        'ID' || CAST(o_orderkey AS VARCHAR(20)) AS number
+    FROM {{orders}} WHERE o_orderkey % 37 <> 0
+"""
+KIND_SQL = "CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN 'pan' WHEN 1 THEN 'aadhaar' WHEN 2 THEN 'driving_licence' WHEN 3 THEN 'voter_id' WHEN 4 THEN 'nrega_job_card' ELSE 'npr_letter' END"
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected records: two fields each, slices from the order's columns."""
+    rows = spark.sql(SAMPLES_SQL.format(kind=KIND_SQL, div="div", orders="{orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return rows.withColumn("fields", F.create_map(F.lit("name"), "holder", F.lit("number"), "number")).drop("holder", "number")
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records to be judged: some of the wrong type, some with other punctuation, some missing."""
+    rows = spark.sql(RESULTS_SQL.format(kind=KIND_SQL, orders="{orders}"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return rows.withColumn("fields", F.create_map(F.lit("name"), "holder", F.lit("number"), "number")).drop("holder", "number")
