@@ -156,6 +156,8 @@ def check_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 on(X.scan_log, "latency_report", evaluate.latency_report)
-on(X.scan_log, "stream_quality", lambda s: jobs.stream_quality(s, "10 minutes"))
-on(X.scan_log, "stream_quality_sliding", lambda s: jobs.stream_quality(s, "1 hour", "30 minutes"))
-on(X.scan_log, "stream_sessions", jobs.stream_sessions)
+#: Window starts as times without zone, as the log has them.
+plain_start = lambda df: df.withColumn("start", F.col("start").cast("timestamp_ntz"))
+on(X.scan_log, "stream_quality", lambda s: plain_start(jobs.stream_quality(s, "10 minutes")))
+on(X.scan_log, "stream_quality_sliding", lambda s: plain_start(jobs.stream_quality(s, "1 hour", "30 minutes")))
+on(X.scan_log, "stream_sessions", lambda s: plain_start(jobs.stream_sessions(s)))

@@ -11,6 +11,11 @@ from folioscan.operators import assess
 LATE = "1 hour"
 
 
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    """Watermarked event time; times without zone are read in the session's zone."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def stream_scan(regions: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Routes every arriving document; a batch is written under its number, so a replay replaces it."""
 
@@ -22,23 +27,23 @@ def stream_scan(regions: DataFrame, out: str, checkpoint: str) -> StreamingQuery
 
 def stream_dedup(scans: DataFrame, late: str = LATE) -> DataFrame:
     """Resubmitted documents within the watermark dropped."""
-    return scans.withWatermark("ts", late).dropDuplicatesWithinWatermark(["doc_id"])
+    return _timed(scans, late).dropDuplicatesWithinWatermark(["doc_id"])
 
 
 def stream_quality(scans: DataFrame, size: str = "10 minutes", slide: str | None = None, late: str = LATE) -> DataFrame:
     """Counts and latency by status in tumbling or sliding windows; the same frame works in batch."""
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
-    rows = scans.withWatermark("ts", late).groupBy(window.alias("w"), "status").agg(F.count("*").alias("scans"), F.sum("processing_ms").alias("total_ms"))
+    rows = _timed(scans, late).groupBy(window.alias("w"), "status").agg(F.count("*").alias("scans"), F.sum("processing_ms").alias("total_ms"))
     return rows.select(F.col("w.start").alias("start"), "status", "scans", "total_ms")
 
 
 def stream_sessions(scans: DataFrame, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
     """Bursts of scans by status."""
-    rows = scans.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "status").agg(F.count("*").alias("scans"))
+    rows = _timed(scans, late).groupBy(F.session_window("ts", gap).alias("w"), "status").agg(F.count("*").alias("scans"))
     return rows.select(F.col("w.start").alias("start"), "status", "scans")
 
 
 def stream_pages(pages: DataFrame, gap: str = "10 minutes", late: str = LATE) -> DataFrame:
     """Pages of a document collected until none has come for ``gap``."""
-    rows = pages.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "doc_id").agg(F.array_sort(F.collect_list("page_no")).alias("pages"))
+    rows = _timed(pages, late).groupBy(F.session_window("ts", gap).alias("w"), "doc_id").agg(F.array_sort(F.collect_list("page_no")).alias("pages"))
     return rows.select("doc_id", "pages")
