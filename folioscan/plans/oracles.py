@@ -290,3 +290,16 @@ SQL["latency_report"] = f"WITH {LOG} SELECT status, count(*) AS scans, round_eve
 SQL["stream_quality"] = f"WITH {LOG} SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, status, count(*) AS scans, sum(processing_ms) AS total_ms FROM log GROUP BY ALL"
 SQL["stream_quality_sliding"] = f"WITH {LOG} SELECT start, status, count(*) AS scans, sum(processing_ms) AS total_ms FROM (SELECT time_bucket(INTERVAL '30 minutes', ts) - CAST(k * 30 AS INT) * INTERVAL '1 minute' AS start, status, processing_ms FROM log, (VALUES (0), (1)) AS v(k)) GROUP BY ALL"
 SQL["stream_sessions"] = f"WITH {LOG}, marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY status ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM log) SELECT min(ts) AS start, status, count(*) AS scans FROM (SELECT *, sum(fresh) OVER (PARTITION BY status ORDER BY ts, doc_id) AS g FROM marked) GROUP BY status, g"
+SQL["plausible_quad"] = f"""SELECT doc_id, ok AS plausible, CASE WHEN NOT ok THEN 'NO_DOCUMENT_BOUNDARY_DETECTED' WHEN width * height * (doc_id % 10) / 10.0 < 0.5 * width * height THEN 'PERSPECTIVE_CORRECTION_DISCARDED' END AS boundary_warning
+    FROM (SELECT *, w > 0 AND h > 0 AND doc_id % 13 <> 0 AND w * h >= 0.3 * width * height AND w / CAST(h AS DOUBLE) BETWEEN 0.5 AND 3.0 AS ok FROM (SELECT *, width - doc_id % 7 * 60 AS w, height - doc_id % 11 * 30 AS h FROM ({X.ASSETS_SQL})))"""
+SQL["printed_vocabulary"] = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'O+' WHEN 1 THEN 'B-' WHEN 2 THEN 'AB+' WHEN 4 THEN 'A-' END AS blood, CASE o_orderkey % 4 WHEN 0 THEN 'MCWG, LMV-NT' WHEN 1 THEN 'LMV' WHEN 2 THEN 'TRANS, MC' ELSE '' END AS vehicles FROM orders"
+SQL["name_like"] = cards(f"SELECT doc_id, seq, length(trim(text)) >= 3 AND NOT regexp_matches(text, '[0-9]') AND regexp_matches(text, '[A-Za-z]{{2}}') AND NOT regexp_matches(text, '\\b[SCDWscdw]/[Oo]\\b') AND NOT list_has_any(string_split_regex(upper(trim(text)), '\\s+'), ['GOVERNMENT', 'INDIA', 'AADHAAR', 'DOB', 'MALE', 'FEMALE', 'YEAR', 'BIRTH', 'ADDRESS', 'AUTHORITY']) AS name_like FROM regions")
+SQL["split_licence"] = cards(f"SELECT doc_id, {_of(_dl, 'substr(text, 8)')} AS dl_number FROM regions WHERE text LIKE 'DL No.%' AND {_of(_dl, 'substr(text, 8)')} IS NOT NULL AND doc_id % 5 <> 0")
+SQL["compact_members"] = """SELECT doc_id, seq, serial, name, gender, age FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, serial, name ORDER BY seq) AS n FROM (
+    SELECT o_orderkey // 8 AS doc_id, CAST(o_orderkey % 8 AS INT) AS seq, CAST(o_orderkey % 4 AS INT) AS serial, CASE WHEN o_orderkey % 2 = 0 THEN 'PERSON A' ELSE 'PERSON B' END AS name, CASE o_orderkey % 3 WHEN 0 THEN 'FEMALE' WHEN 1 THEN 'MALE' END AS gender,
+        CASE WHEN o_orderkey % 90 + 10 >= 18 THEN CAST(o_orderkey % 90 + 10 AS INT) END AS age FROM orders) WHERE gender IS NOT NULL OR age IS NOT NULL) WHERE n = 1"""
+_score = lambda m, c: f"round_even({c} / 100.0 + CASE WHEN o_orderkey % 2 = {m} THEN 0.15 ELSE 0 END + CASE WHEN o_orderkey % 3 = {m} THEN 0.2 ELSE 0 END + CASE WHEN o_orderkey % 5 = {m} THEN 0.1 ELSE 0 END + CASE WHEN o_orderkey % 7 = {m} THEN 0.1 ELSE 0 END + CASE WHEN o_orderkey % 11 = {m} THEN 0.05 ELSE 0 END, 6)"
+SQL["best_candidate"] = f"SELECT doc_id, CASE WHEN b > a THEN 'full' ELSE 'targeted' END AS pass, CAST(greatest(a, b) AS DOUBLE) AS score FROM (SELECT o_orderkey AS doc_id, {_score(0, 'o_orderkey % 100')} AS a, {_score(1, '(o_orderkey * 7 % 100)')} AS b FROM orders)"
+SQL["country_check"] = f"SELECT doc_id, 'UNKNOWN_COUNTRY_CODE_' || c AS warning FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'UTO' ELSE country END AS c FROM ({SQL['parse_mrz']})) WHERE c NOT IN (SELECT upper(substr(n_name, 1, 3)) FROM nation)"
+SQL["passport_confidence"] = f"WITH {PASSPORTS} SELECT r.doc_id, round_even(least(1.0, 0.4 * coalesce(CASE WHEN overall_ok THEN 1.0 ELSE 0.7 * (CAST(number_ok AS INT) + CAST(birth_ok AS INT) + CAST(expiry_ok AS INT)) / 3 END, 0) + 0.15 + 0.3 * ocr), 3) AS confidence FROM (SELECT doc_id, avg(confidence) AS ocr FROM regions GROUP BY doc_id) r LEFT JOIN ({SQL['parse_mrz']}) z USING (doc_id)"
+SQL["legacy_benchmark"] = f"WITH {EVAL} SELECT status_match, field_exact, status_match >= 0.95 AS status_gate, field_exact >= 0.97 AS field_gate FROM (SELECT round_even(avg(CAST(expected_accepted = actual_accepted AS INT)), 6) AS status_match, round_even(avg(CAST(complete_exact AS INT)), 6) AS field_exact FROM observed)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import checksum, dates
 from folioscan.functions import identifiers as I
 from folioscan.functions import text as T
-from folioscan.operators import assess, classify, evaluate, extract, layout, mrz
+from folioscan.operators import assess, classify, evaluate, extract, extras, layout, mrz
 from folioscan.operators import regions as R
 from folioscan.plans import fixtures as X
 from folioscan.sources import ingest
@@ -161,3 +161,65 @@ plain_start = lambda df: df.withColumn("start", F.col("start").cast("timestamp_n
 on(X.scan_log, "stream_quality", lambda s: plain_start(jobs.stream_quality(s, "10 minutes")))
 on(X.scan_log, "stream_quality_sliding", lambda s: plain_start(jobs.stream_quality(s, "1 hour", "30 minutes")))
 on(X.scan_log, "stream_sessions", lambda s: plain_start(jobs.stream_sessions(s)))
+
+
+@query
+def plausible_quad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assets, k = X.assets(spark, sf_dir), F.col("doc_id")
+    point = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
+    wide, high = F.col("width") - k % 7 * 60, F.col("height") - k % 11 * 30
+    quad = F.array(point(F.lit(0), F.lit(0)), point(wide, F.lit(0)), point(F.when(k % 13 == 0, F.lit(5)).otherwise(wide), F.when(k % 13 == 0, F.lit(5)).otherwise(high)), point(F.lit(0), high))
+    rows = assets.withColumns({"quad": quad, "warped_area": F.col("width") * F.col("height") * (k % 10) / 10})
+    return extras.plausible_quad(rows).select("doc_id", "plausible", "boundary_warning")
+
+
+@query
+def printed_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    blood = F.element_at(F.array(*map(F.lit, ["Blood Group: O+VE", "B -ve", "AB POSITIVE", "BLOOD GROUP", "A NEG"])), (k % 5 + 1).cast("int"))
+    cov = F.element_at(F.array(*map(F.lit, ["LMV-NT, MCWG", "COV: LMV", "MC / TRANS", "none"])), (k % 4 + 1).cast("int"))
+    return orders.select(k.alias("doc_id"), extras.blood_group(blood).alias("blood"), extras.vehicle_classes(cov).alias("vehicles"))
+
+
+on(X.regions, "name_like", lambda r: r.select("doc_id", "seq", extras.name_like(F.col("text")).alias("name_like")))
+
+
+@query
+def split_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = X.regions(spark, sf_dir).filter("text like 'DL No.%'")
+    halves = F.array(F.struct(F.lit(0).alias("n"), F.substring("text", 8, 5).alias("t")), F.struct(F.lit(1).alias("n"), F.substring("text", 13, 30).alias("t")))
+    rows = whole.select("doc_id", "page_no", "top", "bottom", "confidence", F.explode(halves).alias("h"))
+    return extras.split_licence(rows.select("doc_id", "page_no", F.col("h.n").alias("seq"), F.col("h.t").alias("text"), (40 + 200 * F.col("h.n")).alias("left"), "top", (F.col("bottom") - F.when(F.col("doc_id") % 5 == 0, 22 * F.col("h.n")).otherwise(0)).alias("bottom"), "confidence"))
+
+
+@query
+def compact_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    text = F.concat((k % 4).cast("string"), F.lit(" | PERSON "), F.when(k % 2 == 0, "A").otherwise("B"), F.lit(" | "), F.when(k % 3 == 0, "F").when(k % 3 == 1, "MALE").otherwise("-"), F.lit(" | "), (k % 90 + 10).cast("string"))
+    lines = orders.select(F.floor(k / 8).alias("doc_id"), (k % 8).cast("int").alias("seq"), text.alias("text"))
+    return extras.unique_members(extras.compact_members(lines))
+
+
+@query
+def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, k = spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("o_orderkey")
+    flags = lambda m: [(k % p == m).alias(n) for n, p in (("has_mrz", 2), ("overall_ok", 3), ("has_number", 5), ("has_surname", 7), ("has_birth", 11))]
+    one = orders.select(k.alias("doc_id"), F.lit("targeted").alias("pass"), ((k % 100).cast("double") / 100).alias("confidence"), *flags(0))
+    two = orders.select(k.alias("doc_id"), F.lit("full").alias("pass"), ((k * 7 % 100).cast("double") / 100).alias("confidence"), *flags(1))
+    return extras.best_candidate(one.union(two))
+
+
+@query
+def country_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.upper(F.substring("n_name", 1, 3)).alias("code")).distinct()
+    zones = mrz.parse_mrz(X.passports(spark, sf_dir)).withColumn("country", F.when(F.col("doc_id") % 3 == 0, "UTO").otherwise(F.col("country")))
+    return extras.country_check(zones, codes)
+
+
+@query
+def passport_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = X.passports(spark, sf_dir)
+    return extras.passport_confidence(mrz.parse_mrz(pages), pages)
+
+
+QUERIES["legacy_benchmark"] = judged(lambda s, r: extras.legacy_benchmark(evaluate.observations(s, r)))
