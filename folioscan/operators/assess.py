@@ -53,7 +53,7 @@ def semantic_errors(v, doc_type: Column, as_of: Column) -> Column:
 def assess(extracted: DataFrame, regions: DataFrame, classes: DataFrame, as_of: str) -> DataFrame:
     """doc_id, document_type, complete, confidence, identifier_valid, missing, errors of every typed document."""
     names = sorted({f for fields in dims.REQUIRED.values() for f in fields} | {"issue_date", "validity_date"})
-    wide = extracted.select("doc_id", *[F.try_element_at("values", F.lit(n)).alias(n) for n in names])
+    wide = extracted.select("doc_id", *names)
     docs = classes.filter("document_type != 'unknown' and document_type != 'passport'").select("doc_id", "document_type")
     rows = docs.join(wide, "doc_id", "left").join(R.geometry_confidence(regions), "doc_id", "left")
     kind = F.col("document_type")

@@ -154,10 +154,9 @@ def extract_npr_letter(regions: DataFrame) -> DataFrame:
 
 
 def extract_all(regions: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_id, document_type, values (map of field to value) of every typed document, all types from one set of facts."""
+    """doc_id and one column per field name of any type, filled by each document's own type."""
     rows = facts(regions).join(classes.select("doc_id", "document_type"), "doc_id")
-    maps = None
-    for doc_type, fields in FIELDS.items():
-        own = F.create_map(*[x for n, c in fields().items() for x in (F.lit(n), c.cast("string"))])
-        maps = F.when(F.col("document_type") == doc_type, own) if maps is None else maps.when(F.col("document_type") == doc_type, own)
-    return rows.select("doc_id", "document_type", maps.alias("values")).filter("values is not null")
+    own = {t: fields() for t, fields in FIELDS.items()}
+    names = list(dict.fromkeys(n for fields in own.values() for n in fields))
+    pick = lambda n: F.coalesce(*[F.when(F.col("document_type") == t, fields[n].cast("string")) for t, fields in own.items() if n in fields])
+    return rows.select("doc_id", *[pick(n).alias(n) for n in names])
