@@ -71,13 +71,13 @@ on(X.regions, "extract_driving_licence", extract.extract_driving_licence)
 on(X.regions, "extract_aadhaar", extract.extract_aadhaar)
 on(X.regions, "extract_npr_letter", extract.extract_npr_letter)
 on(X.regions, "extract_nrega", extract.extract_nrega)
-on(X.regions, "scan_results", lambda r: assess.scan_results(r, AS_OF))
+on(X.regions, "scan_results", lambda r: assess.scan_results(r.persist(), AS_OF))  # the derivation is dear; a stored table needs no cache
 on(X.regions, "results_to_json", lambda r: ingest.to_json(classify.classify_documents(r).select("doc_id", "document_type")))
 
 
 @query
 def assess_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = X.regions(spark, sf_dir).repartition("doc_id")
+    regions = X.regions(spark, sf_dir).persist()
     classes, sound = classify.classify_documents(regions), R.trusted(regions)
     return assess.assess(extract.extract_all(sound, classes), sound, classes, AS_OF).withColumn("identifier_valid", F.col("identifier_valid").cast("string"))
 
