@@ -287,8 +287,8 @@ SQL["check_manifest"] = f"""WITH {EVAL}, doubled AS (SELECT sample_id, accepted
     UNION ALL SELECT sample_id, 'NULL_REQUIRED_FIELD' FROM doubled WHERE accepted AND sample_id % 13 <> 0 AND sample_id % 17 = 0"""
 LOG = "log AS (SELECT event_id AS doc_id, ts, CASE event_type WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'unsupported_page' ELSE 'success' END AS status, CAST(trunc(value * 10) AS INT) AS processing_ms FROM events)"
 SQL["latency_report"] = f"WITH {LOG} SELECT status, count(*) AS scans, round_even(avg(processing_ms), 4) AS mean_ms, median(processing_ms) AS median_ms FROM log GROUP BY status"
-SQL["stream_quality"] = f"WITH {LOG} SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, status, count(*) AS scans, sum(processing_ms) AS total_ms FROM log GROUP BY ALL"
-SQL["stream_quality_sliding"] = f"WITH {LOG} SELECT start, status, count(*) AS scans, sum(processing_ms) AS total_ms FROM (SELECT time_bucket(INTERVAL '30 minutes', ts) - CAST(k * 30 AS INT) * INTERVAL '1 minute' AS start, status, processing_ms FROM log, (VALUES (0), (1)) AS v(k)) GROUP BY ALL"
+SQL["stream_quality"] = f"WITH {LOG} SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, status, count(*) AS scans, CAST(sum(processing_ms) AS BIGINT) AS total_ms FROM log GROUP BY ALL"
+SQL["stream_quality_sliding"] = f"WITH {LOG} SELECT start, status, count(*) AS scans, CAST(sum(processing_ms) AS BIGINT) AS total_ms FROM (SELECT time_bucket(INTERVAL '30 minutes', ts) - CAST(k * 30 AS INT) * INTERVAL '1 minute' AS start, status, processing_ms FROM log, (VALUES (0), (1)) AS v(k)) GROUP BY ALL"
 SQL["stream_sessions"] = f"WITH {LOG}, marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY status ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM log) SELECT min(ts) AS start, status, count(*) AS scans FROM (SELECT *, sum(fresh) OVER (PARTITION BY status ORDER BY ts, doc_id) AS g FROM marked) GROUP BY status, g"
 SQL["plausible_quad"] = f"""SELECT doc_id, ok AS plausible, CASE WHEN NOT ok THEN 'NO_DOCUMENT_BOUNDARY_DETECTED' WHEN width * height * (doc_id % 10) / 10.0 < 0.5 * width * height THEN 'PERSPECTIVE_CORRECTION_DISCARDED' END AS boundary_warning
     FROM (SELECT *, w > 0 AND h > 0 AND doc_id % 13 <> 0 AND w * h >= 0.3 * width * height AND w / CAST(h AS DOUBLE) BETWEEN 0.5 AND 3.0 AS ok FROM (SELECT *, width - doc_id % 7 * 60 AS w, height - doc_id % 11 * 30 AS h FROM ({X.ASSETS_SQL})))"""
@@ -303,3 +303,5 @@ SQL["best_candidate"] = f"SELECT doc_id, CASE WHEN b > a THEN 'full' ELSE 'targe
 SQL["country_check"] = f"SELECT doc_id, 'UNKNOWN_COUNTRY_CODE_' || c AS warning FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'UTO' ELSE country END AS c FROM ({SQL['parse_mrz']})) WHERE c NOT IN (SELECT upper(substr(n_name, 1, 3)) FROM nation)"
 SQL["passport_confidence"] = f"WITH {PASSPORTS} SELECT r.doc_id, round_even(least(1.0, 0.4 * coalesce(CASE WHEN overall_ok THEN 1.0 ELSE 0.7 * (CAST(number_ok AS INT) + CAST(birth_ok AS INT) + CAST(expiry_ok AS INT)) / 3 END, 0) + 0.15 + 0.3 * ocr), 3) AS confidence FROM (SELECT doc_id, avg(confidence) AS ocr FROM regions GROUP BY doc_id) r LEFT JOIN ({SQL['parse_mrz']}) z USING (doc_id)"
 SQL["legacy_benchmark"] = f"WITH {EVAL} SELECT status_match, field_exact, status_match >= 0.95 AS status_gate, field_exact >= 0.97 AS field_gate FROM (SELECT round_even(avg(CAST(expected_accepted = actual_accepted AS INT)), 6) AS status_match, round_even(avg(CAST(complete_exact AS INT)), 6) AS field_exact FROM observed)"
+for _name in ("classify_documents", "classify_pages", "assess_extraction", "scan_results", "passport_confidence"):  # decimal literals to doubles, as in Spark
+    SQL[_name] = f"SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ({SQL[_name]})"
