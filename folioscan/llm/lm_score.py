@@ -1,14 +1,16 @@
 """Masked pseudo-likelihood of documents by a bidirectional window network.
 
 The network predicts every word from the two words on either side: context embeddings weighted by position sum to
-a hidden vector, a two-level softmax (class, then word in its class) gives the word's probability. Words are ids: the
-SLOTS / 2 most frequent of the corpus, counted over all documents, and hash buckets for the rest.
+a hidden vector, a softmax over classes and slots of a class gives the slot's probability, and a table of all words of
+the corpus the word's within its slot. The SLOTS / 2 most frequent words have slots of their own, the others
+share hash slots; there a word's probability is its count over the slot's, with one count left for any unseen word.
+That table has a row for every distinct word and is joined in Spark, so it grows with the corpus.
 
-Training covers every word of every document: each partition runs Adagrad over its own texts in numpy, starting from
-the same weights, and the partitions' weights are averaged by tokens, FAN at a time, in rounds. A document's
-score is the sum of its words' conditional log-probabilities.
+Training covers every word of every document: partitions of at least PART_TOKENS words run Adagrad over their own texts in numpy, starting from
+the same weights, and the partitions' weights are averaged by tokens, FAN at a time, in rounds; a corpus of fewer words
+takes more rounds. A document's log_prob sums its slots' conditional log-probabilities, word_log_prob its words'.
 
-Defined results: null, empty and blank texts have no words, log_prob 0 and mean_log_prob 0; very long texts are read whole;
+Defined results: null, empty and blank texts have no words and all sums and means 0; very long texts are read whole;
 equal texts have equal scores; an empty table gives an empty table.
 """
 
@@ -20,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -29,6 +31,10 @@ CLASSES, PER_CLASS, WIDTH, SIDE = 32, 32, 16, 2
 SLOTS = CLASSES * PER_CLASS
 ROUNDS, BATCH, RATE = 1, 4096, 0.3
 FAN = 32
+#: Words that a training partition has at least, and rounds that a smaller corpus takes at most.
+PART_TOKENS, MOST_ROUNDS = 1 << 20, 8
+#: Log-probabilities within slots are whole multiples of 1 / GRAIN, so that their sums don't depend on the order.
+GRAIN = 1_000_000
 
 
 class Network:
@@ -107,6 +113,11 @@ class Network:
 def tokens(texts: list[str], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, context ids, where each text begins): frequent words by rank, others by bucket."""
     hashes, at = shingles.word_hashes(texts)
+    return *placed(hashes, at, frequent), at
+
+
+def placed(hashes: np.ndarray, at: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, context ids) of hashed words."""
     ordered, rank = frequent[np.argsort(frequent)], np.argsort(frequent)
     spot = np.minimum(np.searchsorted(ordered, hashes), max(0, len(ordered) - 1))
     rest = len(frequent) + (hashes % np.uint64(SLOTS - len(frequent))).astype(np.int64)
@@ -120,11 +131,22 @@ def tokens(texts: list[str], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarr
         to = index + move
         inside = (to >= start) & (to < stop)
         context[inside, k] = ids[to[inside]]
-    return ids, context, at
+    return ids, context
+
 
+def rare_words(hashes: np.ndarray, ids: np.ndarray, at: np.ndarray, known: int) -> tuple[pa.Array, pa.Array]:
+    """Distinct words of each text that have no slot of their own, and how often each occurs."""
+    rare = np.flatnonzero(ids >= known)
+    text = np.searchsorted(at, rare, side="right") - 1
+    order = np.lexsort((hashes[rare], text))
+    text, word = text[order], hashes[rare][order]
+    new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (text[1:] != text[:-1])])) if len(word) else np.zeros(0, np.int64)
+    offsets = pa.array(np.searchsorted(text[new], np.arange(len(at))), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(word[new].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(new, len(word))), pa.int64()))
 
-def frequent_words(rows: DataFrame, count: int = SLOTS // 2) -> np.ndarray:
-    """Hashes of the corpus's most frequent words, over all documents; at most ``count`` reach the driver."""
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Table of (word, n): every distinct word of the corpus by its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,10 +157,35 @@ def frequent_words(rows: DataFrame, count: int = SLOTS // 2) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
 
     counted = rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return common.written(counted, "lm-words")
+
+
+def frequent_words(counted: DataFrame, count: int = SLOTS // 2) -> np.ndarray:
+    """Hashes of the corpus's most frequent words; at most ``count`` reach the driver."""
     top = counted.orderBy(F.desc("n"), "word").limit(count).collect()
     return np.array([r.word for r in top], np.int64).view(np.uint64)
 
 
+def slot_of(known: int) -> Column:
+    """Hash slot of a word, counted from 0: its hash as an unsigned number modulo the hash slots."""
+    count = SLOTS - known
+    signed = F.pmod(F.col("word"), F.lit(count))
+    return F.when(F.col("word") < 0, F.pmod(signed + (1 << 64) % count, F.lit(count))).otherwise(signed).cast("int")
+
+
+def words_in_slots(counted: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """Table of (word, grains: log-probability within its slot) of all words without their own slot; grains of an unseen word by slot."""
+    own = F.broadcast(counted.sparkSession.createDataFrame([(w,) for w in frequent.view(np.int64).tolist()], "word long"))
+    rest = counted.join(own, "word", "left_anti").withColumn("slot", slot_of(len(frequent)))
+    totals = np.ones(SLOTS - len(frequent))
+    for r in rest.groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
+        totals[r.slot] += r.n
+    logs = np.log(totals)
+    log_total = F.element_at(F.lit(logs.tolist()), F.col("slot") + 1)
+    words = rest.select("word", F.round((F.log("n") - log_total) * GRAIN).cast("long").alias("grains"))
+    return common.written(words, "lm-slots"), np.round(-logs * GRAIN).astype(np.int64)
+
+
 def averaged(parts: DataFrame) -> np.ndarray | None:
     """Token-weighted mean of the partitions' weights, FAN at a time."""
 
@@ -157,9 +204,14 @@ def averaged(parts: DataFrame) -> np.ndarray | None:
 
 
 def fit(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> dict:
-    """Model: hashes of the frequent words and the network's weights."""
+    """Model: hashes of the frequent words, the network's weights, all other words' probabilities in their slots."""
     rows = docs.select(common.text_of(text_col).alias("text"))
-    frequent = frequent_words(rows)
+    counted = word_counts(rows)
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = frequent_words(counted)
+    words, unseen = words_in_slots(counted, frequent)
+    rows = rows.coalesce(max(1, total // PART_TOKENS))
+    rounds = max(rounds, min(MOST_ROUNDS, -(-PART_TOKENS // max(1, total))))
     flat = Network.fresh().flat
     for _ in range(rounds):
         start = flat
@@ -178,23 +230,41 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col:
 
         got = averaged(rows.mapInArrow(run, "part long, weight double, flat binary"))
         flat = flat if got is None else got
-    return {"frequent": frequent, "flat": flat}
+    return {"frequent": frequent, "flat": flat, "words": words, "unseen": unseen}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, log_prob (sum over the words), mean_log_prob of every row's whole text; narrow."""
+    """doc_id, n_tokens, log_prob (sum over the slots), word_log_prob (over the words) and their means, of every row's whole text.
+
+    The network's part is narrow. Within slots a text is a bag of words, so its distinct rare words meet the table of
+    all words in one join. A model without that table gives no word_log_prob.
+    """
     frequent, flat = model["frequent"], model["flat"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(flat)
+        net, row = Network(flat), TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in shingles.blocks(texts):
-                ids, context, at = tokens(texts[a:b], frequent)
+                hashes, at = shingles.word_hashes(texts[a:b])
+                ids, context = placed(hashes, at, frequent)
                 each = np.concatenate([net.log_probs(ids[k : k + BATCH], context[k : k + BATCH]) for k in range(0, len(ids), BATCH)] or [np.zeros(0)])
                 n = np.diff(at)
                 total = np.array([each[at[k] : at[k + 1]].sum() for k in range(len(n))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(total / np.maximum(n, 1), pa.float64())], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+                words, counts = rare_words(hashes, ids, at, len(frequent))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b - a)), batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(total, pa.float64()), words, counts], ["row", "doc_id", "n_tokens", "log_prob", "words", "counts"])
+                row += b - a
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    rows = rows.mapInArrow(run, "row long, doc_id long, n_tokens long, log_prob double, words array<long>, counts array<long>")
+    mean = lambda c: (F.col(c) / F.greatest("n_tokens", F.lit(1))).alias(f"mean_{c}")
+    if "words" not in model:
+        rows = rows.withColumn("word_log_prob", F.lit(None).cast("double"))
+    else:
+        rows = common.written(rows, "lm-rows")
+        bags = rows.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+        unseen = F.element_at(F.lit(model["unseen"].tolist()), slot_of(len(frequent)) + 1)
+        met = bags.join(model["words"].hint("merge"), "word", "left").select("row", (F.col("n") * F.coalesce("grains", unseen)).alias("grains"))
+        sums = met.groupBy("row").agg((F.sum("grains") / GRAIN).alias("within"))
+        rows = rows.drop("words", "counts").join(sums, "row", "left").withColumn("word_log_prob", F.col("log_prob") + F.coalesce("within", F.lit(0.0)))
+    return rows.select("doc_id", "n_tokens", "log_prob", mean("log_prob"), "word_log_prob", mean("word_log_prob"))
