@@ -13,8 +13,9 @@
 
 Defined results: null and empty texts have no shingles and form one class among themselves; texts of one to four
 words are a single shingle; a link joins two different classes (texts with different shingle sets) with
-a Jaccard of at least the threshold; ``links`` counts them for every copy alike; rows that repeat are copies; a null
-doc_id is a row like any other but never names a class that has another id.
+a Jaccard of at least the threshold; ``links`` counts them for every copy alike; rows that repeat are copies; an id
+may carry several texts. Classes are told apart by their shingle sets and named by doc_id only in the result: a null doc_id
+is a row like any other but never names a class that has another id.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, shingles
@@ -33,19 +34,42 @@ THRESHOLD, RECALL, SIDE = 0.8, 0.9999, 192
 
 
 def sketch(docs: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, set_key, bands of every row; narrow."""
+    """doc_id, digest, set_key, bands of every row; narrow."""
     bands, rows = shingles.choose_bands(threshold, recall)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in shingles.blocks(texts):
                 sets = shingles.shingle_sets(texts[a:b])
                 keys = shingles.band_hashes(shingles.signatures(sets, bands * rows), bands, rows).view(np.int64)
                 listed = [k.tolist() if len(s) else [] for k, s in zip(keys, sets, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(map(shingles.set_key, sets), pa.string()), pa.array(listed, pa.list_(pa.int64()))], ["doc_id", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(map(shingles.set_key, sets), pa.string()), pa.array(listed, pa.list_(pa.int64()))], ["doc_id", "digest", "set_key", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, set_key string, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(text_col).alias("digest"), common.text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, digest string, set_key string, bands array<long>")
+
+
+def digest_of(text_col: str) -> Column:
+    return F.sha2(common.text_of(text_col), 256)
+
+
+def id_of(col: str) -> Column:
+    """An id as a join key; null is the empty string."""
+    return F.coalesce(F.col(col).cast("long").cast("string"), F.lit(""))
+
+
+def classes_of(sketched: DataFrame) -> DataFrame:
+    """Table of one row per shingle set: set_key, rep (its number), copies, bands, doc_id (smallest), id and digest of one of its rows.
+
+    The number is a hash of the set's digest; should two sets ever share one, all are numbered anew.
+    """
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    classes = sketched.groupBy("set_key").agg(row.alias("row"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = classes.select("set_key", F.xxhash64("set_key").alias("rep"), "copies", "bands", F.col("row.doc_id").alias("doc_id"), id_of("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest"))
+    classes = common.written(classes, "join-classes")
+    if not classes.groupBy("rep").count().filter("count > 1").isEmpty():
+        classes = common.written(classes.withColumn("rep", F.monotonically_increasing_id()), "join-classes")
+    return classes
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +123,14 @@ def verifier(threshold: float):
         counts = np.bincount(pairs[mine].ravel(), minlength=len(sets)) if len(pairs) else np.zeros(len(sets), int)
         edges = _forest(len(sets), pairs)
         rows = [(int(reps[k]), None, int(c)) for k, c in enumerate(counts) if c] + [(int(reps[a]), int(reps[b]), 0) for a, b in edges]
-        return pd.DataFrame(rows, columns=["a", "b", "links"]).astype({"b": "Int64"})
+        a, b, links = ([r[k] for r in rows] for k in range(3))
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": pd.array(b, dtype="Int64"), "links": np.array(links, np.int64)})  # never by way of floats
 
     return run
 
 
 def verified(docs: DataFrame, classes: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """Table of (a, null, links counted in a block) and (a, b, 0) forest edges between class ids."""
+    """Table of (a, null, links counted in a block) and (a, b, 0) forest edges between class numbers."""
     keyed = classes.select("rep", F.explode("bands").alias("band"))
     pivots = keyed.groupBy("band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
     met = keyed.join(pivots, "band").select("pivot", "rep").distinct()
@@ -115,8 +140,9 @@ def verified(docs: DataFrame, classes: DataFrame, threshold: float, id_col: str,
     parts = met.join(sizes, "pivot").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     parts = parts.select("pivot", "rep", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), common.text_of(text_col).alias("text"))
-    texts = texts.join(spread.hint("merge"), "rep", "left_semi").select("rep", "text")  # the same plan at every size
+    wanted = classes.join(spread.hint("merge"), "rep", "left_semi").select("_digest", "_id", "rep")
+    texts = docs.select(digest_of(text_col).alias("_digest"), id_of(id_col).alias("_id"), common.text_of(text_col).alias("text"))
+    texts = texts.join(wanted.hint("merge"), ["_digest", "_id"]).select("rep", "text")  # the same plan at every size
     sets = texts.mapInArrow(_sets, "rep long, shingles array<long>").join(spread.hint("merge"), "rep")
     sets = sets.dropDuplicates(["rep"])
     blocks = parts.join(sets.hint("merge"), "rep").groupBy("pivot", "low", "high")
@@ -142,23 +168,37 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def grouped(docs: DataFrame, sketched: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """One row per class: set_key, group (its number), class_id, text_class, copies, links, id and digest of one of its rows."""
+    classes = classes_of(sketched)
+    links = verified(docs, classes, threshold, id_col, text_col)
+    labels = components(links.filter("b is not null"))
+    counts = links.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
+    named = classes.drop("bands").join(labels, F.col("rep") == F.col("node"), "left").join(counts, F.col("rep") == F.col("a"), "left")
+    named = common.written(named.select("set_key", F.coalesce("label", "rep").alias("group"), F.col("doc_id").alias("text_class"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "_id", "_digest"), "join-named")
+    names = named.groupBy("group").agg(F.min("text_class").alias("class_id"))
+    return named.join(names, "group")
+
+
+def looked_up(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``rows`` (with doc_id and set_key) and the class of each."""
+    total = named.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    named = named.select("set_key", "class_id", "text_class", "copies", "links")
+    return common.resolve(rows, named, "set_key", "copies", total, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of its group), text_class (of equal shingle sets), links."""
     sketched = common.written(sketch(docs, threshold, recall, id_col, text_col), "join-sketch")
-    classes = sketched.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    classes = common.written(classes, "join-classes")
-    links = verified(docs, classes.filter("rep is not null"), threshold, id_col, text_col)
-    labels = components(links.filter("b is not null"))
-    counts = links.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    named = classes.select("set_key", "rep", "copies").join(labels, F.col("rep") == F.col("node"), "left").join(counts, F.col("rep") == F.col("a"), "left")
-    named = named.select("set_key", F.coalesce("label", "rep").alias("class_id"), F.col("rep").alias("text_class"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
-    total = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    rows = common.resolve(sketched.select("doc_id", "set_key"), named, "set_key", "copies", total, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = looked_up(sketched.select("doc_id", "set_key"), grouped(docs, sketched, threshold, id_col, text_col))
     return rows.select("doc_id", "class_id", "text_class", "copies", "links")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose id names their group (one document of each group stays); columns as they came."""
-    groups = near_groups(docs, threshold, recall, id_col, text_col)
-    kept = groups.filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi")
+    """One whole row of each group, that of the smallest id (null last; of several texts by digest); columns as they came."""
+    sketched = common.written(sketch(docs, threshold, recall, id_col, text_col), "join-sketch")
+    named = grouped(docs, sketched, threshold, id_col, text_col)
+    kept = named.groupBy("group").agg(F.min(F.struct(F.col("text_class").isNull().alias("none"), "text_class", "_digest", "_id")).alias("row"))
+    kept = kept.select("row._digest", "row._id")
+    rows = docs.withColumn("_digest", digest_of(text_col)).withColumn("_id", id_of(id_col)).join(kept.hint("merge"), ["_digest", "_id"], "left_semi")
+    return rows.dropDuplicates(["_digest", "_id"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,7 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from folioscan.llm import lm_score, shingles
+from folioscan.llm import lm_score, ngram_join, shingles
 
 
 def test_rare_words_have_probabilities_of_their_own(spark):
@@ -33,3 +33,20 @@ def test_many_small_partitions_still_train(spark):
     df = spark.createDataFrame([(k, "a b c d e f g h " * 20) for k in range(64)], "doc_id long, text string")
     whole, split = (lm_score.score(d, lm_score.fit(d)).agg({"mean_log_prob": "avg"}).first()[0] for d in (df.coalesce(1), df.repartition(64)))
     assert split > whole - 0.2
+
+
+def near_texts():
+    base = [f"w{k}" for k in range(100)]
+    return [" ".join(base), " ".join([*base[:50], "new", *base[51:]]), " ".join([*base[:53], "other", *base[54:]])]
+
+
+def test_null_and_repeated_ids_keep_their_texts(spark):
+    a, b, c = near_texts()
+    far = " ".join(f"u{k}" for k in range(60))
+    rows = [(None, "lone", 1), (None, a, 2), (None, b, 3), (7, far, 4), (7, c, 5), (7, "unlike all else", 6), (8, far + " end", 7), (9, "one more", 8), (9, "one more", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept long").repartition(3)
+    got = {(r.doc_id, r.class_id, r.links): 0 for r in ngram_join.near_groups(df).collect()}
+    assert set(got) == {(None, None, 0), (None, 7, 2), (7, 7, 2), (7, 7, 1), (7, 7, 0), (8, 7, 1), (9, 9, 0)}
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.text for r in kept.collect()) == sorted(["lone", c, far, "unlike all else", "one more"])
