@@ -1,8 +1,7 @@
 """MinHash fingerprints of whole texts, likeness of fingerprints, near pairs by signature bands.
 
 HASHES universal permutations run over a text's shingles in numpy; the fingerprint is the upper 16 bits of each
-minimum in hex. Texts of at least SHORT code points take word shingles, shorter ones runs of five code
-points, for a short text has too few words to be likened by them. The rule depends on the text alone, so equal
+minimum in hex. Texts of every length take the same word shingles, so that any two can be likened, and equal
 texts have equal fingerprints.
 
 The next document comes without a global sort: rows are dealt to id ranges, each range also gets the first row of
@@ -25,19 +24,15 @@ from pyspark.sql import functions as F
 
 from . import common, shingles
 
-HASHES, SHORT = 128, 512
+HASHES = 128
 #: Rows of an id range on average; ranges are at most RANGES for each shuffle partition.
 RANGE_ROWS, RANGES = 256, 8
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def sets_of(texts: list[str]) -> list[np.ndarray]:
-    """Distinct shingle hashes, of words or of code points by the text's length."""
-    long = [k for k, t in enumerate(texts) if len(t) >= SHORT]
-    out = [np.unique(shingles.char_hashes(t)) if len(t) < SHORT else None for t in texts]
-    for k, s in zip(long, shingles.shingle_sets([texts[k] for k in long]), strict=True):
-        out[k] = s
-    return out
+    """Distinct hashes of word shingles, by one rule for every length."""
+    return shingles.shingle_sets(texts)
 
 
 def prints(texts: list[str], hashes: int = HASHES) -> np.ndarray:

@@ -3,7 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from folioscan.llm import lm_score, ngram_join, shingles
+from folioscan.llm import fingerprints, lm_score, ngram_join, shingles
 
 
 def test_rare_words_have_probabilities_of_their_own(spark):
@@ -50,3 +50,10 @@ def test_null_and_repeated_ids_keep_their_texts(spark):
     kept = ngram_join.keep_one(df)
     assert kept.columns == df.columns
     assert sorted(r.text for r in kept.collect()) == sorted(["lone", c, far, "unlike all else", "one more"])
+
+
+def test_near_copies_across_512_code_points():
+    long = " ".join(f"word{k:03d}" for k in range(65))[:515]
+    short = long[:505]
+    a, b = fingerprints.prints([long, short])
+    assert len(short) < 512 <= len(long) and (a == b).mean() > 0.8
