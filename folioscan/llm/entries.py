@@ -16,7 +16,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint(common.documents(spark, sf_dir))
+    return fingerprints.near_groups(common.documents(spark, sf_dir))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, shingles
+from . import common, ngram_join, shingles
 
 HASHES = 128
 #: Rows of an id range on average; ranges are at most RANGES for each shuffle partition.
 RANGE_ROWS, RANGES = 256, 8
+#: Likeness of near texts, and the chance that the bands of their fingerprints meet.
+THRESHOLD, RECALL = 0.8, 0.999
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -37,7 +39,11 @@ def sets_of(texts: list[str]) -> list[np.ndarray]:
 
 def prints(texts: list[str], hashes: int = HASHES) -> np.ndarray:
     """texts x hashes of 16 bits."""
-    return (shingles.signatures(sets_of(texts), hashes) >> np.uint32(16)).astype(">u2")
+    return printed(sets_of(texts), hashes)
+
+
+def printed(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
+    return (shingles.signatures(sets, hashes) >> np.uint32(16)).astype(">u2")
 
 
 def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +52,8 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(rows):
         if len(rows) < 2:
             return None
-        own = prints([r[3] for r in rows])
+        sets = sets_of([r[3] for r in rows])
+        own = printed(sets)
         at = [k for k in range(len(rows) - 1) if not rows[k][1]]
         if not at:
             return None
@@ -56,6 +63,7 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = len(text) // 4
             edited.append(text[: len(text) - part] + after[:part])
         new = prints(edited)
+        bands = shingles.band_hashes(own, *shingles.choose_bands(THRESHOLD, RECALL, HASHES)).view(np.int64)
         return pa.RecordBatch.from_pydict({
             "doc_id": pa.array([rows[k][2] for k in at], pa.int64()),
             "n_chars": pa.array([len(rows[k][3]) for k in at], pa.int64()),
@@ -64,6 +72,9 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "edited_fingerprint": [p.tobytes().hex() for p in new],
             "near_edited": (own[at] == new).mean(1),
             "near_next": (own[at] == own[np.array(at) + 1]).mean(1),
+            "digest": [hashlib.sha256(rows[k][3].encode("utf-8")).hexdigest() for k in at],
+            "set_key": [shingles.set_key(sets[k]) for k in at],
+            "bands": pa.array([bands[k].tolist() if len(sets[k]) else [] for k in at], pa.list_(pa.int64())),
         })
 
     rows, size = [], 0
@@ -81,6 +92,18 @@ def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of each row's text and of its edited text, and their likeness."""
+    return keyed_prints(docs, id_col, text_col).drop("digest", "set_key", "bands")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints, and of each row its class_id and links: the fingerprints' bands meet, all links of a band are verified."""
+    rows = common.written(keyed_prints(docs, id_col, text_col), "print-rows")
+    named = ngram_join.grouped(docs, rows, THRESHOLD, id_col, text_col)
+    return ngram_join.looked_up(rows.drop("digest", "bands"), named).drop("set_key", "text_class", "copies")
+
+
+def keyed_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Fingerprints with each text's digest, shingle set's key and bands."""
     spark = docs.sparkSession
     least = F.lit(-(1 << 63)).cast("long")
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("at"))
@@ -102,24 +125,23 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     more = F.struct(F.col("serves").alias("bucket"), F.lit(1).alias("extra"))
     rows = rows.withColumn("to", F.explode(F.when(F.col("serves").isNull(), F.array(own)).otherwise(F.array(own, more))))
     rows = rows.select("to.bucket", "to.extra", "at", "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "extra", "at", "text")
-    return rows.select("bucket", "extra", "doc_id", "text").mapInArrow(walk, OUT)
+    return rows.select("bucket", "extra", "doc_id", "text").mapInArrow(walk, OUT + ", digest string, set_key string, bands array<long>")
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """a, b, jaccard: pairs whose signature bands meet in Spark and whose word shingles have the Jaccard.
 
-    Texts with equal shingles are one class and a band's classes pair with its smallest id only, so a
-    large group of copies stays linear; ngram_join has all links and groups.
+    Texts with equal shingles are one class, named by its smallest id; all classes of a band pair.
     """
-    from . import ngram_join
-
     sketched = common.written(ngram_join.sketch(docs, threshold, recall, id_col, text_col), "print-sketch")
-    classes = sketched.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = ngram_join.classes_of(sketched)
     keyed = classes.select("rep", F.explode("bands").alias("band"))
-    pivots = keyed.groupBy("band").agg(F.min("rep").alias("a"))
-    pairs = keyed.join(pivots, "band").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    sets = docs.select(F.col(id_col).cast("long").alias("rep"), common.text_of(text_col).alias("text")).mapInArrow(ngram_join._sets, "rep long, shingles array<long>")
-    left, right = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    joined = pairs.join(left, "a").join(right, "b")
+    pairs = keyed.select("band", F.col("rep").alias("ra")).join(keyed.select("band", F.col("rep").alias("rb")), "band").filter("ra < rb").select("ra", "rb").distinct()
+    texts = docs.select(ngram_join.digest_of(text_col).alias("_digest"), ngram_join.id_of(id_col).alias("_id"), common.text_of(text_col).alias("text"))
+    texts = texts.join(classes.select("_digest", "_id", "rep"), ["_digest", "_id"]).select("rep", "text")
+    sets = texts.mapInArrow(ngram_join._sets, "rep long, shingles array<long>").dropDuplicates(["rep"]).join(classes.select("rep", "doc_id"), "rep")
+    left, right = (sets.select(F.col("rep").alias(f"r{c}"), F.col("doc_id").alias(f"d{c}"), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    joined = pairs.join(left, "ra").join(right, "rb")
     both = F.size(F.array_intersect("sa", "sb"))
-    return joined.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    joined = joined.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
+    return joined.filter(F.col("jaccard") >= threshold)

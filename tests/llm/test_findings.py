@@ -57,3 +57,11 @@ def test_near_copies_across_512_code_points():
     short = long[:505]
     a, b = fingerprints.prints([long, short])
     assert len(short) < 512 <= len(long) and (a == b).mean() > 0.8
+
+
+def test_fingerprints_join_all_links_of_a_band(spark):
+    rows = list(enumerate([*near_texts(), "far away from all of them", ""]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.links) for r in fingerprints.near_groups(df).collect()}
+    assert got == {0: (0, 2), 1: (0, 2), 2: (0, 2), 3: (3, 0), 4: (4, 0)}
+    assert {(r.a, r.b) for r in fingerprints.near_pairs(df, threshold=0.75).collect()} == {(0, 1), (0, 2), (1, 2)}
