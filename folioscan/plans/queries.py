@@ -100,6 +100,12 @@ def icao_check_digit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.regions(spark, sf_dir).filter(F.length(text) == 9).select("doc_id", "seq", text.alias("data"), checksum.icao_digit(text).alias("digit"))
 
 
+@query
+def icao_check_digit_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = I.compact(F.col("text"))
+    return X.regions(spark, sf_dir).select("doc_id", "seq", text.alias("data"), checksum.icao_digit(text).alias("digit"))
+
+
 @query
 def mrz_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.passports(spark, sf_dir).filter("seq = 4").withColumn("line", T.pad44(T.clean_mrz(F.col("text"))))
