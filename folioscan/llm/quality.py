@@ -166,9 +166,11 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sample_of(rows: DataFrame, size: int) -> DataFrame:
-    """The rows of at most ``size`` ids, chosen by a hash of the id; only ids are sorted."""
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    return rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    """At most ``size`` rows, chosen by hashes of id and text, each id and text once; only ids and hashes are sorted."""
+    keyed = rows.withColumn("_hash", F.xxhash64("text"))
+    chosen = keyed.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_own")).distinct().orderBy(F.xxhash64("_id"), "_id", "_own").limit(size)
+    met = keyed.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_own")), "left_semi")
+    return met.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -189,7 +191,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
         w = train(x, np.array([y for _, y in got])) if got else np.zeros(WIDTH + 1)
         yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], ["weights"])
 
-    weights = seen.coalesce(1).mapInArrow(fitted, "weights array<double>").first()
+    weights = seen.repartition(1).mapInArrow(fitted, "weights array<double>").first()
     return {"weights": np.array(weights[0]) if weights else np.zeros(WIDTH + 1), "accuracy": accuracy, "prior": prior}
 
 

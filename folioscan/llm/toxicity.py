@@ -150,11 +150,12 @@ def held_out(id_col: str = "doc_id"):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """text, toxic of at most ``size`` labelled rows outside the held-out fold, chosen by a hash of the id; each text once."""
+    """text, toxic of at most ``size`` labelled rows outside the held-out fold, chosen by a hash of the id; one text of each id, each text once."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and _id is not null").dropDuplicates(["_id"])
     known = known.filter(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(size)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), common.text_of(text_col).alias("text"))
-    return rows.join(F.broadcast(known), "_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    met = rows.join(F.broadcast(known), "_id").groupBy("_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("row"))
+    return met.select("row.text", "row.toxic").groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = LEARN, id_col: str = "doc_id", text_col: str = "text") -> dict:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from folioscan.functions import checksum
-from folioscan.llm import fingerprints, lm_score, ngram_join, shingles
+from folioscan.llm import fingerprints, lm_score, ngram_join, quality, shingles, toxicity
 
 
 def test_rare_words_have_probabilities_of_their_own(spark):
@@ -78,3 +78,11 @@ def test_icao_digits_of_whole_regions(spark, monkeypatch):
     assert len(rows) == len(texts) and max(len(r.data) for r in rows) == 500
     for r in rows:
         assert r.digit == sum(value(c) * (7, 3, 1)[k % 3] for k, c in enumerate(r.data)) % 10
+
+
+def test_samples_bound_rows(spark):
+    rows = [(1, f"text {k}") for k in range(200)] + [(k, "once") for k in range(2, 40)] + [(None, "null id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert quality.sample_of(df, 20).count() == 20 and quality.sample_of(df, 10**4).count() == len(rows)
+    labels = spark.createDataFrame([(k, 1) for k in range(1, 40)], "doc_id long, toxic int")
+    assert toxicity.labelled(df, labels, 30, "doc_id", "text").count() <= 2
