@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 HOT_SHARE = 1e-3
 #: Rows that one window partition of a rank holds on average.
 RANK_ROWS = 50_000
+#: Bits of a key filter: 16 MB at most, whatever it holds.
+FILTER_BITS = 1 << 27
 
 _own_dir: list[str] = []
 
@@ -83,3 +85,24 @@ def resolve(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return found.select(*rows.columns, *[whole[c].alias(c) for c in kept])
 
 
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """Bitmap of the keys' hashes in pages of 4 KB; FILTER_BITS bounds its size, so it may be broadcast at any size.
+
+    Keys move by page, 8 bytes each; a page is made where its keys are.
+    """
+    spots = keys.select(_spot(key).alias("spot")).withColumn("_page", F.bitmap_bucket_number("spot")).repartition("_page")
+    return spots.groupBy("_page").agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("_bits"))
+
+
+def marked(rows: DataFrame, bitmap: DataFrame, key: str, out: str) -> DataFrame:
+    """Adds ``out``: false where the key is surely not in the filter. The more keys a filter holds, the more rows it lets
+    through; an exact join of those must follow."""
+    place = F.bitmap_bit_position(_spot(key))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    found = rows.join(F.broadcast(bitmap), F.bitmap_bucket_number(_spot(key)) == F.col("_page"), "left")
+    return found.withColumn(out, F.coalesce(bit, F.lit(False))).drop("_page", "_bits")
+
+
+def _spot(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1

@@ -1,14 +1,17 @@
-"""MinHash fingerprints of whole texts, likeness of fingerprints, near pairs by signature bands.
+"""MinHash fingerprints of whole texts, likeness of fingerprints, near texts by signature bands.
 
-HASHES universal permutations run over a text's shingles in numpy; the fingerprint is the upper 16 bits of each
-minimum in hex. Texts of every length take the same word shingles, so that any two can be likened, and equal
-texts have equal fingerprints.
+HASHES universal permutations run over a text's word shingles in numpy; the fingerprint is the upper 16 bits of each
+minimum in hex. Texts of every length take the same shingles, so that any two can be likened, and equal
+texts have equal fingerprints. Bands of the signature meet in Spark, and the Jaccard of all that meet is verified on
+whole shingle sets (``ngram_join``): class_id and links.
 
-The next document comes without a global sort: rows are dealt to id ranges, each range also gets the first row of
-the range after it, and a task walks its ranges in order. Text moves once.
+The next document comes without a global sort: rows are dealt to ranges of (id, hash of text), each range also gets
+the first row of the range after it, and a task walks its ranges in order. Text moves once, packed (zstd); the
+classes of a range's texts, where a text has a copy or a link, go to the same range.
 
 Defined results: null text is empty; an empty text's fingerprint is all f, like to itself only; ids that repeat go in
-order of text; a null id comes first; a sole document is its own next; an empty table gives an empty table.
+order of a hash of the text; a null id comes first; a sole document is its own next; an empty table gives an empty
+table; rows that repeat are copies; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,123 +28,146 @@ from pyspark.sql import functions as F
 from . import common, ngram_join, shingles
 
 HASHES = 128
-#: Rows of an id range on average; ranges are at most RANGES for each shuffle partition.
-RANGE_ROWS, RANGES = 256, 8
-#: Likeness of near texts, and the chance that the bands of their fingerprints meet.
+#: Rows of a range on average; ranges are at most RANGES for each shuffle partition, and MOST_RANGES (what the driver holds).
+RANGE_ROWS, RANGES, MOST_RANGES = 256, 8, 1 << 15
+#: Likeness of near texts, and the chance that the bands of their signatures meet.
 THRESHOLD, RECALL = 0.8, 0.999
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def sets_of(texts: list[str]) -> list[np.ndarray]:
-    """Distinct hashes of word shingles, by one rule for every length."""
-    return shingles.shingle_sets(texts)
+#: A row of a walk: what it is (0 a class, 1 a text, 2 the text that follows the range), place, content.
+DEALT = "bucket int, kind int, at long, tie long, doc_id long, packed binary"
+LEAST = -(1 << 63)
 
 
 def prints(texts: list[str], hashes: int = HASHES) -> np.ndarray:
     """texts x hashes of 16 bits."""
-    return printed(sets_of(texts), hashes)
+    return printed(shingles.shingle_sets(texts), hashes)
 
 
 def printed(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
     return (shingles.signatures(sets, hashes) >> np.uint32(16)).astype(">u2")
 
 
+class Ranges:
+    """Ranges of (at, tie): an id that spans several cuts is parted by its tie."""
+
+    def __init__(self, cuts: list[int]):
+        values, n = np.unique(np.array(cuts or [], np.int64), return_counts=True)
+        self.at = np.repeat(values, n)
+        self.tie = np.array([LEAST + (k << 64) // m for m in n.tolist() for k in range(m)], np.int64)
+
+    def of(self, at: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        out = np.searchsorted(self.at, at, side="left")
+        end = np.searchsorted(self.at, at, side="right")
+        for k in np.unique(out[end > out]):
+            own = np.flatnonzero((out == k) & (end > out))
+            out[own] = k + np.searchsorted(self.tie[k : end[own[0]]], tie[own], side="right")
+        return out.astype(np.int32)
+
+
 def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, extra, doc_id, text) in order -> results; a row with ``extra`` only serves the row before it."""
+    """Rows of DEALT with set_key, class_id, links in order -> results; a row of kind 2 only serves the row before it."""
+    known: dict[bytes, tuple[int | None, int]] = {}
 
     def done(rows):
-        if len(rows) < 2:
-            return None
-        sets = sets_of([r[3] for r in rows])
-        own = printed(sets)
-        at = [k for k in range(len(rows) - 1) if not rows[k][1]]
+        at = [k for k in range(len(rows) - 1) if rows[k][0] == 1]
         if not at:
             return None
+        texts = [r[2] for r in rows]
+        sets = shingles.shingle_sets(texts)
+        own = printed(sets)
         edited = []
         for k in at:
-            text, after = rows[k][3], rows[k + 1][3]
-            part = len(text) // 4
-            edited.append(text[: len(text) - part] + after[:part])
+            part = len(texts[k]) // 4
+            edited.append(texts[k][: len(texts[k]) - part] + texts[k + 1][:part])
         new = prints(edited)
-        bands = shingles.band_hashes(own, *shingles.choose_bands(THRESHOLD, RECALL, HASHES)).view(np.int64)
+        classes = [known.get(shingles.set_key(sets[k]), (rows[k][1], 0)) for k in at]
         return pa.RecordBatch.from_pydict({
-            "doc_id": pa.array([rows[k][2] for k in at], pa.int64()),
-            "n_chars": pa.array([len(rows[k][3]) for k in at], pa.int64()),
+            "doc_id": pa.array([rows[k][1] for k in at], pa.int64()),
+            "n_chars": pa.array([len(texts[k]) for k in at], pa.int64()),
             "edited_sha256": [hashlib.sha256(t.encode("utf-8")).hexdigest() for t in edited],
             "fingerprint": [own[k].tobytes().hex() for k in at],
             "edited_fingerprint": [p.tobytes().hex() for p in new],
             "near_edited": (own[at] == new).mean(1),
             "near_next": (own[at] == own[np.array(at) + 1]).mean(1),
-            "digest": [hashlib.sha256(rows[k][3].encode("utf-8")).hexdigest() for k in at],
-            "set_key": [shingles.set_key(sets[k]) for k in at],
-            "bands": pa.array([bands[k].tolist() if len(sets[k]) else [] for k in at], pa.list_(pa.int64())),
+            "class_id": pa.array([c for c, _ in classes], pa.int64()),
+            "links": pa.array([n for _, n in classes], pa.int64()),
         })
 
-    rows, size = [], 0
+    rows, size, now = [], 0, None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows.append(row)
-            size += len(row[3])
+        bucket, kind, _, _, ids, packed, keys, class_ids, links = (c.to_pylist() for c in batch.columns)
+        for k in range(len(kind)):
+            if bucket[k] != now:  # the last range ended with its extra row
+                if (out := done(rows)) is not None:
+                    yield out
+                rows, size, known, now = [], 0, {}, bucket[k]
+            if kind[k] == 0:
+                known[keys[k]] = (class_ids[k], links[k])
+                continue
+            (text,) = ngram_join.unpack([packed[k]])
+            rows.append((kind[k], ids[k], text))
+            size += len(text)
             if size > shingles.BLOCK:
                 if (out := done(rows)) is not None:
                     yield out
-                rows, size = rows[-1:], len(row[3])
+                rows, size = rows[-1:], len(text)
     if (out := done(rows)) is not None:
         yield out
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of each row's text and of its edited text, and their likeness."""
-    return keyed_prints(docs, id_col, text_col).drop("digest", "set_key", "bands")
+    return walked(docs, None, id_col, text_col).drop("class_id", "links")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints, and of each row its class_id and links: the fingerprints' bands meet, all links of a band are verified."""
-    rows = common.written(keyed_prints(docs, id_col, text_col), "print-rows")
-    named = ngram_join.grouped(docs, rows, THRESHOLD, id_col, text_col)
-    return ngram_join.looked_up(rows.drop("digest", "bands"), named).drop("set_key", "text_class", "copies")
+    """Fingerprints, and of each row its class_id and links: the signatures' bands meet, all links of a band are verified."""
+    sketched = common.written(ngram_join.sketch(docs, THRESHOLD, RECALL, id_col, text_col, HASHES), "print-sketch")
+    named = ngram_join.grouped(docs, sketched, THRESHOLD, id_col, text_col)
+    rows = sketched.select("doc_id", "digest", "set_key")
+    return walked(docs, ngram_join.looked_up(rows, named.filter("copies > 1 or links > 0")).filter("copies is not null"), id_col, text_col)
+
 
 
-def keyed_prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Fingerprints with each text's digest, shingle set's key and bands."""
+def walked(docs: DataFrame, classes: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
+    """Fingerprints with class_id and links; ``classes``: id, digest, set_key, class_id, links of rows that aren't alone."""
     spark = docs.sparkSession
-    least = F.lit(-(1 << 63)).cast("long")
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("at"))
+    at = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST).cast("long")).alias("at")
+    ids = docs.select(at, F.xxhash64(ngram_join.digest_of(text_col)).alias("tie"))
     total = ids.count()
-    ranges = max(1, min(-(-total // RANGE_ROWS), RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = ids.agg(F.percentile_approx("at", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges)).first()[0] if total else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    count = max(1, min(-(-total // RANGE_ROWS), RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES))
+    cuts = ids.agg(F.percentile_approx("at", [k / count for k in range(1, count)] or [0.5], 10 * count)).first()[0] if total else []
+    ranges = Ranges(cuts)
 
     @F.pandas_udf("int")
-    def bucket_of(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, at.to_numpy(), side="right").astype(np.int32))
-
-    firsts = ids.groupBy(bucket_of("at").alias("bucket")).agg(F.min("at").alias("at")).collect()  # at most ``ranges`` rows
-    firsts = sorted((r.bucket, r["at"]) for r in firsts)
-    serves = spark.createDataFrame([(firsts[k][1], firsts[k - 1][0]) for k in range(len(firsts))], "at long, serves int")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), least).alias("at"), F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
-    rows = rows.withColumn("bucket", bucket_of("at")).join(F.broadcast(serves), "at", "left")
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("extra"))
-    more = F.struct(F.col("serves").alias("bucket"), F.lit(1).alias("extra"))
-    rows = rows.withColumn("to", F.explode(F.when(F.col("serves").isNull(), F.array(own)).otherwise(F.array(own, more))))
-    rows = rows.select("to.bucket", "to.extra", "at", "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "extra", "at", "text")
-    return rows.select("bucket", "extra", "doc_id", "text").mapInArrow(walk, OUT + ", digest string, set_key string, bands array<long>")
-
-
-def near_pairs(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b, jaccard: pairs whose signature bands meet in Spark and whose word shingles have the Jaccard.
-
-    Texts with equal shingles are one class, named by its smallest id; all classes of a band pair.
-    """
-    sketched = common.written(ngram_join.sketch(docs, threshold, recall, id_col, text_col), "print-sketch")
-    classes = ngram_join.classes_of(sketched)
-    keyed = classes.select("rep", F.explode("bands").alias("band"))
-    pairs = keyed.select("band", F.col("rep").alias("ra")).join(keyed.select("band", F.col("rep").alias("rb")), "band").filter("ra < rb").select("ra", "rb").distinct()
-    texts = docs.select(ngram_join.digest_of(text_col).alias("_digest"), ngram_join.id_of(id_col).alias("_id"), common.text_of(text_col).alias("text"))
-    texts = texts.join(classes.select("_digest", "_id", "rep"), ["_digest", "_id"]).select("rep", "text")
-    sets = texts.mapInArrow(ngram_join._sets, "rep long, shingles array<long>").dropDuplicates(["rep"]).join(classes.select("rep", "doc_id"), "rep")
-    left, right = (sets.select(F.col("rep").alias(f"r{c}"), F.col("doc_id").alias(f"d{c}"), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    joined = pairs.join(left, "ra").join(right, "rb")
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = joined.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b"), (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard"))
-    return joined.filter(F.col("jaccard") >= threshold)
+    def bucket_of(at: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(ranges.of(at.to_numpy(), tie.to_numpy()))
+
+    firsts = ids.groupBy(bucket_of("at", "tie").alias("bucket")).agg(F.min(F.struct("at", "tie")).alias("first")).collect()  # at most MOST_RANGES rows
+    firsts = sorted((r.bucket, r.first.at, r.first.tie) for r in firsts)
+    serves = {firsts[k][1:]: firsts[k - 1][0] for k in range(len(firsts))}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, tie, text = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            bucket, extra = ranges.of(at, tie), [serves.get(x) for x in zip(at.tolist(), tie.tolist(), strict=True)]
+            more = [k for k, b in enumerate(extra) if b is not None]
+            to = pa.array([*range(len(at)), *more], pa.int64())
+            packed = ngram_join.pack(text.to_pylist())
+            columns = [pa.array(np.concatenate([bucket, np.array([extra[k] for k in more], np.int32)])), pa.array([1] * len(at) + [2] * len(more), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns + [c.take(to) for c in (batch.column(0), batch.column(1), batch.column(2), packed)], ["bucket", "kind", "at", "tie", "doc_id", "packed"])
+
+    rows = docs.select(at, F.xxhash64(ngram_join.digest_of(text_col)).alias("tie"), F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text")).mapInArrow(deal, DEALT)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("set_key", "binary"), ("class_id", "long"), ("links", "long"))]
+    rows = rows.select("*", *none)
+    if classes is not None:
+        places = classes.select(F.coalesce("doc_id", F.lit(LEAST).cast("long")).alias("at"), F.xxhash64("digest").alias("tie"), "set_key", "class_id", "links")
+        places = places.select(bucket_of("at", "tie").alias("bucket"), "set_key", "class_id", "links").distinct()
+        empty = [F.lit(None).cast(t).alias(c) for c, t in (("at", "long"), ("tie", "long"), ("doc_id", "long"), ("packed", "binary"))]
+        rows = rows.unionByName(places.select("bucket", F.lit(0).alias("kind"), *empty, "set_key", "class_id", "links"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "at", "tie").mapInArrow(walk, OUT + ", class_id long, links long")
+
+
+def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b, jaccard: the links as pairs of their classes' smallest ids; only verified pairs are emitted."""
+    return ngram_join.near_pairs(docs, threshold, recall, id_col, text_col, HASHES)

@@ -138,14 +138,19 @@ def signatures(sets: list[np.ndarray], count: int, seed: int = 1) -> np.ndarray:
 
 
 def choose_bands(threshold: float, recall: float, most: int = 200) -> tuple[int, int]:
-    """(bands, rows): the most selective banding that finds a pair at ``threshold`` with at least ``recall``."""
-    best = (1, 1)
+    """(bands, rows): the most selective banding that finds a pair at ``threshold`` with at least ``recall``.
+
+    Raises where no banding of at most ``most`` hashes does.
+    """
+    best = None
     for rows in range(1, 33):
         bands = 1
         while bands * rows <= most and 1 - (1 - threshold**rows) ** bands < recall:
             bands += 1
         if bands * rows <= most:
             best = (bands, rows)
+    if best is None:
+        raise ValueError(f"{most} hashes cannot find pairs of likeness {threshold} with recall {recall}")
     return best
 
 
@@ -161,6 +166,6 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def set_key(one: np.ndarray) -> str:
+def set_key(one: np.ndarray) -> bytes:
     """Digest of a shingle set: equal keys are equal sets."""
-    return hashlib.blake2b(one.tobytes(), digest_size=16).hexdigest()
+    return hashlib.blake2b(one.tobytes(), digest_size=16).digest()

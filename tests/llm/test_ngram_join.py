@@ -2,7 +2,9 @@ from itertools import combinations
 
 import pytest
 
-from folioscan.llm import ngram_join, shingles
+import numpy as np
+
+from folioscan.llm import common, fingerprints, ngram_join, shingles
 
 
 def brute_sets(texts):
@@ -96,3 +98,65 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in ngram_join.components(edges).collect()}
     assert got == {k: 0 for k in range(21)} | {100: 100, 101: 100}
+
+
+def test_unreachable_recall_raises():
+    with pytest.raises(ValueError):
+        shingles.choose_bands(0.03, 0.999)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 27])
+def test_key_filter_never_loses_a_key(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    rows = spark.range(3000)
+    bitmap = common.key_filter(rows.filter("id % 7 = 0"), "id")
+    got = {r.id for r in common.marked(rows, bitmap, "id", "maybe").filter("maybe").collect()}
+    wanted = {k for k in range(3000) if k % 7 == 0}
+    assert got >= wanted and (bits == 64 or len(got) < len(wanted) + 10)
+    assert common.marked(rows, bitmap, "id", "maybe").count() == 3000
+
+
+@pytest.mark.parametrize("side, shingles_", [(512, 1 << 20), (4, 1 << 20), (512, 300)])
+def test_a_pair_counts_once_whatever_the_blocks(spark, monkeypatch, side, shingles_):
+    """Several overlapping groups, so that pairs meet at several pivots and in several blocks."""
+    monkeypatch.setattr(ngram_join, "SIDE", side)
+    monkeypatch.setattr(ngram_join, "PIVOT_SHINGLES", shingles_)
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{j}" for j in range(120)]
+        for v in range(12):
+            w = list(base)
+            for at in rng.integers(0, 120, v % 4):
+                w[at] = f"v{rng.integers(0, 6)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert {r.doc_id: (r.class_id, r.links) for r in ngram_join.near_groups(df).collect()} == want
+    pairs = ngram_join.near_pairs(df).collect()
+    assert len({(r.a, r.b) for r in pairs}) == len(pairs)
+    links = {}
+    for r in pairs:
+        links[r.a], links[r.b] = links.get(r.a, 0) + 1, links.get(r.b, 0) + 1
+    smallest = {}
+    for i, s in zip([r[0] for r in rows], brute_sets([r[1] for r in rows])):
+        smallest.setdefault(frozenset(s), i)
+    assert links == {i: want[i][1] for i in smallest.values() if want[i][1]}
+
+
+def test_ranges_part_an_id_that_spans_cuts():
+    ranges = fingerprints.Ranges([3, 7, 7, 7, 7, 9])
+    tie = np.linspace(-(2**63), 2**63 - 2048, 50).astype(np.int64)
+    at = np.array([1, 3, 5, 7, 8, 9, 12])
+    got = [ranges.of(np.full(50, a), tie) for a in at]
+    flat = np.concatenate(got)
+    assert (np.diff(flat) >= 0).all() and len(set(got[3])) == 4 and all(len(set(g)) == 1 for k, g in enumerate(got) if k != 3)
+
+
+def test_one_id_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 4)
+    rows = [(7, f"text number {k} of one id") for k in range(60)] + [(k, f"own {k}") for k in range(20)]
+    got = fingerprints.near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 80 and len({r.edited_sha256 for r in got if r.doc_id == 7}) == 61
+    own = {p.tobytes().hex() for p in fingerprints.prints([t for _, t in rows])}
+    assert {r.fingerprint for r in got} == own
