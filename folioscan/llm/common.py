@@ -8,6 +8,7 @@ arithmetic (at most ``1 / share`` groups can hold more than ``share`` of the row
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -17,8 +18,8 @@ from pyspark.sql.window import Window
 
 #: A group is hot when it holds more than this share of the rows; at most 1000 groups can.
 HOT_SHARE = 1e-3
-#: Rows that one window partition of a rank holds on average.
-RANK_ROWS = 50_000
+#: Rows that one window partition of a rank holds on average at most; on small tables RANK_ROOT times the root of all rows.
+RANK_ROWS, RANK_ROOT = 50_000, 8
 #: Bits of a key filter: 16 MB at most, whatever it holds.
 FILTER_BITS = 1 << 27
 
@@ -54,15 +55,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ranked(df: DataFrame, by: list[str], order: list[str], key: str, total: int, out: str) -> DataFrame:
+def ranked(df: DataFrame, by: list[str], order: list[str], key: list[str], total: int, out: str) -> DataFrame:
     """Adds ``out``: a gapless rank from 0 within ``by``, total rows known.
 
-    Rows of a ``by`` group are dealt over about total / RANK_ROWS cells by a hash of ``key``; a cell's
+    Rows of a ``by`` group are dealt over cells by a hash of ``key``, which should tell rows apart; a cell's
     rows rank within it, after the rows of the cells before it. Rows that repeat ``order`` rank
     in any order.
     """
-    cells = max(1, -(-total // RANK_ROWS))
-    dealt = df.withColumn("_cell", F.pmod(F.xxhash64(F.col(key)), F.lit(cells)).cast("int"))
+    cells = max(1, math.ceil(total / min(RANK_ROWS, 1 + RANK_ROOT * math.isqrt(total))))
+    dealt = df.withColumn("_cell", F.pmod(F.xxhash64(*key), F.lit(cells)).cast("int"))
     before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*by, "_cell").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(*by, "_cell").orderBy(*order)

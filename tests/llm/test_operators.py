@@ -43,7 +43,7 @@ def test_hot_groups_are_found(spark, monkeypatch):
 def test_two_level_ranks(spark, monkeypatch):
     monkeypatch.setattr(common, "RANK_ROWS", 7)
     df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
-    rows = common.ranked(df, ["g"], ["k"], "k", 100, "r").collect()
+    rows = common.ranked(df, ["g"], ["k"], ["k"], 100, "r").collect()
     for g in range(3):
         assert sorted(r.r for r in rows if r.g == g) == list(range(sum(r.g == g for r in rows)))
 
@@ -97,6 +97,35 @@ def test_shards_balance_and_keep_groups(spark):
     assert sharding.shard(docs.limit(0)).count() == 0
 
 
+def test_placement_is_the_highest_dot_product():
+    """Against plain loops over shards and dimensions."""
+    vectors = np.random.default_rng(4).dirichlet([1.0] * 200, 3).T
+    residual, want = [[1 / 7] * 3 for _ in range(7)], {}
+    for k in sorted(range(200), key=lambda k: (-vectors[k].sum(), k)):
+        dots = [sum(r * v for r, v in zip(free, vectors[k], strict=True)) for free in residual]
+        want[k] = dots.index(max(dots))
+        residual[want[k]] = [r - v for r, v in zip(residual[want[k]], vectors[k], strict=True)]
+    got = sharding.place(vectors, 7)
+    assert got.tolist() == [want[k] for k in range(200)]
+    loads = np.stack([np.bincount(got, weights=vectors[:, d], minlength=7) for d in range(3)]) * 7
+    assert np.abs(loads - 1).max() < 0.06  # all three alike
+    level = sharding.levelled(vectors, got, 7, np.ones(200, bool))
+    by_bytes = np.bincount(level, weights=vectors[:, 0], minlength=7) * 7
+    assert np.ptp(by_bytes) < np.ptp(loads[0]) and np.ptp(by_bytes) < 0.005
+
+
+def test_shards_balance_all_three(spark):
+    """A third of the rows are one short text, a few texts hold most bytes: bytes, tokens and rows stay near equal."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit("the same short text"))
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), hot.when(F.col("id") % 50 == 1, F.concat(F.repeat(F.lit("long words "), 60), F.col("id").cast("string"))).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    df = df.union(df.limit(2000).selectExpr("CAST(NULL AS LONG)", "'no id at all'"))
+    rows = sharding.shard(df, 24).join(df.groupBy(F.crc32(F.col("text").cast("binary")).alias("text_crc32")).agg(F.first(F.size(F.split("text", " "))).alias("tokens")), "text_crc32")
+    loads = rows.groupBy("shard").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).toPandas()
+    assert len(loads) == 24
+    assert np.ptp(loads["b"]) < 0.01 * loads["b"].mean()
+    assert np.ptp(loads["t"]) < 0.12 * loads["t"].mean() and np.ptp(loads["n"]) < 0.12 * loads["n"].mean()
+
+
 def test_a_group_larger_than_a_shard_is_split(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot " * 20).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"), F.lit(" x" * 38))).alias("text"))
     sizes = {r.shard: r.s for r in sharding.shard(df, 6).groupBy("shard").agg(F.sum("size").alias("s")).collect()}
