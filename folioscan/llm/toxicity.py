@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon sends words to symbols (insult, threat, target, negation, report, other). Four small transducers read a
-clause's symbols: negation (its scope covers the words after it), reported speech, target and threat. Their
-composition is one table of states; each insult or threat adds its weight times the factor of the state it is met in.
+A lexicon sends words to symbols (insult, threat, target, negation, report, other). Five small transducers read a
+clause's symbols: negation (its scope covers the words after it), reported speech, target, insult (a further one in the
+clause weighs more) and threat (weak before a target). Their composition is one table of states; each insult or threat adds its weight times the factor of the state it is met in.
 Clauses that match are scored, not words: a text's features are sums over its clauses.
 
 The lexicon is a short fixed list plus words and word beginnings learned from the labels of a bounded sample of
@@ -10,7 +10,8 @@ rows outside the held-out fold (LEARN rows at most, chosen by a hash of the id).
 over the clause features is fitted on the same rows.
 
 Defined results: a null or empty text has no clause and gets the lowest score; very long texts are read whole; equal
-texts have equal scores; without any label the fixed list and a fixed scorer serve; an empty table gives an empty table.
+texts have equal scores; of an id with several labels the toxic one counts; without any label the fixed list and a fixed
+scorer serve; rows that repeat are scored alike; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Labelled rows that are learned from at most; terms that are learned at most.
-LEARN, TERMS = 20_000, 2_000
+#: Labelled rows that are learned from at most; they bound the terms that can be learned.
+LEARN = 20_000
 #: A learned term is in at least this many toxic texts, and LIFT times as often in toxic ones as in others.
 LEAST, LIFT = 6, 20.0
 STEMS = range(3, 9)
@@ -44,6 +45,8 @@ WORDS = {
 }
 #: Multiplier of a hit by state: inside a negation's scope, inside reported speech, next to a target; words of a negation's scope.
 NEGATED, REPORTED, TARGETED, SCOPE = 0.3, 0.5, 1.5, 3
+#: Multiplier of an insult after an insult, and of a threat before any target.
+PILED, AIMLESS = 1.25, 0.25
 CLAUSE = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
@@ -68,13 +71,22 @@ class Transducer:
         return [[self.step(s, symbol) for symbol in range(6)] for s in range(self.states)]
 
 
-def grammar() -> list[list[tuple[int, float]]]:
-    """The composed table: negation, reported speech, target, threat."""
+def transducers() -> list[Transducer]:
+    """Negation, reported speech, target, insult, threat."""
     negation = Transducer(SCOPE + 1, lambda s, x: (SCOPE, 1.0) if x == NEGATION else (max(0, s - 1), NEGATED if s else 1.0))
     reported = Transducer(2, lambda s, x: (1, 1.0) if x == REPORT else (s, REPORTED if s else 1.0))
     target = Transducer(2, lambda s, x: (1, 1.0) if x == TARGET else (s, TARGETED if s else 1.0))
-    threat = Transducer(2, lambda s, x: (1, 1.0 if s else 0.25) if x == THREAT else (int(s or x == TARGET), 1.0))
-    return negation.then(reported).then(target).then(threat).table()
+    insult = Transducer(2, lambda s, x: (1, PILED if s else 1.0) if x == INSULT else (s, 1.0))
+    threat = Transducer(2, lambda s, x: (1, 1.0 if s else AIMLESS) if x == THREAT else (int(s or x == TARGET), 1.0))
+    return [negation, reported, target, insult, threat]
+
+
+def grammar() -> list[list[tuple[int, float]]]:
+    """The composed table of all five."""
+    first, *rest = transducers()
+    for one in rest:
+        first = first.then(one)
+    return first.table()
 
 
 class Lexicon:
@@ -151,8 +163,8 @@ def held_out(id_col: str = "doc_id"):
 
 def labelled(docs: DataFrame, labels: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """text, toxic of at most ``size`` labelled rows outside the held-out fold, chosen by a hash of the id; one text of each id, each text once."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and _id is not null").dropDuplicates(["_id"])
-    known = known.filter(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(size)
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and _id is not null")
+    known = known.groupBy("_id").agg(F.max("toxic").alias("toxic")).filter(~held_out("_id")).orderBy(F.xxhash64("_id"), "_id").limit(size)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), common.text_of(text_col).alias("text"))
     met = rows.join(F.broadcast(known), "_id").groupBy("_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("row"))
     return met.select("row.text", "row.toxic").groupBy("text").agg(F.max("toxic").alias("toxic"))
@@ -169,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = LEARN, id_col: str = "do
     counted = rows.mapInArrow(terms_of, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     least = max(LEAST, int(0.003 * bad))
     lift = (F.col("toxic") + 0.5) / (bad + 1) / ((F.col("clean") + 0.5) / (fine + 1))
-    found = counted.filter((F.col("toxic") >= least) & (lift >= LIFT)).orderBy(F.desc("toxic"), "term").limit(TERMS).collect()
+    found = counted.filter((F.col("toxic") >= least) & (lift >= LIFT)).collect()  # terms of at most ``size`` texts, each in LEAST of them
+    found.sort(key=lambda r: (-r.toxic, r.term))
     by_term = {r.term: r.toxic for r in found}
     lone = {w[:n] + "*" for w, t in by_term.items() if w[-1] != "*" for n in STEMS if n < len(w) and t >= 0.8 * by_term.get(w[:n] + "*", t + t)}
     found = [r for r in found if r.term not in lone]  # a beginning that one word explains says nothing of other words

@@ -175,6 +175,50 @@ def test_grammar_weighs_states():
     assert toxicity.clause_features("", lexicon, table)[1] == 0
 
 
+def test_composition_equals_its_parts_run_side_by_side():
+    """Random symbol runs: the composed table's factor is the product of the five transducers' own."""
+    rng, table = random.Random(5), toxicity.grammar()
+    for _ in range(200):
+        state, own = 0, [0] * 5
+        for _ in range(12):
+            x = rng.randrange(6)
+            state, factor = table[state][x]
+            want = 1.0
+            for k, t in enumerate(toxicity.transducers()):
+                own[k], f = t.step(own[k], x)
+                want *= f
+            assert abs(factor - want) < 1e-12
+
+
+def test_clause_scores_against_plain_rules():
+    """Scores by rules written out for one clause, no automaton: scopes by position."""
+
+    def plain(words):
+        kind = {w: s for s, ws in toxicity.WORDS.items() for w in ws.split()}
+        total = 0.0
+        for k, w in enumerate(words):
+            s = kind.get(w)
+            if s not in (toxicity.INSULT, toxicity.THREAT):
+                continue
+            before = [kind.get(x) for x in words[:k]]
+            factor = toxicity.NEGATED if toxicity.NEGATION in before[-3:] else 1.0
+            factor *= toxicity.REPORTED if toxicity.REPORT in before else 1.0
+            factor *= toxicity.TARGETED if toxicity.TARGET in before else 1.0
+            if s == toxicity.INSULT:
+                factor *= toxicity.PILED if toxicity.INSULT in before else 1.0
+            else:
+                factor *= 1.0 if {toxicity.TARGET, toxicity.THREAT} & set(before) else toxicity.AIMLESS
+            total += factor
+        return total
+
+    rng, lexicon, table = random.Random(8), toxicity.Lexicon({}), toxicity.grammar()
+    pool = ["you", "idiot", "scum", "kill", "hurt", "not", "never", "said", "the", "house", "green", "told", "she"]
+    for _ in range(300):
+        words = [rng.choice(pool) for _ in range(rng.randrange(1, 12))]
+        got = toxicity.clause_features(" ".join(words), lexicon, table)[0][0]
+        assert abs(got - np.log1p(plain(words))) < 1e-9
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").filter("held_out").collect()
@@ -216,6 +260,32 @@ def test_expectation_maximisation_finds_planted_accuracies():
     assert np.abs(accuracy - want).max() < 0.03
 
 
+def test_expectation_maximisation_against_rows_one_by_one():
+    """The estimate from counted patterns equals one that walks every row and labeller in plain loops."""
+    rng = np.random.default_rng(2)
+    rows = [[vote if rng.random() < 0.3 else -1 for _, vote, _ in quality.LABELLERS] for _ in range(150)]
+    share = [1 / (1 + np.exp(-2.0 * (r.count(1) - r.count(0)))) for r in rows]
+    for _ in range(5):
+        prior = min(0.98, max(0.02, sum(share) / len(rows)))
+        chance = {}
+        for k in range(len(quality.LABELLERS)):
+            for side in (0, 1):
+                w = [s if side else 1 - s for s in share]
+                chance[k, side] = min(1 - 1e-3, max(1e-3, sum(x for x, r in zip(w, rows, strict=True) if r[k] >= 0) / max(1e-9, sum(w))))
+        new = []
+        for r in rows:
+            odds = [prior, 1 - prior]
+            for k, v in enumerate(r):
+                for i, side in enumerate((1, 0)):
+                    odds[i] *= chance[k, side] if v >= 0 else 1 - chance[k, side]
+            new.append(odds[0] / sum(odds) if max(r) >= 0 else prior)
+        share = new
+    patterns, counts = np.unique(np.array(rows), axis=0, return_counts=True)
+    _, _, got = quality.estimate(patterns, counts.astype(float), rounds=5)
+    by = {tuple(p): g for p, g in zip(patterns.tolist(), got, strict=True)}
+    assert max(abs(by[tuple(r)] - s) for r, s in zip(rows, share, strict=True)) < 1e-9
+
+
 def test_language_model(spark):
     docs = docs_of(spark)
     model = lm_score.fit(docs, rounds=2)
@@ -234,6 +304,40 @@ def test_language_model(spark):
     assert lm_score.score(edge.limit(0), lm_score.fit(edge.limit(0))).count() == 0
 
 
+def test_pipeline_against_its_stages_by_hand(spark):
+    """Scores from the operators' own queries; dedup, near groups and pieces by brute force."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from test_ngram_join import brute
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in quality.classify(docs).filter("keep").collect()}
+    docs = docs.filter(F.col("doc_id").isin(list(good)))
+    toxic = {r.doc_id for r in toxicity.score(docs, toxicity.fit(docs, labels)).filter("predicted = 1").collect()}
+    last = {}
+    for doc_id, text in sorted((r.doc_id, r.text or "") for r in docs.collect()):
+        if doc_id not in toxic:
+            last[text] = doc_id
+    rows = sorted((i, t) for t, i in last.items())
+    kept = {c for c, _ in brute(rows).values()}
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation(), library.no_padding()
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows if i in kept}
+    got, sequences = {}, {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert got.keys() == want.keys()
+    for pieces, whole in ((p, want[i]) for i, p in got.items()):
+        ends = [0, *(a + n for a, n in sorted(pieces))]
+        assert [a for a, _ in sorted(pieces)] == ends[:-1] and ends[-1] == whole
+    for pieces in sequences.values():
+        ends = [0, *(a + n for a, n in sorted(pieces))]
+        assert [a for a, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 2048
+
+
 @pytest.mark.parametrize("kind", ["edges", "empty"])
 def test_pipeline_on_odd_tables(spark, tmp_path, kind):
     import corpus_pipeline
