@@ -36,6 +36,28 @@ def parse_printed(c: Column) -> Column:
     )
 
 
+def visual(c: Column) -> Column:
+    """A printed date as ISO, day-month-year of four digits, with a month's name, or eight digits; null otherwise."""
+    text = F.initcap(F.lower(F.regexp_replace(F.trim(c), "[/.]", "-")))
+    return F.coalesce(
+        F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(text, "yyyy-M-d")),
+        F.when(text.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), F.try_to_date(text, "d-M-yyyy")),
+        F.when(text.rlike(r"^\d{1,2} [a-zA-Z]{3} \d{4}$"), F.try_to_date(text, "d MMM yyyy")),
+        F.when(text.rlike(r"^\d{1,2} [a-zA-Z]{4,} \d{4}$"), F.try_to_date(text, "d MMMM yyyy")),
+        F.when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd")),
+    )
+
+
+#: A day-month-year, a year-month-day, or a day with a month's name.
+LETTER_DATE = r"(?i)\b(\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}|\d{4}[/.\-]\d{1,2}[/.\-]\d{1,2}|\d{1,2}\s+(?:JAN(?:UARY)?|FEB(?:RUARY)?|MAR(?:CH)?|APR(?:IL)?|MAY|JUNE?|JULY?|AUG(?:UST)?|SEP(?:TEMBER)?|OCT(?:OBER)?|NOV(?:EMBER)?|DEC(?:EMBER)?)\s+\d{4})\b"
+
+
+def letter_date(c: Column) -> Column:
+    """First date of a letter's text, as printed."""
+    out = F.regexp_extract(c, LETTER_DATE, 1)
+    return F.when(out != "", out)
+
+
 def past(c: Column, as_of: Column) -> Column:
     return F.coalesce(parse_printed(c) < as_of, F.lit(False))
 

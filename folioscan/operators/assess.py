@@ -82,7 +82,7 @@ def scan_results(regions: DataFrame, as_of: str = "2024-06-01") -> DataFrame:
 
     The regions are dealt by doc_id once; classification, label joins and aggregates reuse that exchange.
     """
-    regions = regions.repartition("doc_id")
+    regions = R.dealt(regions)
     classes = classify.classify_documents(regions)
     sound = R.trusted(regions)
     judged = assess(extract.extract_all(sound, classes), sound, classes, as_of)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import identifiers as I
+from folioscan.functions import text as T
 from folioscan.operators import regions as R
 from folioscan.plans import dims
 
@@ -13,7 +14,7 @@ from folioscan.plans import dims
 def keyword_matches(regions: DataFrame) -> DataFrame:
     """doc_id, doc_type, evidence, keyword: distinct keywords of each document, matched region by region."""
     spark = regions.sparkSession
-    found = R.grams(regions, dims.sizes([r[2] for r in dims.keyword_rows()]))
+    found = R.grams(regions, [r[2] for r in dims.keyword_rows()], T.norm_text)
     return found.join(F.broadcast(dims.keyword_dim(spark)), F.col("gram") == F.col("keyword")).select("doc_id", "doc_type", "evidence", "keyword").distinct()
 
 
@@ -53,7 +54,7 @@ def _keyword_counts(found: DataFrame) -> DataFrame:
 
 def document_scores(regions: DataFrame) -> DataFrame:
     """doc_id, doc_type, score, reasons of every type with evidence; three aggregates on doc_id, no unions."""
-    found = R.grams(regions, dims.sizes([r[2] for r in dims.keyword_rows()])).join(F.broadcast(dims.keyword_dim(regions.sparkSession)), F.col("gram") == F.col("keyword"))
+    found = R.grams(regions, [r[2] for r in dims.keyword_rows()], T.norm_text).join(F.broadcast(dims.keyword_dim(regions.sparkSession)), F.col("gram") == F.col("keyword"))
     text = F.col("text")
     ordered = F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("page_no", "seq", "text"))))
     facts = regions.groupBy("doc_id").agg(F.bool_or(I.pan(text).isNotNull()).alias("pan"), F.bool_or(I.licence(text).isNotNull()).alias("dl"), F.bool_or(I.epic(text).isNotNull()).alias("epic"), F.array_join(F.transform(ordered, lambda r: r["text"]), " ").alias("joined"))
@@ -98,7 +99,7 @@ def classify_documents(regions: DataFrame) -> DataFrame:
 def classify_pages(regions: DataFrame) -> DataFrame:
     """doc_id, page_no, page_type, confidence and hint counts of passport pages."""
     spark = regions.sparkSession
-    found = R.grams(regions, dims.sizes([r[1] for r in dims.hint_rows()])).join(F.broadcast(dims.hint_dim(spark)), F.col("gram") == F.col("hint"))
+    found = R.grams(regions, [r[1] for r in dims.hint_rows()], T.norm_text).join(F.broadcast(dims.hint_dim(spark)), F.col("gram") == F.col("hint"))
     hints = found.groupBy("doc_id", "page_no").agg(F.count_distinct(F.when(F.col("kind") == "biodata", F.col("hint"))).alias("biodata"), F.count_distinct(F.when(F.col("kind") == "non_biodata", F.col("hint"))).alias("non_biodata"))
     pages = R.mrz_pages(regions).join(hints, ["doc_id", "page_no"], "left").fillna(0, ["biodata", "non_biodata"])
     b, n, m = F.col("biodata"), F.col("non_biodata"), F.col("has_mrz")

@@ -14,18 +14,19 @@ from folioscan.plans import dims
 PAGE = ["doc_id", "page_no"]
 
 
-def label_match(regions: DataFrame) -> DataFrame:
-    """Best label region of every document, type and field.
+def label_match(regions: DataFrame, rows: list[tuple] | None = None) -> DataFrame:
+    """Best label region of every page, type and field; ``rows``: (type, field, label, priority), all of ``dims`` by default.
 
     Whole-text equality beats containment, longer phrases beat shorter, then priority, confidence, first region.
     """
     spark = regions.sparkSession
-    found = R.grams(regions, dims.sizes([r[2] for r in dims.label_rows()]))
-    found = found.join(F.broadcast(dims.label_dim(spark)), F.col("gram") == F.col("label"))
+    rows = dims.label_rows() if rows is None else rows
+    found = R.grams(regions, [r[2] for r in rows])
+    found = found.join(F.broadcast(dims.label_dim(spark, rows)), F.col("gram") == F.col("label"))
     score = F.when(F.col("norm") == F.col("label"), 10000 - F.col("priority")).otherwise(100 * F.length("label") - F.col("priority"))
-    region = F.struct("seq", "left", "top", "right", "bottom", "text")
+    region = F.struct("seq", "left", "top", "right", "bottom", "text", "confidence")
     best = found.groupBy(*PAGE, "doc_type", "field").agg(F.max_by(region, F.struct(score.alias("s"), F.col("confidence"), -F.col("seq"))).alias("b"), F.max(score).alias("score"))
-    return best.select(*PAGE, "doc_type", "field", "score", *[F.col(f"b.{c}").alias(f"label_{c}") for c in ("seq", "left", "top", "right", "bottom", "text")])
+    return best.select(*PAGE, "doc_type", "field", "score", *[F.col(f"b.{c}").alias(f"label_{c}") for c in ("seq", "left", "top", "right", "bottom", "text", "confidence")])
 
 
 def label_places(labels: DataFrame) -> DataFrame:
@@ -64,10 +65,15 @@ def value_right(labels: DataFrame, regions: DataFrame, reach: int = 450) -> Data
     return near.groupBy(*PAGE, "label_seq").agg(F.min_by("o_text", F.struct(gap.alias("g"), F.col("o_seq"))).alias("right"))
 
 
-def label_values(regions: DataFrame) -> DataFrame:
-    """doc_id, page_no, doc_type, field, label_seq, label_text, value: right of the label, else below; blank is null.
+def label_values(regions: DataFrame, rows: list[tuple] | None = None) -> DataFrame:
+    """Matched labels and their value: right of the label, else below; blank is null."""
+    return values_at(label_match(regions, rows), regions)
 
-    One join of matched labels with their page and one aggregate on the same keys: the row's left edge, the nearest
+
+def values_at(labels: DataFrame, regions: DataFrame) -> DataFrame:
+    """Adds to label regions: row_left, right, below (nearest texts) and value (trimmed: right, else below; blank is null).
+
+    One join of labels with their page and one aggregate on the same keys: the row's left edge, the nearest
     region to the right, and the few regions of the band below, which are judged once the left edge is known.
     """
     other = R.label_like(regions).select(*PAGE, *[F.col(c).alias(f"o_{c}") for c in ("seq", "left", "top", "bottom", "text")], "label_like")
@@ -79,13 +85,17 @@ def label_values(regions: DataFrame) -> DataFrame:
     beside = elsewhere & (overlap >= height * 0.4) & (gap >= 0) & (gap < 450) & ~F.col("label_like")
     drop = F.col("o_top") - F.col("label_bottom")
     under = F.struct((F.greatest(drop, F.lit(0)) + F.when(F.col("label_like"), 500).otherwise(0)).cast("double").alias("cost"), F.col("o_left").alias("x"), F.col("o_seq").alias("seq"), F.col("o_text").alias("text"))
-    keys = [*PAGE, "doc_type", "field", "label_seq", "label_text"]
-    met = label_match(regions).join(other, PAGE).groupBy(*keys).agg(
+    kept = [c for c in labels.columns if c not in (*PAGE, "doc_type", "field")]
+    keys = [*PAGE, "doc_type", "field"]
+    # only what may count joins: the label's row, or the band below it
+    met = labels.join(other, PAGE).filter((overlap >= height * 0.4) | ((drop >= -10) & (drop < 80)))
+    met = met.groupBy(*keys, *kept).agg(
         F.least(F.min("label_left"), F.coalesce(F.min(F.when(prefix, F.col("o_left"))), F.min("label_left"))).alias("row_left"),
-        F.min_by("o_text", F.when(beside, F.struct(gap.alias("g"), F.col("o_seq")))).alias("right"),
+        F.min_by(F.struct("o_text", "o_seq"), F.when(beside, F.struct(gap.alias("g"), F.col("o_seq")))).alias("_right"),
         F.collect_list(F.when((drop >= -10) & (drop < 80), under)).alias("under"),
     )
     near = F.filter("under", lambda r: F.abs(r["x"] - F.col("row_left")) < 200)
     best = F.array_min(F.transform(near, lambda r: F.struct((r["cost"] + F.abs(r["x"] - F.col("row_left")) * 0.3).alias("c"), r["seq"].alias("seq"), r["text"].alias("text"))))
-    found = F.trim(F.coalesce("right", best["text"]))
-    return met.select(*keys, F.when(found != "", found).alias("value"))
+    met = met.withColumns({"right": F.col("_right.o_text"), "right_seq": F.col("_right.o_seq"), "below": best["text"]})
+    found = F.trim(F.coalesce("right", "below"))
+    return met.select(*keys, *kept, "row_left", "right", "right_seq", "below", F.when(found != "", found).alias("value"))

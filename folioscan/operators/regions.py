@@ -17,6 +17,12 @@ TRUSTED = 0.5
 BOX = ["left", "top", "right", "bottom"]
 
 
+def dealt(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows dealt by ``key`` over the session's shuffle partitions: a set number, which adaptive execution keeps, so small
+    rows that cost much are worked on in parallel. Left out by the planner where rows already lie so."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def trusted(regions: DataFrame, least: float = TRUSTED) -> DataFrame:
     """Regions of sufficient confidence; the filter reaches the scan."""
     return regions.filter(F.col("confidence") >= least)
@@ -104,24 +110,24 @@ def reading_order(regions: DataFrame) -> DataFrame:
     return regions.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "|").alias("reading"))
 
 
-def grams(regions: DataFrame, sizes: list[int]) -> DataFrame:
-    """Distinct contiguous word n-grams of each region's normalised text.
+def grams(regions: DataFrame, phrases: list[str], norm=T.norm_label) -> DataFrame:
+    """Contiguous word n-grams of each region's normalised text, of the sizes that occur among ``phrases``.
 
     Containment of a phrase at word boundaries is equality with one of these, so label and keyword search
-    is an equi-join with a broadcast dimension.
+    is an equi-join with a broadcast dimension. Regions without any phrase's first word are dropped before
+    n-grams are made, and n-grams start at such a word only.
     """
-    norm = T.norm_label(F.col("text"))
-    words = F.split(norm, " ")
-    run = lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    none = F.array().cast("array<string>")
-    runs = F.flatten(F.array(*[F.when(F.size(words) >= n, run(n)).otherwise(none) for n in sizes]))
-    return regions.withColumn("norm", norm).filter(F.col("norm") != "").withColumn("gram", F.explode(F.array_distinct(runs)))
+    firsts = sorted({p.split(" ")[0] for p in phrases})
+    sizes = sorted({len(p.split(" ")) for p in phrases})
+    rows = regions.withColumn("norm", norm(F.col("text"))).withColumn("words", F.split("norm", " ")).filter(F.arrays_overlap("words", F.lit(firsts)))
+    starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains(F.lit(firsts), F.element_at("words", i)))
+    rows = rows.withColumn("start", F.explode(starts))
+    runs = [F.when(F.col("start") + n - 1 <= F.size("words"), F.array_join(F.slice("words", F.col("start"), F.lit(n)), " ")) for n in sizes]
+    rows = rows.withColumn("gram", F.explode(F.array_compact(F.array(*runs)))).drop("words", "start")
+    return rows
 
 
 def label_like(regions: DataFrame) -> DataFrame:
     """Adds label_like: the text holds a label's typical word."""
-    hit = F.lit(False)
-    padded = F.concat(F.lit(" "), T.norm_label(F.col("text")), F.lit(" "))
-    for hint in dims.LABEL_HINTS:
-        hit = hit | padded.contains(f" {hint} ")
-    return regions.withColumn("label_like", hit)
+    hints = "|".join(dims.LABEL_HINTS)
+    return regions.withColumn("label_like", T.norm_label(F.col("text")).rlike(f"(^| )({hints})( |$)"))

@@ -28,6 +28,47 @@ LABELS = {
     ("passport", "surname"): ["SURNAME"],
     ("passport", "given_names"): ["GIVEN NAME S", "GIVEN NAMES", "GIVEN NAME"],
 }
+#: Printed labels of a passport's biodata page, checked against its zone.
+PASSPORT_LABELS = {
+    ("passport", "surname"): ["SURNAME", "FAMILY NAME", "LAST NAME", "NOM"],
+    ("passport", "date_of_birth"): ["DATE OF BIRTH", "BIRTH DATE", "DOB", "NAISSANCE"],
+    ("passport", "expiry_date"): ["DATE OF EXPIRY", "EXPIRY DATE", "DATE OF EXPIRATION", "EXPIRY", "EXPIRATION", "VALID UNTIL"],
+    ("passport", "issue_date"): ["DATE OF ISSUE", "ISSUE DATE", "ISSUED", "D LIVRANCE"],
+    ("passport", "place_of_birth"): ["PLACE OF BIRTH", "BIRTHPLACE", "LIEU DE NAISSANCE"],
+}
+#: Labels of its back page.
+BACK_LABELS = {
+    ("back", "father_name"): ["NAME OF FATHER", "FATHER LEGAL GUARDIAN", "NAME OF FATHER LEGAL GUARDIAN", "FATHER", "LEGAL GUARDIAN"],
+    ("back", "mother_name"): ["NAME OF MOTHER", "MOTHER"],
+    ("back", "spouse_name"): ["NAME OF SPOUSE", "SPOUSE"],
+    ("back", "address"): ["ADDRESS"],
+    ("back", "file_number"): ["FILE NO", "FILE NUMBER"],
+    ("back", "old_passport"): ["OLD PASSPORT NO", "OLD PASSPORT NUMBER", "PREVIOUS PASSPORT", "OLD PASSPORT"],
+    ("back", "old_issue_date"): ["DATE OF ISSUE"],
+    ("back", "old_issue_place"): ["PLACE OF ISSUE"],
+}
+#: Labels of a population-register letter: English (normalised form) and Hindi (as printed) by field.
+NPR_LABELS = {
+    "reference_number": (["REFERENCE NUMBER", "REFERENCE NO", "REF NUMBER", "REF NO", "LETTER NUMBER", "LETTER NO", "FILE NUMBER", "FILE NO"], ["संदर्भ संख्या", "पत्र संख्या"]),
+    "name": (["NAME OF RESIDENT", "RESIDENT NAME", "NAME"], ["निवासी का नाम", "नाम"]),
+    "address": (["ADDRESS OF RESIDENT", "RESIDENT ADDRESS", "POSTAL ADDRESS", "ADDRESS"], ["निवासी का पता", "पता"]),
+    "issue_date": (["DATE OF ISSUE", "ISSUE DATE", "LETTER DATE"], ["जारी करने की तिथि", "दिनांक"]),
+    "pincode": (["PIN CODE", "PINCODE", "POSTAL CODE"], ["पिन कोड"]),
+}
+#: Labels that also occur in prose: they count alone or before a colon only.
+NPR_GENERIC = ["NAME", "ADDRESS", "नाम", "पता"]
+NPR_FOOTERS = ["YOURS FAITHFULLY", "AUTHORISED SIGNATORY", "AUTHORIZED SIGNATORY", "SIGNATURE", "REGISTRAR GENERAL", "CENSUS COMMISSIONER", "TELEPHONE", "PHONE", "EMAIL", "WEBSITE"]
+#: Titles and issuers in Hindi.
+NPR_TITLE_HINDI, NPR_ISSUERS_HINDI = "राष्ट्रीय जनसंख्या रजिस्टर", ["महापंजीयक", "जनगणना आयुक्त"]
+#: Indian states by code.
+STATES = {
+    "AP": "Andhra Pradesh", "AR": "Arunachal Pradesh", "AS": "Assam", "BR": "Bihar", "CG": "Chhattisgarh", "GA": "Goa", "GJ": "Gujarat", "HR": "Haryana", "HP": "Himachal Pradesh", "JH": "Jharkhand",
+    "KA": "Karnataka", "KL": "Kerala", "MP": "Madhya Pradesh", "MH": "Maharashtra", "MN": "Manipur", "ML": "Meghalaya", "MZ": "Mizoram", "NL": "Nagaland", "OD": "Odisha", "OR": "Odisha",
+    "PB": "Punjab", "RJ": "Rajasthan", "SK": "Sikkim", "TN": "Tamil Nadu", "TS": "Telangana", "TR": "Tripura", "UP": "Uttar Pradesh", "UK": "Uttarakhand", "WB": "West Bengal",
+    "AN": "Andaman and Nicobar Islands", "CH": "Chandigarh", "DN": "Dadra and Nagar Haveli and Daman and Diu", "DD": "Dadra and Nagar Haveli and Daman and Diu", "DL": "Delhi", "JK": "Jammu and Kashmir", "LA": "Ladakh", "LD": "Lakshadweep", "PY": "Puducherry",
+}
+#: Codes in a zone's country field besides the three-letter codes of countries.
+EXTRA_COUNTRIES = ["D<<", "GBD", "GBN", "GBO", "GBP", "GBS", "XBA", "XIM", "XCC", "XOM", "XXA", "XXB", "XXC", "UNO", "UNA", "EUE"]
 KEYWORDS = {
     ("pan", "keyword"): ["INCOME TAX DEPARTMENT", "PERMANENT ACCOUNT NUMBER", "INCOME TAX"],
     ("aadhaar", "keyword"): ["AADHAAR", "AADHAR", "UNIQUE IDENTIFICATION", "UIDAI", "MERA AADHAAR", "ENROLLMENT NO", "VID"],
@@ -77,8 +118,20 @@ def nesting_rows() -> list[tuple]:
     return [(t, e, a, b) for (t, e), words in KEYWORDS.items() for a in words for b in words if a != b and f" {a} " in f" {b} "]
 
 
-def label_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(label_rows(), "doc_type string, field string, label string, priority int")
+def rows_of(labels: dict) -> list[tuple]:
+    """(type, field, label, priority) of one of the label tables above."""
+    return [(t, f, label, k) for (t, f), names in labels.items() for k, label in enumerate(names)]
+
+
+def label_dim(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
+    return spark.createDataFrame(label_rows() if rows is None else rows, "doc_type string, field string, label string, priority int")
+
+
+def country_dim(spark: SparkSession) -> DataFrame:
+    """code: three-letter codes of all countries that the Java runtime lists, and EXTRA_COUNTRIES."""
+    locale = spark.sparkContext._jvm.java.util.Locale
+    codes = [locale("", c).getISO3Country() for c in locale.getISOCountries()]
+    return spark.createDataFrame([(c,) for c in sorted({*codes, *EXTRA_COUNTRIES})], "code string")
 
 
 def keyword_dim(spark: SparkSession) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions import checksum
+from folioscan.operators import regions as R
 
 NAMES = ["ROHIT SHARMA", "PRIYA NAIR", "ANJALI VERMA", "VIKRAM PATEL", "DEEPAK MEHTA", "SUNITA RAO", "ARJUN SINGH", "KAVITA JOSHI", "MANOJ GUPTA", "NEHA KAPOOR"]
 
@@ -97,8 +98,10 @@ def _cell(seq: int, row: tuple, spark: bool) -> str:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards of all six types as regions; narrow: one scan of orders, one explode."""
-    return spark.sql(regions_sql("spark"), orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    """Cards of all six types as regions. Orders are dealt by key before they grow, so that documents lie whole in a
+    partition and what groups by doc_id needs no exchange."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    return spark.sql(regions_sql("spark"), orders=R.dealt(orders, "o_orderkey"))
 
 
 LINES_SQL = """
@@ -166,7 +169,25 @@ def passports_sql(dialect: str) -> str:
 
 
 def passports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(passports_sql("spark"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return spark.sql(passports_sql("spark"), customer=R.dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey"))
+
+
+def back_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Back pages of passports from suppliers: names, an address of two to four lines ending in a state, file and old passport numbers."""
+    k, name = F.col("s_suppkey"), F.upper(F.translate("s_name", "#0123456789", ""))
+    states = F.array(*[F.lit(s) for s in ("KA", "DELHI", "Maharashtra", "TN")])
+    state = F.element_at(states, (k % 4 + 1).cast("int"))
+    cell = lambda seq, text, left, top: F.struct(F.lit(seq).alias("seq"), text.alias("text"), F.lit(left).alias("left"), F.lit(top).alias("top"), F.lit(left + 200).alias("right"), F.lit(top + 22).alias("bottom"))
+    lit = F.lit
+    cells = F.array(
+        cell(0, lit("Name of Father / Legal Guardian"), 40, 20), cell(1, F.concat(name, lit(" SENIOR")), 40, 50), cell(2, lit("Name of Mother"), 40, 90), cell(3, name, 40, 120),
+        cell(4, lit("Address"), 40, 160), cell(5, F.concat((k % 90).cast("string"), lit(" "), F.upper(F.regexp_replace("s_address", "[^A-Za-z ]", ""))), 40, 190),
+        cell(6, F.when(k % 3 == 0, lit("MARKET ROAD")).otherwise(lit("x")), 40, 215), cell(7, F.concat(lit("BENGALURU,"), state, lit(",PIN:"), (560001 + k % 99).cast("string")), 40, 240),
+        cell(8, lit("File No."), 40, 300), cell(9, F.concat(lit("BN"), F.lpad(k.cast("string"), 10, "0")), 40, 330), cell(10, lit("Old Passport No. with Date and Place of Issue"), 40, 380),
+        cell(11, F.concat(lit("K"), F.lpad(k.cast("string"), 7, "0")), 40, 410), cell(12, lit("12/03/2011"), 260, 410), cell(13, lit("BENGALURU"), 480, 410),
+    )
+    rows = R.dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_address"), "s_suppkey")
+    return rows.select(k.alias("doc_id"), F.explode(cells).alias("c")).select("doc_id", F.lit(0).alias("page_no"), "c.*", F.lit(0.9).alias("confidence"))
 
 
 SAMPLES_SQL = f"""

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from folioscan.functions import checksum, dates
 from folioscan.functions import identifiers as I
 from folioscan.functions import text as T
-from folioscan.operators import assess, classify, evaluate, extract, extras, layout, mrz
+from folioscan.operators import assess, classify, evaluate, extract, extras, layout, mrz, npr, passport
 from folioscan.operators import regions as R
+from folioscan.plans import dims
 from folioscan.plans import fixtures as X
 from folioscan.sources import ingest
 from folioscan.streaming import jobs
@@ -52,7 +53,7 @@ on(X.regions, "geometry_confidence", R.geometry_confidence)
 on(X.regions, "ocr_confidence", R.ocr_confidence)
 on(X.regions, "reading_order", R.reading_order)
 on(X.regions, "label_like", lambda r: R.label_like(r).select("doc_id", "seq", "label_like"))
-on(X.regions, "label_match", layout.label_match)
+on(X.regions, "label_match", lambda r: layout.label_match(r).drop("label_confidence"))
 on(X.regions, "label_row_left", lambda r: layout.row_left(layout.label_match(r), r).select("doc_id", "label_seq", "row_left"))
 on(X.regions, "value_below", lambda r: layout.value_below(layout.label_match(r), r).select("doc_id", "label_seq", "below"))
 on(X.regions, "value_right", lambda r: layout.value_right(layout.label_match(r), r).select("doc_id", "label_seq", "right"))
@@ -72,6 +73,25 @@ on(X.regions, "extract_aadhaar", extract.extract_aadhaar)
 on(X.regions, "extract_npr_letter", extract.extract_npr_letter)
 on(X.regions, "extract_nrega", extract.extract_nrega)
 on(X.regions, "scan_results", lambda r: assess.scan_results(r.persist(), AS_OF))  # the derivation is dear; a stored table needs no cache
+on(X.passports, "validate_passport", lambda r: passport.validate_passport(r, dims.country_dim(r.sparkSession)).drop("errors", "warnings"))
+on(X.passports, "passport_fields", lambda r: passport.passport_fields(r, dims.country_dim(r.sparkSession)))
+on(X.passports, "read_passports", lambda r: passport.read_passports(r, dims.country_dim(r.sparkSession)).select("doc_id", "confidence", "passport_number", "overall_ok"))
+on(X.back_pages, "extract_back_page", passport.extract_back_page)
+on(X.regions, "npr_letters", npr.npr_letters)
+on(X.regions, "extract_npr_fields", npr.extract_npr_fields)
+
+
+@query
+def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards, biodata pages and back pages in one table, told apart and routed."""
+    tables = [X.regions(spark, sf_dir), X.passports(spark, sf_dir), X.back_pages(spark, sf_dir)]
+    rows = None
+    for k, t in enumerate(tables):
+        t = t.withColumn("doc_id", F.col("doc_id") * len(tables) + k)
+        rows = t if rows is None else rows.unionByName(t)
+    return passport.scan_documents(rows, AS_OF, dims.country_dim(spark))
+
+
 on(X.regions, "results_to_json", lambda r: ingest.to_json(classify.classify_documents(r).select("doc_id", "document_type")))
 
 
