@@ -22,6 +22,12 @@ def printed(c: Column) -> Column:
     return F.when(out != "", out)
 
 
+def printed_whole(c: Column) -> Column:
+    """First date-like token with a year of four digits, as printed."""
+    out = F.regexp_extract(c, r"\b(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{4})\b", 1)
+    return F.when(out != "", out)
+
+
 def parse_printed(c: Column) -> Column:
     """Printed day-month-year (years of two digits turn at 69), ISO, or with a month's name; null when invalid."""
     text = F.regexp_replace(F.trim(c), "[/.]", "-")

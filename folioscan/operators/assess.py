@@ -34,38 +34,57 @@ def kyc_confidence(completeness: Column, identifier: Column, mean: Column, least
 
 
 def semantic_errors(v, doc_type: Column, as_of: Column) -> Column:
-    """Date rules by type; ``v`` gives a field's value."""
-    born, issue, valid = (dates.parse_printed(v(c)) for c in ("date_of_birth", "issue_date", "validity_date"))
-    has = v("date_of_birth").isNotNull()
-    licence = doc_type == "driving_licence"
+    """Rules on dates, ages and codes by type; ``v`` gives a field's value."""
+    born, issue, valid, registered, begins, ends = (dates.parse_printed(v(c)) for c in ("date_of_birth", "issue_date", "validity_date", "registration_date", "validity_from", "validity_to"))
+    has = lambda c: v(c).isNotNull()
+    licence, card, letter = (doc_type == t for t in ("driving_licence", "nrega_job_card", "npr_letter"))
+    year, years = v("year_of_birth").try_cast("int"), v("age").try_cast("int")
+    before = lambda a, b: F.coalesce(a >= b, F.lit(False))
     rules = [
         (doc_type.isin("pan") & ~dates.past(v("date_of_birth"), as_of), "INVALID_DATE_OF_BIRTH"),
-        (doc_type.isin("aadhaar", "voter_id") & has & ~dates.past(v("date_of_birth"), as_of), "INVALID_DATE_OF_BIRTH"),
+        (doc_type.isin("aadhaar", "voter_id") & has("date_of_birth") & ~dates.past(v("date_of_birth"), as_of), "INVALID_DATE_OF_BIRTH"),
+        ((doc_type == "aadhaar") & ~has("date_of_birth") & has("year_of_birth") & ~F.coalesce(year.between(1900, F.year(as_of)), F.lit(False)), "INVALID_YEAR_OF_BIRTH"),
+        ((doc_type == "voter_id") & ~has("date_of_birth") & has("age") & ~F.coalesce(years.between(18, 130), F.lit(False)), "INVALID_AGE"),
         (licence & born.isNull(), "INVALID_DATE_OF_BIRTH"),
         (licence & (issue.isNull() | (issue > as_of)), "INVALID_ISSUE_DATE"),
         (licence & valid.isNull(), "INVALID_VALIDITY_DATE"),
-        (licence & F.coalesce((born >= issue) | (issue >= valid), F.lit(False)), "INVALID_DL_DATE_CHRONOLOGY"),
-        ((doc_type == "npr_letter") & v("issue_date").isNotNull() & ~dates.not_future(v("issue_date"), as_of), "INVALID_ISSUE_DATE"),
+        (licence & (before(born, issue) | before(issue, valid)), "INVALID_DL_DATE_CHRONOLOGY"),
+        (card & has("registration_date") & (registered.isNull() | (registered > as_of)), "INVALID_REGISTRATION_DATE"),
+        (card & has("validity_from") & begins.isNull(), "INVALID_VALIDITY_FROM"),
+        (card & has("validity_to") & ends.isNull(), "INVALID_VALIDITY_TO"),
+        (card & before(begins, ends), "INVALID_NREGA_VALIDITY_CHRONOLOGY"),
+        (letter & has("issue_date") & ~dates.not_future(v("issue_date"), as_of), "INVALID_ISSUE_DATE"),
+        (letter & has("pincode") & ~v("pincode").rlike(r"(?U)^[\p{Nd}&&[^0]]\p{Nd}{5}$"), "INVALID_PINCODE"),
     ]
     return F.array_distinct(F.array_compact(F.array(*[F.when(c, n) for c, n in rules])))
 
 
 def assess(extracted: DataFrame, regions: DataFrame, classes: DataFrame, as_of: str) -> DataFrame:
-    """doc_id, document_type, complete, confidence, identifier_valid, missing, errors of every typed document."""
-    names = sorted({f for fields in dims.REQUIRED.values() for f in fields} | {"issue_date", "validity_date"})
-    wide = extracted.select("doc_id", *names)
+    """doc_id, document_type, complete, confidence, identifier_valid, missing, errors, warnings of every typed document.
+
+    ``extracted`` may lack fields; a requirement is met by any of its fields. identifier_valid is null where no offline
+    check exists: letters, and masked numbers.
+    """
+    asked = {f for of in (*dims.REQUIRED.values(), dims.AADHAAR_BACK) for fs in of.values() for f in fs} | {"issue_date", "validity_date", "registration_date", "validity_from", "validity_to", "age", "year_of_birth"}
+    names = sorted(asked & set(extracted.columns))
+    wide = extracted.select("doc_id", *names, *[F.lit(None).cast("string").alias(n) for n in sorted(asked - set(names))])
     docs = classes.filter("document_type != 'unknown' and document_type != 'passport'").select("doc_id", "document_type")
     rows = docs.join(wide, "doc_id", "left").join(R.geometry_confidence(regions), "doc_id", "left")
     kind = F.col("document_type")
-    required = F.element_at(F.create_map(*[x for t, fs in dims.REQUIRED.items() for x in (F.lit(t), F.array(*map(F.lit, fs)))]), kind)
-    present = F.array_compact(F.array(*[F.when(F.coalesce(F.trim(F.col(n)), F.lit("")) != "", F.lit(n)) for n in names]))
-    missing = F.array_except(required, present)
+    given = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
+    any_of = lambda cs: F.array_contains(F.array(*map(given, cs)), True)
+    needs = lambda of: F.array(*[F.struct(F.lit(n).alias("need"), any_of(cs).alias("met")) for n, cs in of.items()])
+    back = (kind == "aadhaar") & any_of(["address", "pincode"]) & ~any_of(dims.AADHAAR_FRONT)
+    required = F.coalesce(F.when(back, needs(dims.AADHAAR_BACK)), *[F.when(kind == t, needs(of)) for t, of in dims.REQUIRED.items()])
+    missing = F.transform(F.filter(required, lambda r: ~r["met"]), lambda r: r["need"])
     identifier = F.coalesce(*[F.when(kind == t, F.col(c)) for t, c in IDENTIFIER.items()])
-    ok = F.when(kind != "npr_letter", F.coalesce(identifier_ok(kind, identifier), F.lit(False)))
-    rows = rows.withColumns({"missing": missing, "identifier_valid": ok, "semantic": semantic_errors(F.col, kind, F.lit(as_of).cast("date")), "required": required})
+    masked = (kind == "aadhaar") & ~given("aadhaar_number") & given("masked_last4")
+    ok = F.when((kind != "npr_letter") & ~masked, F.coalesce(identifier_ok(kind, identifier), F.lit(False)))
+    rows = rows.withColumns({"missing": missing, "asked": F.size(required), "masked": masked, "identifier_valid": ok, "semantic": semantic_errors(F.col, kind, F.lit(as_of).cast("date"))})
     mean, least = F.coalesce("mean_confidence", F.lit(0.0)), F.coalesce("min_confidence", F.lit(0.0))
-    whole = (F.size("required") - F.size("missing")) / F.size("required")
+    whole = (F.col("asked") - F.size("missing")) / F.col("asked")
     own = F.array_compact(F.array(F.when(~F.col("identifier_valid"), "INVALID_OR_MISSING_DOCUMENT_IDENTIFIER"), F.when(F.size("missing") > 0, "MISSING_REQUIRED_FIELDS"), F.when(least < R.TRUSTED, "LOW_OCR_CONFIDENCE")))
+    warning = F.when(F.col("masked"), "MASKED_AADHAAR_CHECKSUM_UNAVAILABLE").when((kind == "nrega_job_card") & F.col("identifier_valid"), "IDENTIFIER_FORMAT_ONLY_NOT_AUTHENTICITY").when(kind == "npr_letter", "IDENTIFIER_NOT_OFFLINE_VERIFIABLE").otherwise("")
     return rows.select(
         "doc_id",
         "document_type",
@@ -74,6 +93,7 @@ def assess(extracted: DataFrame, regions: DataFrame, classes: DataFrame, as_of:
         "identifier_valid",
         F.array_join("missing", ",").alias("missing"),
         F.array_join(F.array_union(own, F.col("semantic")), ",").alias("errors"),
+        warning.alias("warnings"),
     )
 
 

@@ -12,17 +12,22 @@ from pyspark.sql import functions as F
 from folioscan.functions import dates
 from folioscan.functions import identifiers as I
 from folioscan.functions import text as T
-from folioscan.operators import layout
+from folioscan.operators import extras, layout
 from folioscan.plans import dims
 
 VID = r"\b\d{4}\s\d{4}\s\d{4}\s\d{4}\b"
 
 
-def _labelled(regions: DataFrame) -> DataFrame:
-    """doc_id and, for every (type, field), a struct of value, label_seq and label_text."""
-    values = layout.label_values(regions)
-    one = F.struct("value", "label_seq", "label_text")
-    return values.groupBy("doc_id").agg(*[F.max(F.when((F.col("doc_type") == t) & (F.col("field") == f), one)).alias(f"{t}__{f}") for t, f in dims.LABELS])
+def _year(text: Column) -> Column:
+    """A year of the last century or this one; null beside a whole date."""
+    year = F.regexp_extract(text, r"\b(19\d{2}|20\d{2})\b", 1)
+    return F.when(dates.printed_whole(text).isNull() & (year != ""), year)
+
+
+def age(text: Column) -> Column:
+    """First number from 1 to 120 of one to three digits, dates and years left out."""
+    bare = F.regexp_replace(F.regexp_replace(text, dates.PRINTED, " "), r"\b(19|20)\d{2}\b", " ")
+    return F.get(F.filter(F.regexp_extract_all(bare, F.lit(r"\b(\d{1,3})\b"), F.lit(1)), lambda n: n.cast("int").between(1, 120)), F.lit(0))
 
 
 def _found(regions: DataFrame) -> DataFrame:
@@ -31,7 +36,8 @@ def _found(regions: DataFrame) -> DataFrame:
     word = F.upper(text)
     first = lambda value, rank=order: F.min_by(value, F.when(value.isNotNull(), rank))
     sex = F.when(word.rlike(r"\bFEMALE\b"), "FEMALE").when(word.rlike(r"\bMALE\b"), "MALE").when(word.rlike(r"\bTRANSGENDER\b"), "TRANSGENDER")
-    born = F.when(word.rlike("DOB|BIRTH") & dates.printed(text).isNotNull(), 1).when(word.rlike("DOB|BIRTH"), 2).when(dates.printed(text).isNotNull(), 3)
+    labelled, whole = word.rlike("DOB|YOB|BIRTH") | text.contains("जन्म"), dates.printed_whole(text).isNotNull()
+    born = F.when(labelled & whole, 1).when(labelled, 2).when(whole, 3)
     bare = F.regexp_replace(text, VID, " ")
     head = F.upper(F.trim(F.split("text", "[:：]", 2)[0]))
     tail = F.trim(F.get(F.split("text", "[:：]", 2), F.lit(1)))
@@ -47,7 +53,8 @@ def _found(regions: DataFrame) -> DataFrame:
         first(I.virtual_id(text)).alias("vid"),
         first(sex).alias("any_sex"),
         first(I.pincode(bare)).alias("any_pin"),
-        F.min_by(F.struct("page_no", "top", "left", dates.printed(text).alias("date")), F.when(born.isNotNull(), F.struct(born.alias("c"), F.col("page_no"), F.col("seq")))).alias("dob"),
+        F.min_by(F.struct("page_no", "top", "left", dates.printed_whole(text).alias("date"), _year(text).alias("year")), F.when(born.isNotNull(), F.struct(born.alias("c"), F.col("page_no"), F.col("seq")))).alias("dob"),
+        first(F.when(word.rlike(r"\bAGE\b"), age(text))).alias("any_age"),
         F.bool_or(T.norm_text(text).contains("NATIONAL POPULATION REGISTER")).alias("npr_title"),
         inline("NAME").alias("npr_name"),
         inline("ADDRESS").alias("npr_address"),
@@ -57,17 +64,21 @@ def _found(regions: DataFrame) -> DataFrame:
 
 def _above(regions: DataFrame, found: DataFrame) -> DataFrame:
     """The name-like text nearest above the birth date."""
-    text, word = F.col("text"), F.upper(F.col("text"))
     anchors = found.filter("dob is not null").select("doc_id", F.col("dob.page_no").alias("page_no"), F.col("dob.top").alias("d_top"), F.col("dob.left").alias("d_left"))
-    like = (F.length(text) >= 3) & ~text.rlike(r"\d") & text.rlike("[A-Za-z]") & ~word.rlike("GOVERNMENT|INDIA|AADHAAR|DOB|BIRTH|MALE|FEMALE|AUTHORITY|IDENTIFICATION|ADDRESS") & ~text.rlike(r"\b[SCDWscdw]/[Oo]\b")
-    above = regions.filter(like).join(anchors, ["doc_id", "page_no"]).filter(F.col("bottom") <= F.col("d_top") + 5)
+    above = regions.filter(extras.name_like(F.col("text"))).join(anchors, ["doc_id", "page_no"]).filter(F.col("bottom") <= F.col("d_top") + 5)
     return above.groupBy("doc_id").agg(F.min_by("text", F.struct((F.col("d_top") - F.col("bottom")).alias("dy"), F.abs(F.col("left") - F.col("d_left")).alias("dx"), F.col("seq"))).alias("above"))
 
 
-def facts(regions: DataFrame) -> DataFrame:
-    """Everything that an extractor projects; one row per document."""
+def facts(regions: DataFrame, types: list[str] | None = None, classes: DataFrame | None = None) -> DataFrame:
+    """Everything that an extractor projects; one row per document.
+
+    ``types``: only labels of these types are searched; ``classes``: only those of a document's own type are paired with values.
+    """
     found = _found(regions)
-    return found.join(_labelled(regions), "doc_id", "left").join(_above(regions, found), "doc_id", "left")
+    rows = [r for r in dims.label_rows() if types is None or r[0] in types]
+    if rows:
+        found = found.join(layout.best_values(regions, rows, classes), "doc_id", "left")
+    return found.join(_above(regions, found), "doc_id", "left") if types is None or "aadhaar" in types else found
 
 
 def _relation(c: Column) -> Column:
@@ -91,7 +102,7 @@ def voter_id_fields() -> dict[str, Column]:
     sex = F.upper(of("gender"))
     gender = F.when(sex.contains("FEMALE"), "FEMALE").when(sex.contains("MALE"), "MALE").when(sex.rlike("TRANSGENDER|OTHER"), "TRANSGENDER").when(sex == "F", "FEMALE").when(sex == "M", "MALE")
     kind = F.when(father.isNotNull(), "father").when(husband.isNotNull(), "husband")
-    return {"epic_number": F.col("epic_number"), "name": holder, "relation_name": F.coalesce(father, husband), "relation_type": kind, "date_of_birth": dates.printed(of("date_of_birth")), "gender": gender}
+    return {"epic_number": F.col("epic_number"), "name": holder, "relation_name": F.coalesce(father, husband), "relation_type": kind, "date_of_birth": dates.printed(of("date_of_birth")), "age": F.when(dates.printed(of("date_of_birth")).isNull(), F.col("any_age")), "gender": gender}
 
 
 def driving_licence_fields() -> dict[str, Column]:
@@ -102,7 +113,7 @@ def driving_licence_fields() -> dict[str, Column]:
 
 
 def aadhaar_fields() -> dict[str, Column]:
-    return {"aadhaar_number": F.col("aadhaar_number"), "masked_last4": F.when(F.col("aadhaar_number").isNull(), F.col("masked_last4")), "name": F.col("above"), "date_of_birth": F.col("dob.date"), "gender": F.col("any_sex"), "pincode": F.col("any_pin"), "vid": F.col("vid")}
+    return {"aadhaar_number": F.col("aadhaar_number"), "masked_last4": F.when(F.col("aadhaar_number").isNull(), F.col("masked_last4")), "name": F.col("above"), "date_of_birth": F.col("dob.date"), "year_of_birth": F.col("dob.year"), "gender": F.col("any_sex"), "address": F.col("aadhaar__address")["value"], "pincode": F.col("any_pin"), "vid": F.col("vid")}
 
 
 def npr_letter_fields() -> dict[str, Column]:
@@ -112,7 +123,7 @@ def npr_letter_fields() -> dict[str, Column]:
 
 def nrega_fields() -> dict[str, Column]:
     of = lambda f: F.col(f"nrega_job_card__{f}")["value"]
-    return {"job_card_number": F.coalesce(I.job_card(of("job_card_number")), F.col("any_card")), "head_of_household": of("head_of_household"), "village": of("village")}
+    return {"job_card_number": F.coalesce(I.job_card(of("job_card_number")), F.col("any_card")), "head_of_household": of("head_of_household")} | {f: of(f) for f in ("village", "gram_panchayat", "district")}
 
 
 #: Fields of each type over ``facts``; ``register_extractor`` replaces or adds one.
@@ -124,38 +135,39 @@ def register_extractor(doc_type: str, fields) -> None:
     FIELDS[doc_type] = fields
 
 
-def _project(regions: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    return facts(regions).select("doc_id", *[c.alias(n) for n, c in fields.items()])
+def _project(regions: DataFrame, doc_type: str) -> DataFrame:
+    fields = FIELDS[doc_type]()
+    return facts(regions, [doc_type]).select("doc_id", *[c.alias(n) for n, c in fields.items()])
 
 
 def extract_pan(regions: DataFrame) -> DataFrame:
-    return _project(regions, pan_fields())
+    return _project(regions, "pan")
 
 
 def extract_voter_id(regions: DataFrame) -> DataFrame:
-    return _project(regions, voter_id_fields())
+    return _project(regions, "voter_id")
 
 
 def extract_driving_licence(regions: DataFrame) -> DataFrame:
-    return _project(regions, driving_licence_fields())
+    return _project(regions, "driving_licence")
 
 
 def extract_aadhaar(regions: DataFrame) -> DataFrame:
-    return _project(regions, aadhaar_fields())
+    return _project(regions, "aadhaar")
 
 
 def extract_nrega(regions: DataFrame) -> DataFrame:
-    return _project(regions, nrega_fields())
+    return _project(regions, "nrega_job_card")
 
 
 def extract_npr_letter(regions: DataFrame) -> DataFrame:
     """Only documents that bear the register's title."""
-    return facts(regions).filter("npr_title").select("doc_id", *[c.alias(n) for n, c in npr_letter_fields().items()])
+    return facts(regions, []).filter("npr_title").select("doc_id", *[c.alias(n) for n, c in npr_letter_fields().items()])
 
 
 def extract_all(regions: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id and one column per field name of any type, filled by each document's own type."""
-    rows = facts(regions).join(classes.select("doc_id", "document_type"), "doc_id")
+    rows = facts(regions, classes=classes).join(classes.select("doc_id", "document_type"), "doc_id")
     own = {t: fields() for t, fields in FIELDS.items()}
     names = list(dict.fromkeys(n for fields in own.values() for n in fields))
     pick = lambda n: F.coalesce(*[F.when(F.col("document_type") == t, fields[n].cast("string")) for t, fields in own.items() if n in fields])

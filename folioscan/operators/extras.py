@@ -9,10 +9,13 @@ from pyspark.sql.window import Window
 from folioscan.functions import identifiers as I
 from folioscan.functions import text as T
 
-#: Vehicle class tokens of a licence, longest reading first where one holds another.
-VEHICLES = ["MCWOG", "MCWG", "LMV-NT", "LMV-TR", "HGMV", "HPMV", "HTV", "LMV", "TRANS", "TRACTOR", "PSV", "3WT", "MC"]
-#: Words that no name holds.
-NOT_NAMES = ["GOVERNMENT", "INDIA", "AADHAAR", "DOB", "MALE", "FEMALE", "YEAR", "BIRTH", "ADDRESS", "AUTHORITY"]
+#: Vehicle class tokens of a licence, in the order that decides which of two overlapping ones counts.
+VEHICLES = ["MCWOG", "MCWG", "MCEX50CC", "MGV", "HGMV", "HMV", "HPMV", "LMV-NT", "LMV-TR", "LMV", "TRANS", "TRACTOR", "ERIG", "ROAD ROLLER", "MC", "FVG", "PSV", "3WT", "3WNT", "INVCRG"]
+#: Words that no name on an identity card holds.
+NOT_NAMES = (
+    "GOVERNMENT GOVT INDIA BHARAT AADHAAR AADHAR UNIQUE IDENTIFICATION AUTHORITY UIDAI MALE FEMALE TRANSGENDER DOB YEAR BIRTH YOB ADDRESS MOBILE VID ENROLLMENT "
+    "ENROLMENT GENDER DATE NUMBER CARD DOWNLOAD ISSUE ISSUED HELP EMAIL WWW PHONE MERA VALID"
+).split()
 
 
 def convex(points: Column) -> Column:
@@ -39,27 +42,32 @@ def plausible_quad(assets: DataFrame) -> DataFrame:
 
 
 def blood_group(c: Column) -> Column:
-    """Letters and sign of a printed blood group, as AB+; null when there is none."""
+    """Letters and sign of a printed blood group, as AB+; null when there is none, or in a label's own words."""
     pattern = r"\b(AB|A|B|O)\s*(\+\s*VE|-\s*VE|\+|-|POSITIVE|NEGATIVE|POS|NEG)(?![A-Z])"
     letters, sign = F.regexp_extract(F.upper(c), pattern, 1), F.regexp_extract(F.upper(c), pattern, 2)
-    return F.when(letters != "", F.concat(letters, F.when(sign.rlike(r"^(\+|POS)"), "+").otherwise("-")))
+    return F.when((letters != "") & ~F.upper(c).rlike(r"BLOOD|GROUP|\bBG\b"), F.concat(letters, F.when(sign.rlike(r"^(\+|POS)"), "+").otherwise("-")))
 
 
-def vehicle_classes(c: Column) -> Column:
+def vehicle_tokens(c: Column) -> Column:
     """Distinct class tokens in fixed order; a token inside one already found is left out."""
-    text = F.upper(c)
+    text = F.regexp_replace(F.upper(c), r"\s+", " ")
 
     def add(kept: Column, token: Column) -> Column:
-        hit = F.regexp_like(text, F.concat(F.lit("(?<![A-Z0-9])"), token, F.lit("(?![A-Z0-9])")))
+        hit = F.regexp_like(text, F.concat(F.lit("(?<![A-Z0-9-])"), token, F.lit("(?![A-Z0-9])")))
         return F.when(hit & ~F.contains(F.array_join(kept, "|"), token), F.array_append(kept, token)).otherwise(kept)
 
-    return F.array_join(F.aggregate(F.array(*map(F.lit, VEHICLES)), F.array().cast("array<string>"), add), ", ")
+    return F.aggregate(F.array(*map(F.lit, VEHICLES)), F.array().cast("array<string>"), add)
+
+
+def vehicle_classes(c: Column) -> Column:
+    return F.array_join(vehicle_tokens(c), ", ")
 
 
 def name_like(c: Column) -> Column:
-    """A person's printed name: letters, no digit, mostly Latin, no stop word, no care-of prefix."""
-    words = F.split(F.upper(F.trim(c)), r"\s+")
-    return (F.length(F.trim(c)) >= 3) & ~c.rlike(r"(?U)\d") & c.rlike("[A-Za-z]{2}") & (T.letters_share(c, r"\x{80}-\x{10FFFF}") <= 0.5) & ~c.rlike(r"\b[SCDWscdw]/[Oo]\b") & ~F.arrays_overlap(words, F.lit(NOT_NAMES))
+    """A person's printed name: letters, no digit, mostly Latin, none of its words a card's own, no care-of prefix."""
+    words = F.filter(F.split(F.regexp_replace(F.upper(F.trim(c)), "[^A-Z ]", " "), " +"), lambda w: w != "")
+    latin = (T.letters_share(c, r"ऀ-ॿ") <= 0.5) & (T.letters_share(c, r"\x{80}-\x{10FFFF}") <= 0.5)
+    return (F.length(F.trim(c)) >= 3) & ~c.rlike(r"(?U)\d") & (F.size(words) > 0) & latin & ~c.rlike(r"\b[SCDWscdw]\s*/\s*[Oo]\b") & ~F.arrays_overlap(words, F.lit(NOT_NAMES))
 
 
 def split_licence(regions: DataFrame) -> DataFrame:

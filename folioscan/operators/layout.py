@@ -91,11 +91,26 @@ def values_at(labels: DataFrame, regions: DataFrame) -> DataFrame:
     met = labels.join(other, PAGE).filter((overlap >= height * 0.4) | ((drop >= -10) & (drop < 80)))
     met = met.groupBy(*keys, *kept).agg(
         F.least(F.min("label_left"), F.coalesce(F.min(F.when(prefix, F.col("o_left"))), F.min("label_left"))).alias("row_left"),
-        F.min_by(F.struct("o_text", "o_seq"), F.when(beside, F.struct(gap.alias("g"), F.col("o_seq")))).alias("_right"),
+        F.min_by(F.struct("o_text", "o_seq", "o_left"), F.when(beside, F.struct(gap.alias("g"), F.col("o_seq")))).alias("_right"),
         F.collect_list(F.when((drop >= -10) & (drop < 80), under)).alias("under"),
     )
     near = F.filter("under", lambda r: F.abs(r["x"] - F.col("row_left")) < 200)
     best = F.array_min(F.transform(near, lambda r: F.struct((r["cost"] + F.abs(r["x"] - F.col("row_left")) * 0.3).alias("c"), r["seq"].alias("seq"), r["text"].alias("text"))))
-    met = met.withColumns({"right": F.col("_right.o_text"), "right_seq": F.col("_right.o_seq"), "below": best["text"]})
+    met = met.withColumns({"right": F.col("_right.o_text"), "right_seq": F.col("_right.o_seq"), "right_left": F.col("_right.o_left"), "below": best["text"]})
     found = F.trim(F.coalesce("right", "below"))
-    return met.select(*keys, *kept, "row_left", "right", "right_seq", "below", F.when(found != "", found).alias("value"))
+    return met.select(*keys, *kept, "row_left", "right", "right_seq", "right_left", "below", F.when(found != "", found).alias("value"))
+
+
+def best_values(regions: DataFrame, rows: list[tuple], classes: DataFrame | None = None) -> DataFrame:
+    """doc_id and, for every (type, field) of ``rows``, a struct <type>__<field> of its best label over all pages: place, text, values.
+
+    ``classes`` (doc_id, document_type) leaves only labels of a document's own type, before they meet their page.
+    """
+    labels = label_match(regions, rows)
+    if classes is not None:
+        labels = labels.join(classes.select("doc_id", F.col("document_type").alias("doc_type")), ["doc_id", "doc_type"])
+    values = values_at(labels, regions)
+    one = F.struct("page_no", "label_seq", "label_left", "label_top", "label_right", "label_bottom", "label_text", "row_left", F.trim("right").alias("right"), "right_seq", "right_left", F.trim("below").alias("below"), "value")
+    rank = F.struct("score", "label_confidence", -F.col("page_no"), -F.col("label_seq"))
+    keys = dict.fromkeys((t, f) for t, f, _, _ in rows)
+    return values.groupBy("doc_id").agg(*[F.max_by(one, F.when((F.col("doc_type") == t) & (F.col("field") == f), rank)).alias(f"{t}__{f}") for t, f in keys])

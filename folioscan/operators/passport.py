@@ -21,10 +21,8 @@ FIELDS = ["surname", "given_names", "full_name", "passport_number", "nationality
 
 def seen(regions: DataFrame, labels: dict) -> DataFrame:
     """doc_id and, by field, a struct p_<field> of the best label's place, row_left and the text below it."""
-    values = layout.label_values(regions, dims.rows_of(labels))
-    one = F.struct("page_no", "row_left", *[f"label_{c}" for c in ("seq", "left", "top", "right", "bottom")], F.trim("below").alias("below"))
-    rank = F.struct("score", "label_confidence", -F.col("page_no"), -F.col("label_seq"))
-    return values.groupBy("doc_id").agg(*[F.max_by(one, F.when(F.col("field") == f, rank)).alias(f"p_{f}") for _, f in labels])
+    found = layout.best_values(regions, dims.rows_of(labels))
+    return found.select("doc_id", *[F.col(f"{t}__{f}").alias(f"p_{f}") for t, f in labels])
 
 
 def listed(*pairs: tuple[Column, Column | str]) -> Column:

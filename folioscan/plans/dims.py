@@ -25,6 +25,9 @@ LABELS = {
     ("nrega_job_card", "job_card_number"): ["JOB CARD NO", "JOB CARD NUMBER"],
     ("nrega_job_card", "head_of_household"): ["NAME OF HEAD OF HOUSEHOLD", "HEAD OF HOUSEHOLD"],
     ("nrega_job_card", "village"): ["VILLAGE", "NAME OF VILLAGE"],
+    ("nrega_job_card", "gram_panchayat"): ["NAME OF GRAM PANCHAYAT", "GRAM PANCHAYAT", "G P NAME", "PANCHAYAT"],
+    ("nrega_job_card", "district"): ["DISTRICT NAME", "DISTRICT"],
+    ("aadhaar", "address"): ["ADDRESS"],
     ("passport", "surname"): ["SURNAME"],
     ("passport", "given_names"): ["GIVEN NAME S", "GIVEN NAMES", "GIVEN NAME"],
 }
@@ -90,15 +93,18 @@ PAGE_HINTS = {
 LABEL_HINTS = ["SURNAME", "GIVEN NAME", "NAME", "DATE", "BIRTH", "NATIONALITY", "PASSPORT", "SEX", "PLACE", "ISSUE", "EXPIRY", "EXPIRATION", "VALID", "COUNTRY", "CODE", "FATHER", "MOTHER", "SPOUSE", "ADDRESS", "FILE"]
 #: Order in which equal scores are decided.
 TYPES = ["pan", "aadhaar", "driving_licence", "voter_id", "nrega_job_card", "npr_letter", "passport"]
-#: Required fields by type.
+#: By type: what must be present, and the fields of which one is enough.
 REQUIRED = {
-    "pan": ["pan_number", "name", "date_of_birth"],
-    "aadhaar": ["aadhaar_number", "name", "date_of_birth", "gender"],
-    "driving_licence": ["dl_number", "name", "date_of_birth", "issue_date", "validity_date"],
-    "voter_id": ["epic_number", "name", "date_of_birth"],
-    "nrega_job_card": ["job_card_number", "head_of_household", "village"],
-    "npr_letter": ["name", "address"],
+    "pan": {"pan_number": ["pan_number"], "name": ["name"], "date_of_birth": ["date_of_birth"]},
+    "aadhaar": {"aadhaar_number_or_masked_last4": ["aadhaar_number", "masked_last4"], "name": ["name"], "date_or_year_of_birth": ["date_of_birth", "year_of_birth"], "gender": ["gender"]},
+    "driving_licence": {"dl_number": ["dl_number"], "name": ["name"], "date_of_birth": ["date_of_birth"], "issue_date": ["issue_date"], "validity_date": ["validity_date"]},
+    "voter_id": {"epic_number": ["epic_number"], "name": ["name"], "date_of_birth_or_age": ["date_of_birth", "age"]},
+    "nrega_job_card": {"job_card_number": ["job_card_number"], "household_or_member_name": ["head_of_household", "member_name"], "location": ["village", "gram_panchayat", "district", "address"]},
+    "npr_letter": {"name": ["name"], "address": ["address"]},
 }
+#: What the address side of an Aadhaar card must have: it shows an address or pincode and none of the holder's particulars.
+AADHAAR_BACK = {"aadhaar_number_or_masked_last4": ["aadhaar_number", "masked_last4"], "address": ["address"], "pincode": ["pincode"]}
+AADHAAR_FRONT = ["name", "date_of_birth", "year_of_birth", "gender"]
 
 
 def label_rows() -> list[tuple]:

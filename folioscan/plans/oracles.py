@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from folioscan.functions import checksum
-from folioscan.operators import evaluate
+from folioscan.operators import evaluate, extras
 from folioscan.plans import dims
 from folioscan.plans import fixtures as X
 
@@ -196,19 +196,20 @@ _father = f"CASE WHEN {_related('father_label')} THEN {_tail('father')} END"
 _husband = f"CASE WHEN {_related('husband_label')} THEN {_tail('husband')} END"
 VOTER = f"""SELECT d.doc_id, epic_number, CASE WHEN NOT {_related('name_label')} AND NOT {_related('name')} THEN {_tail('name')} END AS name, coalesce({_father}, {_husband}) AS relation_name,
     CASE WHEN {_father} IS NOT NULL THEN 'father' WHEN {_husband} IS NOT NULL THEN 'husband' END AS relation_type, {_of(_date, 'date_of_birth')} AS date_of_birth,
-    CASE WHEN upper(gender) LIKE '%FEMALE%' THEN 'FEMALE' WHEN upper(gender) LIKE '%MALE%' THEN 'MALE' WHEN upper(gender) LIKE '%TRANSGENDER%' OR upper(gender) LIKE '%OTHER%' THEN 'TRANSGENDER' WHEN upper(gender) = 'F' THEN 'FEMALE' WHEN upper(gender) = 'M' THEN 'MALE' END AS gender
+    CASE WHEN upper(gender) LIKE '%FEMALE%' THEN 'FEMALE' WHEN upper(gender) LIKE '%MALE%' THEN 'MALE' WHEN upper(gender) LIKE '%TRANSGENDER%' OR upper(gender) LIKE '%OTHER%' THEN 'TRANSGENDER' WHEN upper(gender) = 'F' THEN 'FEMALE' WHEN upper(gender) = 'M' THEN 'MALE' END AS gender, CAST(NULL AS VARCHAR) AS age
     FROM {_docs} LEFT JOIN {_wide('voter_id', ['name', 'father', 'husband', 'date_of_birth', 'gender'])} USING (doc_id) LEFT JOIN {_first(_epic, 'epic_number')} USING (doc_id)"""
 _dated = lambda c: f"coalesce({_of(_date, c + '_label')}, {_of(_date, c)}) AS {c}"
 LICENCE = f"SELECT d.doc_id, dl_number, {_strip('name')} AS name, {_dated('date_of_birth')}, {_dated('issue_date')}, {_dated('validity_date')} FROM {_docs} LEFT JOIN {_wide('driving_licence', ['name', 'date_of_birth', 'issue_date', 'validity_date'])} USING (doc_id) LEFT JOIN {_first(_dl, 'dl_number')} USING (doc_id)"
-NREGA = f"SELECT d.doc_id, coalesce({_of(_job, 'job_card_number')}, any_card) AS job_card_number, head_of_household, village FROM {_docs} LEFT JOIN {_wide('nrega_job_card', ['job_card_number', 'head_of_household', 'village'])} USING (doc_id) LEFT JOIN {_first(_job, 'any_card')} USING (doc_id)"
+NREGA = f"SELECT d.doc_id, coalesce({_of(_job, 'job_card_number')}, any_card) AS job_card_number, head_of_household, village, gram_panchayat, district FROM {_docs} LEFT JOIN {_wide('nrega_job_card', ['job_card_number', 'head_of_household', 'village', 'gram_panchayat', 'district'])} USING (doc_id) LEFT JOIN {_first(_job, 'any_card')} USING (doc_id)"
 _head = "upper(trim(string_split_regex(text, '[:：]')[1]))"
 _rest = "nullif(trim(regexp_replace(regexp_extract(text, '[:：](.*)$'), '^[:：]', '')), '')"
 _labelled = lambda n, name: f"(SELECT doc_id, arg_min({_rest}, seq) AS {name} FROM sound WHERE {_head} = '{n}' AND {_rest} IS NOT NULL GROUP BY doc_id)"
 NPR = f"SELECT d.doc_id, name, address, {_of(_date, 'dated')} AS issue_date, nullif(regexp_extract(address, '\\b([1-9][0-9]{{5}})\\b', 1), '') AS pincode FROM (SELECT doc_id FROM sound GROUP BY doc_id HAVING bool_or(norm LIKE '%NATIONAL POPULATION REGISTER%')) d LEFT JOIN {_labelled('NAME', 'name')} USING (doc_id) LEFT JOIN {_labelled('ADDRESS', 'address')} USING (doc_id) LEFT JOIN {_labelled('DATE', 'dated')} USING (doc_id)"
 _sex = "CASE WHEN regexp_matches(upper(text), '\\bFEMALE\\b') THEN 'FEMALE' WHEN regexp_matches(upper(text), '\\bMALE\\b') THEN 'MALE' WHEN regexp_matches(upper(text), '\\bTRANSGENDER\\b') THEN 'TRANSGENDER' END"
 _dob_rank = f"CASE WHEN regexp_matches(upper(text), 'DOB|BIRTH') AND {_date} IS NOT NULL THEN 0 WHEN regexp_matches(upper(text), 'DOB|BIRTH') THEN 1000 WHEN {_date} IS NOT NULL THEN 2000 END"
-_name_like = "length(text) >= 3 AND NOT regexp_matches(text, '[0-9]') AND regexp_matches(text, '[A-Za-z]') AND NOT regexp_matches(upper(text), 'GOVERNMENT|INDIA|AADHAAR|DOB|BIRTH|MALE|FEMALE|AUTHORITY|IDENTIFICATION|ADDRESS') AND NOT regexp_matches(text, '\\b[SCDWscdw]/[Oo]\\b')"
-AADHAAR = f"""SELECT d.doc_id, aadhaar_number, CAST(NULL AS VARCHAR) AS masked_last4, nm.name, b.date_of_birth, gender, pincode, CAST(NULL AS VARCHAR) AS vid FROM {_docs}
+_words = "string_split_regex(trim(regexp_replace(upper(text), '[^A-Z ]', ' ', 'g')), ' +')"
+_name_like = f"(length(trim(text)) >= 3 AND NOT regexp_matches(text, '[0-9]') AND regexp_matches(text, '[A-Za-z]') AND NOT regexp_matches(text, '\\b[SCDWscdw]\\s*/\\s*[Oo]\\b') AND NOT list_has_any({_words}, {extras.NOT_NAMES!r}))"
+AADHAAR = f"""SELECT d.doc_id, aadhaar_number, CAST(NULL AS VARCHAR) AS masked_last4, nm.name, b.date_of_birth, CAST(NULL AS VARCHAR) AS year_of_birth, gender, address, pincode, CAST(NULL AS VARCHAR) AS vid FROM {_docs} LEFT JOIN {_wide('aadhaar', ['address'])} USING (doc_id)
     LEFT JOIN {_first(_uid('text'), 'aadhaar_number')} USING (doc_id) LEFT JOIN {_first(_sex, 'gender')} USING (doc_id) LEFT JOIN {_first("nullif(regexp_extract(text, '\\b[0-9]{6}\\b'), '')", 'pincode')} USING (doc_id)
     LEFT JOIN (SELECT doc_id, top AS d_top, "left" AS d_left, {_date} AS date_of_birth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_dob_rank} + seq) AS n FROM sound WHERE {_dob_rank} IS NOT NULL) WHERE n = 1) b USING (doc_id)
     LEFT JOIN (SELECT doc_id, text AS name FROM (SELECT s.doc_id, s.text, row_number() OVER (PARTITION BY s.doc_id ORDER BY d_top - s.bottom, abs(s."left" - d_left), s.seq) AS n FROM (SELECT * FROM sound WHERE {_name_like}) s
@@ -217,7 +218,7 @@ for _name, _body in (("pan", PAN), ("voter_id", VOTER), ("driving_licence", LICE
     SQL[f"extract_{_name}"] = layout(_body)
 
 _day = lambda c: f"CAST(try_strptime(replace({c}, '-', '/'), '%d/%m/%Y') AS DATE)"
-_fields = sorted({f for fs in dims.REQUIRED.values() for f in fs} | {"issue_date", "validity_date"})
+_fields = sorted({f for of in dims.REQUIRED.values() for fs in of.values() for f in fs} | {"issue_date", "validity_date", "pincode"})
 
 
 def _branch(doc_type: str, body: str, have: list[str]) -> str:
@@ -225,11 +226,14 @@ def _branch(doc_type: str, body: str, have: list[str]) -> str:
 
 
 _branches = " UNION ALL ".join(_branch(*b) for b in (
-    ("pan", PAN, ["pan_number", "name", "date_of_birth"]), ("aadhaar", AADHAAR, ["aadhaar_number", "name", "date_of_birth", "gender"]), ("driving_licence", LICENCE, ["dl_number", "name", "date_of_birth", "issue_date", "validity_date"]),
-    ("voter_id", VOTER, ["epic_number", "name", "date_of_birth"]), ("nrega_job_card", NREGA, ["job_card_number", "head_of_household", "village"]), ("npr_letter", NPR, ["name", "address", "issue_date"])))
-_missing = "concat_ws(',', " + ", ".join(f"CASE WHEN document_type = '{t}' AND trim(coalesce({f}, '')) = '' THEN '{f}' END" for t, fs in dims.REQUIRED.items() for f in fs) + ")"
-_n_missing = " + ".join(f"CASE WHEN document_type = '{t}' AND trim(coalesce({f}, '')) = '' THEN 1 ELSE 0 END" for t, fs in dims.REQUIRED.items() for f in fs)
-_n_required = "CASE document_type " + " ".join(f"WHEN '{t}' THEN {len(fs)}" for t, fs in dims.REQUIRED.items()) + " END"
+    ("pan", PAN, ["pan_number", "name", "date_of_birth"]), ("aadhaar", AADHAAR, ["aadhaar_number", "masked_last4", "name", "date_of_birth", "year_of_birth", "gender", "address", "pincode"]), ("driving_licence", LICENCE, ["dl_number", "name", "date_of_birth", "issue_date", "validity_date"]),
+    ("voter_id", VOTER, ["epic_number", "name", "date_of_birth", "age"]), ("nrega_job_card", NREGA, ["job_card_number", "head_of_household", "village", "gram_panchayat", "district"]), ("npr_letter", NPR, ["name", "address", "issue_date"])))
+_given = lambda fs: "(" + " OR ".join(f"trim(coalesce({f}, '')) <> ''" for f in fs) + ")"
+_back = f"(document_type = 'aadhaar' AND {_given(['address', 'pincode'])} AND NOT {_given(dims.AADHAAR_FRONT)})"
+_lacks = [(n, f"document_type = '{t}' AND NOT {_back} AND NOT {_given(fs)}") for t, of in dims.REQUIRED.items() for n, fs in of.items()] + [(n, f"{_back} AND NOT {_given(fs)}") for n, fs in dims.AADHAAR_BACK.items()]
+_missing = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _lacks) + ")"
+_n_missing = " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for _, c in _lacks)
+_n_required = f"CASE WHEN {_back} THEN 3 " + " ".join(f"WHEN document_type = '{t}' THEN {len(fs)}" for t, fs in dims.REQUIRED.items()) + " END"
 _valid = f"CASE document_type WHEN 'pan' THEN {_of(_pan_ok, 'pan_number')} WHEN 'aadhaar' THEN {_uid_ok('aadhaar_number')} WHEN 'driving_licence' THEN dl_number IS NOT NULL WHEN 'voter_id' THEN epic_number IS NOT NULL WHEN 'nrega_job_card' THEN job_card_number IS NOT NULL END"
 _bad = {
     "INVALID_DATE_OF_BIRTH": f"(document_type = 'pan' AND NOT coalesce({_day('date_of_birth')} < {AS_OF}, false)) OR (document_type IN ('aadhaar', 'voter_id') AND date_of_birth IS NOT NULL AND NOT coalesce({_day('date_of_birth')} < {AS_OF}, false)) OR (document_type = 'driving_licence' AND {_day('date_of_birth')} IS NULL)",
@@ -244,7 +248,8 @@ judged AS (SELECT t.*, coalesce(g.mean_confidence, 0) AS mean_c, coalesce(g.min_
     FROM (SELECT c.doc_id, c.document_type, {', '.join(_fields)} FROM classes c LEFT JOIN typed USING (doc_id) WHERE c.document_type NOT IN ('unknown', 'passport')) t LEFT JOIN ({_geometry.replace('FROM regions', 'FROM sound')}) g USING (doc_id)),
 assessed AS MATERIALIZED (SELECT doc_id, document_type, n_missing = 0 AND coalesce(valid, true) AND min_c >= 0.5 AND n_semantic = 0 AS complete,
     CASE WHEN n_semantic > 0 THEN least(raw, 0.49) ELSE raw END AS confidence, valid AS identifier_valid, missing,
-    concat_ws(',', CASE WHEN NOT valid THEN 'INVALID_OR_MISSING_DOCUMENT_IDENTIFIER' END, CASE WHEN n_missing > 0 THEN 'MISSING_REQUIRED_FIELDS' END, CASE WHEN min_c < 0.5 THEN 'LOW_OCR_CONFIDENCE' END, nullif(semantic, '')) AS errors
+    concat_ws(',', CASE WHEN NOT valid THEN 'INVALID_OR_MISSING_DOCUMENT_IDENTIFIER' END, CASE WHEN n_missing > 0 THEN 'MISSING_REQUIRED_FIELDS' END, CASE WHEN min_c < 0.5 THEN 'LOW_OCR_CONFIDENCE' END, nullif(semantic, '')) AS errors,
+    CASE WHEN document_type = 'npr_letter' THEN 'IDENTIFIER_NOT_OFFLINE_VERIFIABLE' WHEN document_type = 'nrega_job_card' AND valid THEN 'IDENTIFIER_FORMAT_ONLY_NOT_AUTHENTICITY' ELSE '' END AS warnings
     FROM (SELECT *, round_even(least(1.0, 0.5 * (({_n_required}) - n_missing) / CAST({_n_required} AS DOUBLE) + 0.3 * CASE WHEN valid IS NULL THEN 0.6 WHEN valid THEN 1.0 ELSE 0.0 END + 0.2 * mean_c,
         CASE WHEN NOT valid THEN 0.39 ELSE 1.0 END, CASE WHEN n_missing > 0 THEN 0.69 ELSE 1.0 END, CASE WHEN min_c < 0.5 THEN 0.49 ELSE 1.0 END), 3) AS raw FROM judged))"""
 SQL["assess_extraction"] = f"WITH {ASSESSED} SELECT * REPLACE (CAST(identifier_valid AS VARCHAR) AS identifier_valid) FROM assessed"
@@ -292,8 +297,8 @@ SQL["stream_quality_sliding"] = f"WITH {LOG} SELECT start, status, count(*) AS s
 SQL["stream_sessions"] = f"WITH {LOG}, marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY status ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM log) SELECT min(ts) AS start, status, count(*) AS scans FROM (SELECT *, sum(fresh) OVER (PARTITION BY status ORDER BY ts, doc_id) AS g FROM marked) GROUP BY status, g"
 SQL["plausible_quad"] = f"""SELECT doc_id, ok AS plausible, CASE WHEN NOT ok THEN 'NO_DOCUMENT_BOUNDARY_DETECTED' WHEN width * height * (doc_id % 10) / 10.0 < 0.5 * width * height THEN 'PERSPECTIVE_CORRECTION_DISCARDED' END AS boundary_warning
     FROM (SELECT *, w > 0 AND h > 0 AND doc_id % 13 <> 0 AND w * h >= 0.3 * width * height AND w / CAST(h AS DOUBLE) BETWEEN 0.5 AND 3.0 AS ok FROM (SELECT *, width - doc_id % 7 * 60 AS w, height - doc_id % 11 * 30 AS h FROM ({X.ASSETS_SQL})))"""
-SQL["printed_vocabulary"] = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 'O+' WHEN 1 THEN 'B-' WHEN 2 THEN 'AB+' WHEN 4 THEN 'A-' END AS blood, CASE o_orderkey % 4 WHEN 0 THEN 'MCWG, LMV-NT' WHEN 1 THEN 'LMV' WHEN 2 THEN 'TRANS, MC' ELSE '' END AS vehicles FROM orders"
-SQL["name_like"] = cards(f"SELECT doc_id, seq, length(trim(text)) >= 3 AND NOT regexp_matches(text, '[0-9]') AND regexp_matches(text, '[A-Za-z]{{2}}') AND NOT regexp_matches(text, '\\b[SCDWscdw]/[Oo]\\b') AND NOT list_has_any(string_split_regex(upper(trim(text)), '\\s+'), ['GOVERNMENT', 'INDIA', 'AADHAAR', 'DOB', 'MALE', 'FEMALE', 'YEAR', 'BIRTH', 'ADDRESS', 'AUTHORITY']) AS name_like FROM regions")
+SQL["printed_vocabulary"] = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 1 THEN 'B-' WHEN 2 THEN 'AB+' WHEN 4 THEN 'A-' END AS blood, CASE o_orderkey % 4 WHEN 0 THEN 'MCWG, LMV-NT' WHEN 1 THEN 'LMV' WHEN 2 THEN 'TRANS, MC' ELSE '' END AS vehicles FROM orders"
+SQL["name_like"] = cards(f"SELECT doc_id, seq, {_name_like} AS name_like FROM regions")
 SQL["split_licence"] = cards(f"SELECT doc_id, {_of(_dl, 'substr(text, 8)')} AS dl_number FROM regions WHERE text LIKE 'DL No.%' AND {_of(_dl, 'substr(text, 8)')} IS NOT NULL AND doc_id % 5 <> 0")
 SQL["compact_members"] = """SELECT doc_id, seq, serial, name, gender, age FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, serial, name ORDER BY seq) AS n FROM (
     SELECT o_orderkey // 8 AS doc_id, CAST(o_orderkey % 8 AS INT) AS seq, CAST(o_orderkey % 4 AS INT) AS serial, CASE WHEN o_orderkey % 2 = 0 THEN 'PERSON A' ELSE 'PERSON B' END AS name, CASE o_orderkey % 3 WHEN 0 THEN 'FEMALE' WHEN 1 THEN 'MALE' END AS gender,
