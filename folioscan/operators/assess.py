@@ -33,16 +33,21 @@ def kyc_confidence(completeness: Column, identifier: Column, mean: Column, least
     return F.when(semantic > 0, F.least(F.bround(capped, 3), F.lit(0.49))).otherwise(F.bround(capped, 3))
 
 
+#: Fields that are dates; ``semantic_errors`` takes each parsed as a column day_<field>.
+DATES = ["date_of_birth", "issue_date", "validity_date", "registration_date", "validity_from", "validity_to"]
+
+
 def semantic_errors(v, doc_type: Column, as_of: Column) -> Column:
-    """Rules on dates, ages and codes by type; ``v`` gives a field's value."""
-    born, issue, valid, registered, begins, ends = (dates.parse_printed(v(c)) for c in ("date_of_birth", "issue_date", "validity_date", "registration_date", "validity_from", "validity_to"))
+    """Rules on dates, ages and codes by type; ``v`` gives a field's value or parsed day."""
+    born, issue, valid, registered, begins, ends = (v(f"day_{c}") for c in DATES)
     has = lambda c: v(c).isNotNull()
     licence, card, letter = (doc_type == t for t in ("driving_licence", "nrega_job_card", "npr_letter"))
     year, years = v("year_of_birth").try_cast("int"), v("age").try_cast("int")
+    past = F.coalesce(born < as_of, F.lit(False))
     before = lambda a, b: F.coalesce(a >= b, F.lit(False))
     rules = [
-        (doc_type.isin("pan") & ~dates.past(v("date_of_birth"), as_of), "INVALID_DATE_OF_BIRTH"),
-        (doc_type.isin("aadhaar", "voter_id") & has("date_of_birth") & ~dates.past(v("date_of_birth"), as_of), "INVALID_DATE_OF_BIRTH"),
+        ((doc_type == "pan") & ~past, "INVALID_DATE_OF_BIRTH"),
+        (doc_type.isin("aadhaar", "voter_id") & has("date_of_birth") & ~past, "INVALID_DATE_OF_BIRTH"),
         ((doc_type == "aadhaar") & ~has("date_of_birth") & has("year_of_birth") & ~F.coalesce(year.between(1900, F.year(as_of)), F.lit(False)), "INVALID_YEAR_OF_BIRTH"),
         ((doc_type == "voter_id") & ~has("date_of_birth") & has("age") & ~F.coalesce(years.between(18, 130), F.lit(False)), "INVALID_AGE"),
         (licence & born.isNull(), "INVALID_DATE_OF_BIRTH"),
@@ -53,7 +58,7 @@ def semantic_errors(v, doc_type: Column, as_of: Column) -> Column:
         (card & has("validity_from") & begins.isNull(), "INVALID_VALIDITY_FROM"),
         (card & has("validity_to") & ends.isNull(), "INVALID_VALIDITY_TO"),
         (card & before(begins, ends), "INVALID_NREGA_VALIDITY_CHRONOLOGY"),
-        (letter & has("issue_date") & ~dates.not_future(v("issue_date"), as_of), "INVALID_ISSUE_DATE"),
+        (letter & has("issue_date") & ~F.coalesce(issue <= as_of, F.lit(False)), "INVALID_ISSUE_DATE"),
         (letter & has("pincode") & ~v("pincode").rlike(r"(?U)^[\p{Nd}&&[^0]]\p{Nd}{5}$"), "INVALID_PINCODE"),
     ]
     return F.array_distinct(F.array_compact(F.array(*[F.when(c, n) for c, n in rules])))
@@ -65,7 +70,7 @@ def assess(extracted: DataFrame, regions: DataFrame, classes: DataFrame, as_of:
     ``extracted`` may lack fields; a requirement is met by any of its fields. identifier_valid is null where no offline
     check exists: letters, and masked numbers.
     """
-    asked = {f for of in (*dims.REQUIRED.values(), dims.AADHAAR_BACK) for fs in of.values() for f in fs} | {"issue_date", "validity_date", "registration_date", "validity_from", "validity_to", "age", "year_of_birth"}
+    asked = {f for of in (*dims.REQUIRED.values(), dims.AADHAAR_BACK) for fs in of.values() for f in fs} | {*DATES, "age", "year_of_birth"}
     names = sorted(asked & set(extracted.columns))
     wide = extracted.select("doc_id", *names, *[F.lit(None).cast("string").alias(n) for n in sorted(asked - set(names))])
     docs = classes.filter("document_type != 'unknown' and document_type != 'passport'").select("doc_id", "document_type")
@@ -80,6 +85,7 @@ def assess(extracted: DataFrame, regions: DataFrame, classes: DataFrame, as_of:
     identifier = F.coalesce(*[F.when(kind == t, F.col(c)) for t, c in IDENTIFIER.items()])
     masked = (kind == "aadhaar") & ~given("aadhaar_number") & given("masked_last4")
     ok = F.when((kind != "npr_letter") & ~masked, F.coalesce(identifier_ok(kind, identifier), F.lit(False)))
+    rows = rows.withColumns({f"day_{c}": dates.parse_printed(F.col(c)) for c in DATES})
     rows = rows.withColumns({"missing": missing, "asked": F.size(required), "masked": masked, "identifier_valid": ok, "semantic": semantic_errors(F.col, kind, F.lit(as_of).cast("date"))})
     mean, least = F.coalesce("mean_confidence", F.lit(0.0)), F.coalesce("min_confidence", F.lit(0.0))
     whole = (F.col("asked") - F.size("missing")) / F.col("asked")

@@ -32,24 +32,16 @@ def evidence_counts(regions: DataFrame) -> DataFrame:
 def _keyword_counts(found: DataFrame) -> DataFrame:
     """One row per document: a count of keywords for every (type, evidence), nested ones left out.
 
-    A flag per keyword in one aggregate (the list is a small constant), so no second pass for nesting.
+    Keywords go by number; a document holds each at most once, and numbers of nested ones are taken off as sets.
     """
     rows = dims.keyword_rows()
-    flag = {row: f"k{n}" for n, row in enumerate(rows)}
-    flags = found.groupBy("doc_id").agg(*[F.bool_or((F.col("doc_type") == t) & (F.col("evidence") == e) & (F.col("keyword") == k)).alias(flag[t, e, k]) for t, e, k in rows])
-    wider = {(t, e, a): [flag[t, e, b] for t2, e2, a2, b in dims.nesting_rows() if (t2, e2, a2) == (t, e, a)] for t, e, a in rows}
-
-    def counted(t: str, e: str):
-        out = F.lit(0)
-        for row in rows:
-            if row[:2] == (t, e):
-                lone = F.col(flag[row])
-                for longer in wider[row]:
-                    lone = lone & ~F.col(longer)
-                out = out + lone.cast("int")
-        return out.alias(f"{t}__{e}")
-
-    return flags.select("doc_id", *[counted(t, e) for t, e in dims.KEYWORDS])
+    number = {row: n for n, row in enumerate(rows)}
+    shorter = [[number[t, e, a] for t, e, a, b in dims.nesting_rows() if (t, e, b) == row] for row in rows]
+    numbers = F.broadcast(found.sparkSession.createDataFrame([(*row, n) for row, n in number.items()], "doc_type string, evidence string, keyword string, n int"))
+    held = found.select("doc_id", "doc_type", "evidence", "keyword").join(numbers, ["doc_type", "evidence", "keyword"]).groupBy("doc_id").agg(F.collect_set("n").alias("held"))
+    nested = F.array(*[F.lit(x).cast("array<int>") for x in shorter])
+    lone = held.withColumn("lone", F.array_except("held", F.flatten(F.transform("held", lambda n: F.get(nested, n)))))
+    return lone.select("doc_id", *[F.size(F.array_intersect("lone", F.lit([number[r] for r in rows if r[:2] == g]).cast("array<int>"))).alias(f"{g[0]}__{g[1]}") for g in dims.KEYWORDS])
 
 
 def document_scores(regions: DataFrame) -> DataFrame:
