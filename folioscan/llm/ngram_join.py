@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import common, shingles
 
-THRESHOLD, RECALL, SIDE = 0.8, 0.9999, 512
+THRESHOLD, RECALL, SIDE = 0.8, 0.9999, 256
 #: Shingles of one side of a block, on average: bounds a block's memory where a pivot's texts are long.
 PIVOT_SHINGLES = 1 << 20
 MOST_ROUNDS = 60
