@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import checksum
 
+#: The shapes below are fixed values: what a printed identifier looks like.
 #: Holder types in the fourth place of a PAN.
 PAN_HOLDERS = list("ABCFGHLJPTK")
 
@@ -21,19 +22,35 @@ def _found(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def pan(c: Column) -> Column:
-    return _found(compact(c), "[A-Z]{5}[0-9]{4}[A-Z]")
+    return pan_in(compact(c))
+
+
+def pan_in(compact_text: Column) -> Column:
+    return _found(compact_text, "[A-Z]{5}[0-9]{4}[A-Z]")
 
 
 def pan_valid(c: Column) -> Column:
-    return F.coalesce(F.substring(pan(c), 4, 1).isin(PAN_HOLDERS), F.lit(False))
+    return holder_ok(pan(c))
+
+
+def holder_ok(found: Column) -> Column:
+    return F.coalesce(F.substring(found, 4, 1).isin(PAN_HOLDERS), F.lit(False))
 
 
 def epic(c: Column) -> Column:
-    return _found(compact(c), "[A-Z]{3}[0-9]{7}")
+    return epic_in(compact(c))
+
+
+def epic_in(compact_text: Column) -> Column:
+    return _found(compact_text, "[A-Z]{3}[0-9]{7}")
 
 
 def licence(c: Column) -> Column:
-    return _found(compact(c), "[A-Z]{2}[0-9]{2}[0-9]{11}")
+    return licence_in(compact(c))
+
+
+def licence_in(compact_text: Column) -> Column:
+    return _found(compact_text, "[A-Z]{2}[0-9]{2}[0-9]{11}")
 
 
 def job_card(c: Column) -> Column:

@@ -17,7 +17,7 @@ def squeeze(c: Column) -> Column:
 
 def norm_label(c: Column) -> Column:
     """Upper case, & to AND, everything but A-Z and 0-9 to one blank."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.upper(c), "&", " AND "), "[^A-Z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.replace(F.upper(c), F.lit("&"), F.lit(" AND ")), "[^A-Z0-9]+", " "))
 
 
 def norm_text(c: Column) -> Column:

@@ -49,7 +49,8 @@ def document_scores(regions: DataFrame) -> DataFrame:
     found = R.grams(regions, [r[2] for r in dims.keyword_rows()], T.norm_text).join(F.broadcast(dims.keyword_dim(regions.sparkSession)), F.col("gram") == F.col("keyword"))
     text = F.col("text")
     ordered = F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("page_no", "seq", "text"))))
-    facts = regions.groupBy("doc_id").agg(F.bool_or(I.pan(text).isNotNull()).alias("pan"), F.bool_or(I.licence(text).isNotNull()).alias("dl"), F.bool_or(I.epic(text).isNotNull()).alias("epic"), F.array_join(F.transform(ordered, lambda r: r["text"]), " ").alias("joined"))
+    flat = F.col("flat")
+    facts = regions.withColumn("flat", I.compact(text)).groupBy("doc_id").agg(F.bool_or(I.pan_in(flat).isNotNull()).alias("pan"), F.bool_or(I.licence_in(flat).isNotNull()).alias("dl"), F.bool_or(I.epic_in(flat).isNotNull()).alias("epic"), F.array_join(F.transform(ordered, lambda r: r["text"]), " ").alias("joined"))
     mrz = R.mrz_pages(regions).groupBy("doc_id").agg(F.bool_or("has_mrz").alias("mrz"))
     rows = facts.join(mrz, "doc_id").join(_keyword_counts(found), "doc_id", "left")
     n = lambda t, e="keyword": F.coalesce(F.col(f"{t}__{e}"), F.lit(0))

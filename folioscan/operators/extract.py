@@ -31,29 +31,29 @@ def age(text: Column) -> Column:
 
 
 def _found(regions: DataFrame) -> DataFrame:
-    """First identifiers, dates and inline values of each document."""
-    text, order = F.col("text"), F.struct("page_no", "seq")
-    word = F.upper(text)
+    """First identifiers, dates and inline values of each document; what several of them read is made once for a region."""
+    text = F.col("text")
+    rows = regions.withColumns({"word": F.upper(text), "flat": I.compact(text), "bare": F.regexp_replace(text, VID, " "), "day": dates.printed(text), "head_tail": F.split(text, "[:：]", 2)})
+    rows = rows.withColumns({"pan_here": I.pan_in(F.col("flat")), "whole_day": dates.printed_whole(F.col("day"))})
+    word, order = F.col("word"), F.struct("page_no", "seq")
     first = lambda value, rank=order: F.min_by(value, F.when(value.isNotNull(), rank))
     sex = F.when(word.rlike(r"\bFEMALE\b"), "FEMALE").when(word.rlike(r"\bMALE\b"), "MALE").when(word.rlike(r"\bTRANSGENDER\b"), "TRANSGENDER")
-    labelled, whole = word.rlike("DOB|YOB|BIRTH") | text.contains("जन्म"), dates.printed_whole(text).isNotNull()
+    labelled, whole = word.rlike("DOB|YOB|BIRTH") | text.contains("जन्म"), F.col("whole_day").isNotNull()
     born = F.when(labelled & whole, 1).when(labelled, 2).when(whole, 3)
-    bare = F.regexp_replace(text, VID, " ")
-    head = F.upper(F.trim(F.split("text", "[:：]", 2)[0]))
-    tail = F.trim(F.get(F.split("text", "[:：]", 2), F.lit(1)))
+    head, tail = F.upper(F.trim(F.col("head_tail")[0])), F.trim(F.get("head_tail", F.lit(1)))
     inline = lambda name: first(F.when((head == name) & (tail != ""), tail))
-    return regions.groupBy("doc_id").agg(
-        first(I.pan(text), F.struct((~I.pan_valid(text)).cast("int").alias("c"), F.col("page_no"), F.col("seq"))).alias("any_pan"),
-        first(dates.printed(text)).alias("any_date"),
-        first(I.epic(text)).alias("epic_number"),
-        first(I.licence(text)).alias("dl_number"),
+    return rows.groupBy("doc_id").agg(
+        first(F.col("pan_here"), F.struct((~I.holder_ok(F.col("pan_here"))).cast("int").alias("c"), F.col("page_no"), F.col("seq"))).alias("any_pan"),
+        first(F.col("day")).alias("any_date"),
+        first(I.epic_in(F.col("flat"))).alias("epic_number"),
+        first(I.licence_in(F.col("flat"))).alias("dl_number"),
         first(I.job_card(text)).alias("any_card"),
-        first(I.aadhaar(bare)).alias("aadhaar_number"),
-        first(I.aadhaar_last4(bare)).alias("masked_last4"),
+        first(I.aadhaar(F.col("bare"))).alias("aadhaar_number"),
+        first(I.aadhaar_last4(F.col("bare"))).alias("masked_last4"),
         first(I.virtual_id(text)).alias("vid"),
         first(sex).alias("any_sex"),
-        first(I.pincode(bare)).alias("any_pin"),
-        F.min_by(F.struct("page_no", "top", "left", dates.printed_whole(text).alias("date"), _year(text).alias("year")), F.when(born.isNotNull(), F.struct(born.alias("c"), F.col("page_no"), F.col("seq")))).alias("dob"),
+        first(I.pincode(F.col("bare"))).alias("any_pin"),
+        F.min_by(F.struct("page_no", "top", "left", F.col("whole_day").alias("date"), _year(text).alias("year")), F.when(born.isNotNull(), F.struct(born.alias("c"), F.col("page_no"), F.col("seq")))).alias("dob"),
         first(F.when(word.rlike(r"\bAGE\b"), age(text))).alias("any_age"),
         F.bool_or(T.norm_text(text).contains("NATIONAL POPULATION REGISTER")).alias("npr_title"),
         inline("NAME").alias("npr_name"),

@@ -110,24 +110,28 @@ def reading_order(regions: DataFrame) -> DataFrame:
     return regions.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda r: r["text"]), "|").alias("reading"))
 
 
+def _any_word(words: list[str]):
+    """Pattern of an upper-case text that holds one of ``words`` whole; longer runs of the same letters don't count."""
+    return f"(?<![A-Z0-9])(?:{'|'.join(words)})(?![A-Z0-9])"
+
+
 def grams(regions: DataFrame, phrases: list[str], norm=T.norm_label) -> DataFrame:
     """Contiguous word n-grams of each region's normalised text, of the sizes that occur among ``phrases``.
 
     Containment of a phrase at word boundaries is equality with one of these, so label and keyword search
-    is an equi-join with a broadcast dimension. Regions without any phrase's first word are dropped before
-    n-grams are made, and n-grams start at such a word only.
+    is an equi-join with a broadcast dimension. Regions without any phrase's first word are dropped by one cheap pattern
+    before they are normalised, and n-grams start at such a word only.
     """
     firsts = sorted({p.split(" ")[0] for p in phrases})
     sizes = sorted({len(p.split(" ")) for p in phrases})
-    rows = regions.withColumn("norm", norm(F.col("text"))).withColumn("words", F.split("norm", " ")).filter(F.arrays_overlap("words", F.lit(firsts)))
+    rows = regions.filter(F.upper("text").rlike(_any_word(firsts))).withColumn("norm", norm(F.col("text"))).withColumn("words", F.split("norm", " "))
     starts = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains(F.lit(firsts), F.element_at("words", i)))
     rows = rows.withColumn("start", F.explode(starts))
     runs = [F.when(F.col("start") + n - 1 <= F.size("words"), F.array_join(F.slice("words", F.col("start"), F.lit(n)), " ")) for n in sizes]
-    rows = rows.withColumn("gram", F.explode(F.array_compact(F.array(*runs)))).drop("words", "start")
-    return rows
+    return rows.withColumn("gram", F.explode(F.array_compact(F.array(*runs)))).drop("words", "start")
 
 
 def label_like(regions: DataFrame) -> DataFrame:
     """Adds label_like: the text holds a label's typical word."""
-    hints = "|".join(dims.LABEL_HINTS)
-    return regions.withColumn("label_like", T.norm_label(F.col("text")).rlike(f"(^| )({hints})( |$)"))
+    lone = [h for h in dims.LABEL_HINTS if " " not in h]  # longer ones hold one of these
+    return regions.withColumn("label_like", F.upper("text").rlike(_any_word(lone)))
