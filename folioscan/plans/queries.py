@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import checksum, dates
 from folioscan.functions import identifiers as I
 from folioscan.functions import text as T
-from folioscan.operators import assess, classify, evaluate, extract, extras, layout, mrz, npr, passport
+from folioscan.operators import assess, cards, classify, evaluate, extract, extras, job_card, layout, mrz, npr, passport
 from folioscan.operators import regions as R
 from folioscan.plans import dims
 from folioscan.plans import fixtures as X
@@ -77,6 +77,9 @@ on(X.passports, "validate_passport", lambda r: passport.validate_passport(r, dim
 on(X.passports, "passport_fields", lambda r: passport.passport_fields(r, dims.country_dim(r.sparkSession)))
 on(X.passports, "read_passports", lambda r: passport.read_passports(r, dims.country_dim(r.sparkSession)).select("doc_id", "confidence", "passport_number", "overall_ok"))
 on(X.back_pages, "extract_back_page", passport.extract_back_page)
+on(X.regions, "extract_licences", cards.extract_licences)
+on(X.regions, "extract_aadhaar_cards", cards.extract_aadhaar_cards)
+on(X.regions, "extract_job_cards", lambda r: job_card.extract_job_cards(r).withColumn("members", F.to_json("members")))
 on(X.regions, "npr_letters", npr.npr_letters)
 on(X.regions, "extract_npr_fields", npr.extract_npr_fields)
 
