@@ -8,8 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIMENSIONS = ("design_family", "year_band", "capture", "quality")
-COUNTERS = ("samples", "classified", "expected_accepted", "actual_accepted", "accepted_right", "false_success", "false_rejection", "runtime_errors", "complete_exact", "complete_normalized")
+#: Dimensions with one value a sample, and those with several (a text, values between commas).
+SINGLE = ("design_family", "year_band", "issuer", "state", "side", "capture", "resolution", "blur", "glare", "rotation", "crop", "perspective", "compression")
+MULTIPLE = ("language", "script")
+DIMENSIONS = SINGLE + MULTIPLE
+COUNTERS = ("samples", "classified", "expected_accepted", "actual_accepted", "accepted_right", "expected_rejected", "false_success", "false_rejection", "runtime_errors", "complete_exact", "complete_normalized")
+#: Fields of a sample that were expected, and of those exact and normalised matches.
+FIELD_COUNTS = ("field_expected", "field_exact", "field_normalized")
 
 
 def normalize_value(c: Column) -> Column:
@@ -29,16 +34,16 @@ def field_outcomes(samples: DataFrame, results: DataFrame) -> DataFrame:
 
 def observations(samples: DataFrame, results: DataFrame) -> DataFrame:
     """One row of flags per sample; a sample without result is a runtime error and of unknown type."""
-    fields = field_outcomes(samples, results).groupBy("sample_id").agg(F.bool_and("exact").alias("all_exact"), F.bool_and("normalized").alias("all_normalized"))
+    fields = field_outcomes(samples, results).groupBy("sample_id").agg(F.bool_and("exact").alias("all_exact"), F.bool_and("normalized").alias("all_normalized"), F.count("*").alias("field_expected"), F.count_if("exact").alias("field_exact"), F.count_if("normalized").alias("field_normalized"))
     rows = samples.join(results.select("sample_id", F.col("document_type").alias("actual_type"), F.col("accepted").alias("actual_accepted")), "sample_id", "left").join(fields, "sample_id", "left")
     right = F.coalesce(F.col("actual_type") == F.col("document_type"), F.lit(False))
     took = F.coalesce("actual_accepted", F.lit(False))
     whole = F.col("accepted") & took & right
-    return rows.select("sample_id", "document_type", *DIMENSIONS, right.alias("classified"), F.col("accepted").alias("expected_accepted"), took.alias("actual_accepted"), (took & F.col("accepted")).alias("accepted_right"), (took & ~F.col("accepted")).alias("false_success"), (F.col("accepted") & ~took).alias("false_rejection"), F.col("actual_type").isNull().alias("runtime_errors"), (whole & F.coalesce("all_exact", F.lit(True))).alias("complete_exact"), (whole & F.coalesce("all_normalized", F.lit(True))).alias("complete_normalized"))
+    return rows.select("sample_id", "document_type", *DIMENSIONS, right.alias("classified"), F.col("accepted").alias("expected_accepted"), took.alias("actual_accepted"), (took & F.col("accepted")).alias("accepted_right"), (~F.col("accepted")).alias("expected_rejected"), (took & ~F.col("accepted")).alias("false_success"), (F.col("accepted") & ~took).alias("false_rejection"), F.col("actual_type").isNull().alias("runtime_errors"), (whole & F.coalesce("all_exact", F.lit(True))).alias("complete_exact"), (whole & F.coalesce("all_normalized", F.lit(True))).alias("complete_normalized"), *[F.coalesce(c, F.lit(0)).alias(c) for c in FIELD_COUNTS])
 
 
 def _counters() -> list[Column]:
-    return [F.count("*").alias("samples"), *[F.count_if(F.col(c)).alias(c) for c in COUNTERS[1:]]]
+    return [F.count("*").alias("samples"), *[F.count_if(F.col(c)).alias(c) for c in COUNTERS[1:]], *[F.sum(c).alias(c) for c in FIELD_COUNTS]]
 
 
 def ratios(counted: DataFrame) -> DataFrame:
@@ -47,9 +52,13 @@ def ratios(counted: DataFrame) -> DataFrame:
     c = F.col
     return counted.withColumns({
         "classification_accuracy": of(c("classified"), c("samples")),
+        "actual_acceptance_rate": of(c("actual_accepted"), c("samples")),
         "acceptance_rate": of(c("accepted_right"), c("expected_accepted")),
-        "false_success_rate": of(c("false_success"), c("samples") - c("expected_accepted")),
+        "false_rejection_rate": of(c("false_rejection"), c("expected_accepted")),
+        "false_success_rate": of(c("false_success"), c("expected_rejected")),
         "runtime_error_rate": of(c("runtime_errors"), c("samples")),
+        "exact_field_accuracy": of(c("field_exact"), c("field_expected")),
+        "normalized_field_accuracy": of(c("field_normalized"), c("field_expected")),
         "complete_accuracy": of(c("complete_exact"), c("expected_accepted")),
         "normalized_complete_accuracy": of(c("complete_normalized"), c("expected_accepted")),
     })
@@ -61,10 +70,18 @@ def metrics(observed: DataFrame) -> DataFrame:
     return ratios(rolled.withColumn("document_type", F.coalesce("document_type", F.lit("*"))))
 
 
+def slice_values() -> Column:
+    """(dimension, value) pairs of a sample; a dimension with several values gives a pair for each."""
+    pair = lambda d, v: F.struct(F.lit(d).alias("dimension"), v.alias("value"))
+    each = lambda d: F.transform(F.split(F.col(d), ","), lambda v: pair(d, v))
+    several = [each(d) for d in MULTIPLE]
+    return F.concat(F.array(*[pair(d, F.col(d).cast("string")) for d in SINGLE]), *several)
+
+
 def sliced_metrics(observed: DataFrame) -> DataFrame:
     """Per (dimension, value), over all types (``*``) and by type."""
-    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in DIMENSIONS])
-    long = observed.select("document_type", *COUNTERS[1:], F.explode(pairs).alias("p")).select("document_type", "p.dimension", "p.value", *COUNTERS[1:])
+    counts = [*COUNTERS[1:], *FIELD_COUNTS]
+    long = observed.select("document_type", *counts, F.explode(slice_values()).alias("p")).select("document_type", "p.dimension", "p.value", *counts)
     every = long.groupBy("dimension", "value").agg(*_counters()).withColumn("document_type", F.lit("*"))
     return ratios(every.unionByName(long.groupBy("document_type", "dimension", "value").agg(*_counters())))
 
@@ -98,8 +115,7 @@ def gate(checked: DataFrame) -> DataFrame:
 
 def missing_coverage(samples: DataFrame, required: DataFrame) -> DataFrame:
     """Required (dimension, value) pairs without an accepted sample."""
-    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value")) for d in DIMENSIONS])
-    seen = samples.filter("accepted").select(F.explode(pairs).alias("p")).select("p.dimension", "p.value").distinct()
+    seen = samples.filter("accepted").select(F.explode(slice_values()).alias("p")).select("p.dimension", "p.value").distinct()
     return required.join(seen, ["dimension", "value"], "left_anti")
 
 
@@ -114,3 +130,11 @@ def manifest_violations(samples: DataFrame) -> DataFrame:
 def latency_report(log: DataFrame) -> DataFrame:
     """Scans, share of successes, median and mean latency by status."""
     return log.groupBy("status").agg(F.count("*").alias("scans"), F.bround(F.avg("processing_ms"), 4).alias("mean_ms"), F.median("processing_ms").alias("median_ms"))
+
+
+def sorted_report(measured: DataFrame, checked: DataFrame) -> DataFrame:
+    """One JSON object a row, keys and rows in order: section, name, body. Ordered only here, at the sink."""
+    body = lambda df: F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("body")
+    rows = measured.select(F.lit("summary").alias("section"), F.col("document_type").alias("name"), body(measured))
+    rows = rows.unionByName(checked.select(F.lit("checks").alias("section"), F.concat_ws(".", "document_type", "metric").alias("name"), body(checked)))
+    return rows.orderBy("section", "name")

@@ -133,3 +133,26 @@ def legacy_benchmark(observed: DataFrame) -> DataFrame:
     share = lambda c: F.bround(F.avg(c.cast("double")), 6)
     status = F.col("expected_accepted") == F.col("actual_accepted")
     return observed.agg(share(status).alias("status_match"), share(F.col("complete_exact")).alias("field_exact")).select("status_match", "field_exact", (F.col("status_match") >= 0.95).alias("status_gate"), (F.col("field_exact") >= 0.97).alias("field_gate"))
+
+
+def scan_benchmark(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row of rates over all samples: status (with document and page type), fields, zone and back pages exact, median latency of
+    biodata pages, mean confidence and latency, and each rate's gate. Only fields and zones that are expected count; 1 without any.
+
+    expected: name, status, document_type, page_type, fields (map), mrz_raw; actual: the same and confidence, processing_ms.
+    """
+    got = actual.select("name", *[F.col(c).alias(f"a_{c}") for c in ("status", "document_type", "page_type", "fields", "mrz_raw", "confidence", "processing_ms")])
+    rows = expected.join(got, "name")
+    status = (F.col("a_status") == F.col("status")) & (F.col("a_document_type") == F.coalesce("document_type", "a_document_type")) & F.col("a_page_type").eqNullSafe(F.col("page_type"))
+    names = F.map_keys(F.coalesce("fields", F.create_map().cast("map<string,string>")))
+    exact = F.size(F.filter(names, lambda k: F.try_element_at("fields", k).eqNullSafe(F.try_element_at("a_fields", k))))
+    biodata = (F.col("status") == "success") & (F.col("page_type") == "passport_biodata")
+    back = F.when(F.col("page_type") == "passport_non_biodata", ((F.col("a_status") == "success") & (F.col("a_page_type") == "passport_non_biodata")).cast("int"))
+    zone = F.when(F.col("mrz_raw").isNotNull(), F.col("mrz_raw").eqNullSafe(F.col("a_mrz_raw")).cast("int"))
+    share = lambda a, b: F.bround(F.coalesce(F.try_divide(a.cast("double"), b), F.lit(1.0)), 6)
+    out = rows.agg(
+        F.bround(F.avg(F.coalesce(status, F.lit(False)).cast("double")), 6).alias("status_rate"), share(F.sum(exact), F.sum(F.size(names))).alias("field_rate"), share(F.sum(zone), F.count(zone)).alias("mrz_rate"), share(F.sum(back), F.count(back)).alias("non_biodata_rate"),
+        F.coalesce(F.median(F.when(biodata, F.col("a_processing_ms"))), F.lit(0.0)).alias("biodata_median_ms"), F.bround(F.avg("a_confidence"), 6).alias("mean_confidence"), F.bround(F.avg("a_processing_ms"), 6).alias("mean_ms"), F.sum("a_processing_ms").alias("total_ms"),
+    )
+    gates = {"status_rate": 0.95, "field_rate": 0.97, "mrz_rate": 0.99, "non_biodata_rate": 0.95}
+    return out.select("*", *[(F.col(c) >= least).alias(f"{c}_ok") for c, least in gates.items()], (F.col("biodata_median_ms") <= 5000).alias("biodata_median_ok"))

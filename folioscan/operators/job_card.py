@@ -28,22 +28,23 @@ def label_scores(rows: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
     """Adds group and score, a row for every group whose label scores NEAR or more: one and a bit for equality (whole text or
     the text before a delimiter), a little less for containment, else the likeness of that text and the label."""
     listed = [(g, M.as_label(a)) for g, names in labels.items() for a in names]
-    table = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(a).alias("alias")) for g, a in listed])
+    table = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(a).alias("alias"), F.lit(f" {a} ").alias("inside"), F.lit(len(a)).alias("n")) for g, a in listed])
     rows = rows.withColumns({"_whole": M.label_of(F.col("text")), "_head": M.label_of(F.split("text", DELIMITERS, 2)[0])})
+    rows = rows.withColumns({"_padded": F.concat(F.lit(" "), F.col("_whole"), F.lit(" ")), "_m": F.length("_head")})
 
     def passes(x: Column) -> Column:
-        a, n, m = x["alias"], F.length(x["alias"]), F.length("_head")
-        held = F.concat(F.lit(" "), F.col("_whole"), F.lit(" ")).contains(F.concat(F.lit(" "), a, F.lit(" ")))
+        a, n, m = x["alias"], x["n"], F.col("_m")
+        held = F.col("_padded").contains(x["inside"])
         close = (n >= 5) & (m >= 0.65 * n) & (m <= 1.45 * n) & (F.levenshtein(F.col("_head"), a) <= (1 - NEAR) * (n + m))
         return held | (F.col("_head") == a) | close
 
     pairs = rows.filter("_whole != ''").withColumn("_x", F.explode(F.filter(table, passes))).select("*", "_x.*")
     equal = (F.col("_whole") == F.col("alias")) | (F.col("_head") == F.col("alias"))
-    held = F.concat(F.lit(" "), F.col("_whole"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("alias"), F.lit(" ")))
+    held = F.col("_padded").contains(F.col("inside"))
     length = F.least(F.length("alias"), F.lit(100)) / 1000
     ratio = likeness.sequence_ratio(F.when(~equal & ~held, F.col("_head")), F.col("alias"))
     scored = pairs.withColumn("score", F.when(equal, 1.0 + length).when(held, 0.99 + length).otherwise(ratio)).filter(F.col("score") >= NEAR)
-    return scored.groupBy(*rows.columns, "group").agg(F.max("score").alias("score")).drop("_whole", "_head")
+    return scored.groupBy(*rows.columns, "group").agg(F.max("score").alias("score")).drop("_whole", "_head", "_padded", "_m")
 
 
 def best_labels(regions: DataFrame) -> DataFrame:

@@ -181,18 +181,27 @@ def back_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lit = F.lit
     cells = F.array(
         cell(0, lit("Name of Father / Legal Guardian"), 40, 20), cell(1, F.concat(name, lit(" SENIOR")), 40, 50), cell(2, lit("Name of Mother"), 40, 90), cell(3, name, 40, 120),
-        cell(4, lit("Address"), 40, 160), cell(5, F.concat((k % 90).cast("string"), lit(" "), F.upper(F.regexp_replace("s_address", "[^A-Za-z ]", ""))), 40, 190),
+        cell(4, lit("Address"), 40, 160), cell(5, F.concat((k % 90).cast("string"), lit(" "), name, lit(" STREET")), 40, 190),
         cell(6, F.when(k % 3 == 0, lit("MARKET ROAD")).otherwise(lit("x")), 40, 215), cell(7, F.concat(lit("BENGALURU,"), state, lit(",PIN:"), (560001 + k % 99).cast("string")), 40, 240),
         cell(8, lit("File No."), 40, 300), cell(9, F.concat(lit("BN"), F.lpad(k.cast("string"), 10, "0")), 40, 330), cell(10, lit("Old Passport No. with Date and Place of Issue"), 40, 380),
         cell(11, F.concat(lit("K"), F.lpad(k.cast("string"), 7, "0")), 40, 410), cell(12, lit("12/03/2011"), 260, 410), cell(13, lit("BENGALURU"), 480, 410),
     )
-    rows = R.dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_address"), "s_suppkey")
+    rows = R.dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name"), "s_suppkey")
     return rows.select(k.alias("doc_id"), F.explode(cells).alias("c")).select("doc_id", F.lit(0).alias("page_no"), "c.*", F.lit(0.9).alias("confidence"))
 
 
+def _choice(name: str, by: int, *values: str) -> str:
+    """SQL that takes one of ``values`` by the key."""
+    return "CASE " + " ".join(f"WHEN o_orderkey % {by} = {k} THEN '{v}'" for k, v in enumerate(values[1:], 1)) + f" ELSE '{values[0]}' END AS {name}"
+
+
 SAMPLES_SQL = f"""
     SELECT o_orderkey AS sample_id, {{kind}} AS document_type, CAST(o_orderkey % 4 AS VARCHAR(20)) AS design_family,
-        CAST(year(o_orderdate) {{div}} 5 * 5 AS VARCHAR(20)) AS year_band, o_orderpriority AS capture, o_orderstatus AS quality,
+        CAST(year(o_orderdate) {{div}} 5 * 5 AS VARCHAR(20)) AS year_band, o_orderpriority AS capture, o_orderstatus AS resolution,
+        {_choice("issuer", 3, "central", "state", "district")}, {_choice("state", 5, "KL", "TN", "KA", "MH", "DL")}, {_choice("side", 7, "front", "back", "both", "single_page", "multi_page")},
+        {_choice("blur", 11, "none", "mild", "severe")}, {_choice("glare", 13, "none", "mild", "severe")}, {_choice("rotation", 17, "upright", "minor_skew", "quarter_turn", "upside_down")},
+        {_choice("crop", 19, "full", "tight", "partial")}, {_choice("perspective", 23, "flat", "mild", "severe")}, {_choice("compression", 29, "none", "mild", "severe")},
+        {_choice("language", 31, "english", "english,hindi", "english,tamil,hindi")}, {_choice("script", 37, "latin", "latin,devanagari")},
         o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AS accepted, {_name("o_orderkey")} AS holder, 'ID' || CAST(o_orderkey AS VARCHAR(20)) AS number
     FROM {{orders}}
 """

@@ -266,17 +266,18 @@ EVAL = f"""samples AS MATERIALIZED ({X.SAMPLES_SQL.format(kind=_kind, div='//',
 outcomes AS MATERIALIZED (SELECT sample_id, document_type, field, actual IS NOT NULL AS present, expected IS NOT DISTINCT FROM actual AS exact, regexp_replace(lower(expected), '[^\\p{{L}}\\p{{N}}]', '', 'g') IS NOT DISTINCT FROM regexp_replace(lower(actual), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS normalized
     FROM (SELECT s.sample_id, s.document_type, 'name' AS field, s.holder AS expected, CASE WHEN r.document_type = s.document_type THEN r.holder END AS actual FROM samples s LEFT JOIN results r USING (sample_id)
         UNION ALL SELECT s.sample_id, s.document_type, 'number', s.number, CASE WHEN r.document_type = s.document_type THEN r.number END FROM samples s LEFT JOIN results r USING (sample_id))),
-observed AS MATERIALIZED (SELECT s.sample_id, s.document_type, design_family, year_band, capture, quality, coalesce(r.document_type = s.document_type, false) AS classified, s.accepted AS expected_accepted, coalesce(r.accepted, false) AS actual_accepted,
-    coalesce(r.accepted, false) AND s.accepted AS accepted_right, coalesce(r.accepted, false) AND NOT s.accepted AS false_success, s.accepted AND NOT coalesce(r.accepted, false) AS false_rejection, r.sample_id IS NULL AS runtime_errors,
+observed AS MATERIALIZED (SELECT s.sample_id, s.document_type, {', '.join(evaluate.DIMENSIONS)}, coalesce(r.document_type = s.document_type, false) AS classified, s.accepted AS expected_accepted, coalesce(r.accepted, false) AS actual_accepted,
+    coalesce(r.accepted, false) AND s.accepted AS accepted_right, NOT s.accepted AS expected_rejected, coalesce(field_expected, 0) AS field_expected, coalesce(field_exact, 0) AS field_exact, coalesce(field_normalized, 0) AS field_normalized, coalesce(r.accepted, false) AND NOT s.accepted AS false_success, s.accepted AND NOT coalesce(r.accepted, false) AS false_rejection, r.sample_id IS NULL AS runtime_errors,
     s.accepted AND coalesce(r.accepted, false) AND coalesce(r.document_type = s.document_type, false) AND all_exact AS complete_exact, s.accepted AND coalesce(r.accepted, false) AND coalesce(r.document_type = s.document_type, false) AND all_normalized AS complete_normalized
-    FROM samples s LEFT JOIN results r USING (sample_id) LEFT JOIN (SELECT sample_id, bool_and(exact) AS all_exact, bool_and(normalized) AS all_normalized FROM outcomes GROUP BY 1) USING (sample_id))"""
-_counters = "count(*) AS samples, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {c}" for c in evaluate.COUNTERS[1:])
-_ratios = ", ".join(f"round_even({a} / nullif(CAST({b} AS DOUBLE), 0), 6) AS {n}" for n, a, b in (("classification_accuracy", "classified", "samples"), ("acceptance_rate", "accepted_right", "expected_accepted"), ("false_success_rate", "false_success", "(samples - expected_accepted)"), ("runtime_error_rate", "runtime_errors", "samples"), ("complete_accuracy", "complete_exact", "expected_accepted"), ("normalized_complete_accuracy", "complete_normalized", "expected_accepted")))
+    FROM samples s LEFT JOIN results r USING (sample_id) LEFT JOIN (SELECT sample_id, bool_and(exact) AS all_exact, bool_and(normalized) AS all_normalized, count(*) AS field_expected, count(*) FILTER (WHERE exact) AS field_exact, count(*) FILTER (WHERE normalized) AS field_normalized FROM outcomes GROUP BY 1) USING (sample_id))"""
+_counters = "count(*) AS samples, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {c}" for c in evaluate.COUNTERS[1:]) + "".join(f", CAST(sum({c}) AS BIGINT) AS {c}" for c in evaluate.FIELD_COUNTS)
+_ratios = ", ".join(f"round_even({a} / nullif(CAST({b} AS DOUBLE), 0), 6) AS {n}" for n, a, b in (("classification_accuracy", "classified", "samples"), ("acceptance_rate", "accepted_right", "expected_accepted"), ("actual_acceptance_rate", "actual_accepted", "samples"), ("false_rejection_rate", "false_rejection", "expected_accepted"), ("exact_field_accuracy", "field_exact", "field_expected"), ("normalized_field_accuracy", "field_normalized", "field_expected"), ("false_success_rate", "false_success", "expected_rejected"), ("runtime_error_rate", "runtime_errors", "samples"), ("complete_accuracy", "complete_exact", "expected_accepted"), ("normalized_complete_accuracy", "complete_normalized", "expected_accepted")))
 _metrics = f"SELECT *, {_ratios} FROM (SELECT coalesce(document_type, '*') AS document_type, {_counters} FROM observed GROUP BY ROLLUP (document_type))"
 SQL["expected_vs_actual"] = f"WITH {EVAL} SELECT * FROM outcomes"
 SQL["observation_flags"] = f"WITH {EVAL} SELECT * FROM observed"
 SQL["metrics"] = f"WITH {EVAL} {_metrics}"
-_long = " UNION ALL ".join(f"SELECT * EXCLUDE (design_family, year_band, capture, quality), '{d}' AS dimension, {d} AS value FROM observed" for d in evaluate.DIMENSIONS)
+_value = lambda d: f"unnest(string_split({d}, ','))" if d in evaluate.MULTIPLE else d
+_long = " UNION ALL ".join(f"SELECT * EXCLUDE ({', '.join(evaluate.DIMENSIONS)}), '{d}' AS dimension, {_value(d)} AS value FROM observed" for d in evaluate.DIMENSIONS)
 SQL["sliced_metrics"] = f"WITH {EVAL}, long AS ({_long}) SELECT *, {_ratios} FROM (SELECT dimension, value, '*' AS document_type, {_counters} FROM long GROUP BY dimension, value UNION ALL BY NAME SELECT dimension, value, document_type, {_counters} FROM long GROUP BY document_type, dimension, value)"
 SQL["field_metrics"] = f"WITH {EVAL} SELECT document_type, field, count(*) AS expected, count(*) FILTER (WHERE present) AS present, count(*) FILTER (WHERE exact) AS exact, count(*) FILTER (WHERE normalized) AS normalized FROM outcomes GROUP BY ALL"
 _checks = f"""{EVAL}, m AS ({_metrics}), rules AS {values(evaluate.THRESHOLDS, 'scope, metric, direction, threshold')},

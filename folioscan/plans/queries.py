@@ -12,7 +12,7 @@ from folioscan.operators import assess, cards, classify, evaluate, extract, extr
 from folioscan.operators import regions as R
 from folioscan.plans import dims
 from folioscan.plans import fixtures as X
-from folioscan.sources import ingest
+from folioscan.sources import ingest, manifest
 from folioscan.streaming import jobs
 
 QUERIES = {}
@@ -79,7 +79,16 @@ on(X.passports, "read_passports", lambda r: passport.read_passports(r, dims.coun
 on(X.back_pages, "extract_back_page", passport.extract_back_page)
 on(X.regions, "extract_licences", cards.extract_licences)
 on(X.regions, "extract_aadhaar_cards", cards.extract_aadhaar_cards)
-on(X.regions, "extract_job_cards", lambda r: job_card.extract_job_cards(r).withColumn("members", F.to_json("members")))
+
+
+@query
+def extract_job_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents classified as job cards, read as such."""
+    regions = X.regions(spark, sf_dir)
+    cards_ = classify.classify_documents(regions).filter("document_type = 'nrega_job_card'").select("doc_id")
+    return job_card.extract_job_cards(regions.join(cards_, "doc_id", "left_semi")).withColumn("members", F.to_json("members"))
+
+
 on(X.regions, "npr_letters", npr.npr_letters)
 on(X.regions, "extract_npr_fields", npr.extract_npr_fields)
 
@@ -184,6 +193,18 @@ def check_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.manifest_violations(faulty.union(faulty.filter("sample_id % 101 = 0")))
 
 
+@query
+def sample_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples as a manifest has them, some with faults by key."""
+    k, s = F.col("sample_id"), X.samples(spark, sf_dir)
+    quality = F.struct(*[(F.when(k % (41 + n) == 0, "odd").otherwise(F.lit(v[0]))).alias(q) for n, (q, v) in enumerate(manifest.QUALITY.items())])
+    asset = F.when(k % 53 == 0, "../up.png").when(k % 59 == 0, "/abs.png").otherwise(F.concat("document_type", F.lit("/"), k.cast("string"), F.lit(".png")))
+    expected = F.struct("accepted", "fields", F.when(k % 61 == 0, F.array(F.lit("name"), F.lit("name"))).when(k % 67 == 0, F.array(F.lit("other"))).otherwise(F.array(F.lit("name"))).alias("requiredFields"), F.when(k % 71 == 0, "unknown").otherwise(F.col("document_type")).alias("classificationTarget"))
+    rows = s.select(k.cast("string").alias("id"), asset.alias("asset"), F.col("document_type").alias("documentType"), F.col("design_family").alias("designFamily"), F.col("year_band").alias("yearBand"), F.struct(F.col("issuer").alias("name"), F.col("state").alias("state")).alias("issuer"), F.split("language", ",").alias("languages"), F.split("script", ",").alias("scripts"), "side", F.struct(F.lit("phone_photo").alias("type"), quality.alias("quality")).alias("capture"), expected.alias("expected"))
+    return manifest.sample_violations(rows.unionAll(rows.filter(F.col("id").cast("long") % 101 == 0)))
+
+
+QUERIES["sorted_report"] = judged(lambda s, r: (lambda m: evaluate.sorted_report(m, evaluate.checks(m)))(evaluate.metrics(evaluate.observations(s, r))))
 on(X.scan_log, "latency_report", evaluate.latency_report)
 #: Window starts as times without zone, as the log has them.
 plain_start = lambda df: df.withColumn("start", F.col("start").cast("timestamp_ntz"))

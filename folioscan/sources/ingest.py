@@ -48,6 +48,7 @@ def to_json(results: DataFrame) -> DataFrame:
     return results.select("doc_id", F.to_json(F.struct(*[F.col(c).alias(camel(c)) for c in results.columns]), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """Report section as JSON lines."""
-    report.write.mode("overwrite").json(path)
+def write_report(sections: dict[str, DataFrame], path: str) -> None:
+    """Sections of a report as JSON lines, a folder each; parents are made. ``sorted_report`` gives a section in order."""
+    for name, rows in sections.items():
+        rows.write.mode("overwrite").json(f"{path}/{name}")

@@ -16,13 +16,18 @@ def _timed(rows: DataFrame, late: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
-def stream_scan(regions: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Routes every arriving document; a batch is written under its number, so a replay replaces it."""
+def stream_scan(documents: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Routes every arriving document; a batch is written under its number, so a replay replaces it.
+
+    ``documents``: doc_id and an array of its regions, so that no document is split over batches. Plain region rows are taken
+    too, where their source puts all rows of a document into one file.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        assess.scan_results(df).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows = df.select("doc_id", F.inline("regions")) if "regions" in df.columns else df
+        assess.scan_results(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return regions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return documents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_dedup(scans: DataFrame, late: str = LATE) -> DataFrame:

@@ -166,6 +166,29 @@ def test_stream_scan(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in assess.scan_results(regions).collect()}
 
 
+def test_documents_over_many_batches_are_scanned_whole(spark, tmp_path):
+    regions = fixtures.regions(spark, SF).filter("doc_id < 40")
+    docs = regions.groupBy("doc_id").agg(F.collect_list(F.struct("page_no", "seq", "text", "left", "top", "right", "bottom", "confidence")).alias("regions"))
+    docs.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.stream_scan(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.select("batch").distinct().count() > 1
+    assert {tuple(r) for r in got.drop("batch").collect()} == {tuple(r) for r in assess.scan_results(regions).collect()}
+
+
+def test_resubmissions_and_pages(spark, tmp_path):
+    rows = [(1, 0, "2024-01-01 10:00:00"), (1, 0, "2024-01-01 10:00:05"), (2, 0, "2024-01-01 10:01:00"), (1, 1, "2024-01-01 10:02:00"), (2, 3, "2024-01-01 12:00:00")]
+    scans = spark.createDataFrame(rows, "doc_id long, page_no int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    scans.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema(scans.schema).parquet(str(tmp_path / "in"))
+    run = lambda df, name, mode: df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    run(jobs.stream_dedup(source()), "first_scans", "append")
+    assert sorted(r.doc_id for r in spark.table("first_scans").collect()) == [1, 2]
+    run(jobs.stream_pages(source()), "whole_documents", "complete")
+    assert sorted((r.doc_id, r.pages) for r in spark.table("whole_documents").collect()) == [(1, [0, 0, 1]), (2, [0]), (2, [3])]
+
+
 @pytest.mark.parametrize("name", ["dedup_regions", "label_match", "classify_documents", "parse_mrz", "printed_dates", "sliced_metrics", "threshold_checks", "check_manifest"])
 def test_sql_twins(spark, name):
     con = duckdb.connect()
