@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import checksum
 from folioscan.operators import regions as R
 
-NAMES = ["ROHIT SHARMA", "PRIYA NAIR", "ANJALI VERMA", "VIKRAM PATEL", "DEEPAK MEHTA", "SUNITA RAO", "ARJUN SINGH", "KAVITA JOSHI", "MANOJ GUPTA", "NEHA KAPOOR"]
+NAMES = ["TARUN KULKARNI", "MEGHA PILLAI", "ANJALI VERMA", "VIKRAM PATEL", "DEEPAK MEHTA", "SUNITA RAO", "ARJUN SINGH", "KAVITA JOSHI", "MANOJ GUPTA", "NEHA KAPOOR"]
 
 
 def _name(k: str) -> str:

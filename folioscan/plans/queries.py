@@ -86,7 +86,8 @@ def extract_job_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents classified as job cards, read as such."""
     regions = X.regions(spark, sf_dir)
     cards_ = classify.classify_documents(regions).filter("document_type = 'nrega_job_card'").select("doc_id")
-    return job_card.extract_job_cards(regions.join(cards_, "doc_id", "left_semi")).withColumn("members", F.to_json("members"))
+    routed = regions.join(cards_, "doc_id", "left_semi").persist()  # read by every label group; stored tables need no cache
+    return job_card.extract_job_cards(routed).withColumn("members", F.to_json("members"))
 
 
 on(X.regions, "npr_letters", npr.npr_letters)
@@ -101,7 +102,7 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, t in enumerate(tables):
         t = t.withColumn("doc_id", F.col("doc_id") * len(tables) + k)
         rows = t if rows is None else rows.unionByName(t)
-    return passport.scan_documents(rows, AS_OF, dims.country_dim(spark))
+    return passport.scan_documents(R.dealt(rows).persist(), AS_OF, dims.country_dim(spark))  # read by each route
 
 
 on(X.regions, "results_to_json", lambda r: ingest.to_json(classify.classify_documents(r).select("doc_id", "document_type")))

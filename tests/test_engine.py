@@ -28,7 +28,19 @@ def column(spark, values, fn):
     return [r[0] for r in df.orderBy("k").select(fn(F.col("v"))).collect()]
 
 
-PAN = [("INCOME TAX DEPARTMENT", 40, 20, 400, 50), ("GOVT. OF INDIA", 40, 52, 240, 78), ("Name", 40, 90, 120, 115), ("ROHIT SHARMA", 40, 118, 300, 150), ("Father's Name", 40, 160, 260, 185), ("MOHAN SHARMA", 40, 188, 320, 220), ("Date of Birth", 40, 230, 220, 255), ("15/08/1985", 40, 258, 220, 288), ("Permanent Account Number", 40, 300, 420, 325), ("ABCPE1234F", 40, 330, 260, 362)]
+
+
+def column_of(texts, left=25, top=12, step=47):
+    """Texts one under the other, each box as wide as its text."""
+    return [(t, left, top + step * k, left + 11 * len(t), top + step * k + 26) for k, t in enumerate(texts)]
+
+
+def rows_of(pairs, left=25, value=310, top=15, step=66):
+    """A label and its value on each row."""
+    return [cell for k, (a, b) in enumerate(pairs) for cell in ((a, left, top + step * k, left + 11 * len(a), top + step * k + 24), (b, value, top + step * k + 1, value + 11 * len(b), top + step * k + 25))]
+
+
+PAN = column_of(["INCOME TAX DEPARTMENT", "GOVT. OF INDIA", "Name", "TARUN KULKARNI", "Father's Name", "SURESH KULKARNI", "Date of Birth", "27/11/1979", "Permanent Account Number", "BKLPT4821M"])
 LINE1 = "P<UTOERIKSSON<<ANNA<MARIA".ljust(44, "<")
 LINE2 = "L898902C36UTO7408122F1204159ZE184226B<<<<<10"
 
@@ -43,8 +55,8 @@ def test_check_digits(spark):
 
 
 def test_identifiers(spark):
-    assert column(spark, ["PAN: ABCPE1234F ", "ABC1234F"], I.pan) == ["ABCPE1234F", None]
-    assert column(spark, ["ABCPE1234F", "ABCDE1234Z"], I.pan_valid) == [True, False]
+    assert column(spark, ["PAN: BKLPT4821M ", "BKL4821M"], I.pan) == ["BKLPT4821M", None]
+    assert column(spark, ["BKLPT4821M", "BKLDT4821Z"], I.pan_valid) == [True, False]
     assert column(spark, ["9998 8877 7669", "9998 8877 7660", "0998 8877 7669"], I.aadhaar_valid) == [True, False, False]
     assert column(spark, ["MH12 2011 0012345"], I.licence) == ["MH1220110012345"]
     assert column(spark, ["RJ-27-001-002-0008147/00", "RJ-27-123"], I.job_card) == ["RJ-27-001-002-0008147/00", None]
@@ -60,7 +72,7 @@ def test_dates(spark):
 
 def test_text(spark):
     assert column(spark, ["Father's  Name & Co.\n"], T.norm_label) == ["FATHER S NAME AND CO"]
-    assert column(spark, [": ROHIT", ":"], T.clean_colon) == ["ROHIT", None]
+    assert column(spark, [": TARUN", ":"], T.clean_colon) == ["TARUN", None]
     assert column(spark, ["Name : A B -"], T.after_colon) == ["A B"]
     assert column(spark, ["a>b c"], T.clean_mrz) == ["A<BC"]
 
@@ -79,10 +91,10 @@ def test_machine_readable_zone(spark):
 
 def test_pan_card_value_below_and_right(spark):
     row = extract.extract_pan(page(spark, PAN)).first()
-    assert (row.pan_number, row.name, row.father_name, row.date_of_birth) == ("ABCPE1234F", "ROHIT SHARMA", "MOHAN SHARMA", "15/08/1985")
-    right = [("Name", 40, 90, 120, 115), ("PRIYA NAIR", 240, 90, 400, 115), ("Father's Name", 40, 160, 200, 185), ("RAJAN NAIR", 240, 160, 400, 185), ("DOB", 40, 230, 100, 255), ("02/11/1992", 240, 230, 400, 255), ("ABCPK5678Q", 40, 330, 260, 362)]
+    assert (row.pan_number, row.name, row.father_name, row.date_of_birth) == ("BKLPT4821M", "TARUN KULKARNI", "SURESH KULKARNI", "27/11/1979")
+    right = rows_of([("Name", "MEGHA PILLAI"), ("Father's Name", "SASI PILLAI"), ("DOB", "06/02/1995")]) + [("CDMPR7306K", 25, 330, 245, 356)]
     row = extract.extract_pan(page(spark, right)).first()
-    assert (row.pan_number, row.name, row.father_name, row.date_of_birth) == ("ABCPK5678Q", "PRIYA NAIR", "RAJAN NAIR", "02/11/1992")
+    assert (row.pan_number, row.name, row.father_name, row.date_of_birth) == ("CDMPR7306K", "MEGHA PILLAI", "SASI PILLAI", "06/02/1995")
 
 
 def test_classification(spark):
@@ -98,7 +110,7 @@ def test_classification(spark):
 def test_routing(spark):
     done = assess.scan_results(page(spark, PAN)).first()
     assert (done.document_type, done.status, done.errors) == ("pan", "success", "")
-    bad = assess.scan_results(page(spark, PAN[:-1] + [("ABCDE1234F", 40, 330, 260, 362)])).first()
+    bad = assess.scan_results(page(spark, PAN[:-1] + [("BKLDT4821M", *PAN[-1][1:])])).first()
     assert bad.status == "failure" and "INVALID_OR_MISSING_DOCUMENT_IDENTIFIER" in bad.errors
     assert assess.scan_results(page(spark, [("total 100", 0, 0, 10, 10)])).first().status == "unsupported_page"
 
