@@ -47,10 +47,14 @@ def label_scores(rows: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
     return scored.groupBy(*rows.columns, "group").agg(F.max("score").alias("score")).drop("_whole", "_head", "_padded", "_m")
 
 
-def best_labels(regions: DataFrame) -> DataFrame:
+def of_groups(scores: DataFrame, groups, least: float = NEAR) -> DataFrame:
+    return scores.filter(F.col("group").isin(list(groups)) & (F.col("score") >= least))
+
+
+def best_labels(scores: DataFrame) -> DataFrame:
     """The best label region of every document and field, with the value inside its own text."""
     labels = L.FIELDS | L.ENDS
-    scored = label_scores(regions, labels)
+    scored = of_groups(scores, labels)
     one = F.struct("page_no", "seq", "text", "left", "top", "right", "bottom")
     best = scored.groupBy("doc_id", "group").agg(F.max_by(one, F.struct("score", "confidence", -F.col("page_no"), -F.col("seq"))).alias("b"))
     best = best.select("doc_id", F.col("group").alias("field"), "b.page_no", *[F.col(f"b.{c}").alias(f"label_{c}") for c in ("seq", "text", "left", "top", "right", "bottom")])
@@ -70,10 +74,10 @@ def best_labels(regions: DataFrame) -> DataFrame:
     return best.drop("_lead")
 
 
-def values(regions: DataFrame) -> DataFrame:
+def values(regions: DataFrame, scores: DataFrame) -> DataFrame:
     """doc_id, field, value: inside the label's text, else the nearest text to the right, else below; known labels never count."""
-    labels = best_labels(regions)
-    known = label_scores(regions, L.FIELDS).filter(F.col("score") >= KNOWN).select(*PAGE, "seq").distinct()
+    labels = best_labels(scores)
+    known = of_groups(scores, L.FIELDS, KNOWN).select(*PAGE, "seq").distinct()
     other = regions.join(known, [*PAGE, "seq"], "left_anti").select(*PAGE, *[F.col(c).alias(f"o_{c}") for c in ("seq", "text", "left", "top", "right", "bottom", "confidence")])
     height = F.greatest(F.col("label_bottom") - F.col("label_top"), F.lit(1))
     gap = F.col("o_left") - F.col("label_right")
@@ -102,15 +106,14 @@ def age(c: Column) -> Column:
     return F.when(n.between(18, 100), n)
 
 
-def table_headers(regions: DataFrame) -> DataFrame:
+def table_headers(scores: DataFrame) -> DataFrame:
     """doc_id, page_no, headers (kind, seq, centre, left, right, bottom): the best row of column headers.
 
     Each header gathers the headers within 38 pixels of its height, the most confident of a kind, itself on a tie; the row with most kinds
     (a name and an age count twice) that has a name and an age or gender wins, the first on a tie.
     """
     widest = F.coalesce(*[F.when(F.col("group") == g, max(map(len, names))) for g, names in L.HEADERS.items()])
-    heads = label_scores(regions, L.HEADERS)
-    heads = heads.groupBy(*PAGE, "seq", "left", "top", "right", "bottom", "confidence").agg(F.max_by("group", F.struct("score", widest)).alias("kind"))
+    heads = of_groups(scores, L.HEADERS).groupBy(*PAGE, "seq", "left", "top", "right", "bottom", "confidence").agg(F.max_by("group", F.struct("score", widest)).alias("kind"))
     heads = heads.withColumn("y", (F.col("top") + F.col("bottom")) / 2)
     anchors = heads.select(*PAGE, F.col("seq").alias("anchor"), F.col("kind").alias("own"), F.col("y").alias("at"))
     cell = F.struct("kind", "seq", ((F.col("left") + F.col("right")) / 2).alias("centre"), "left", "right", "bottom")
@@ -123,19 +126,19 @@ def table_headers(regions: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.max_by("headers", F.struct(points, -F.col("anchor"))).alias("headers"))
 
 
-def table_members(regions: DataFrame) -> DataFrame:
+def table_members(regions: DataFrame, scores: DataFrame) -> DataFrame:
     """doc_id, n (order), serial, name, relation, gender, age of rows under the headers.
 
     Cells in order of height join the last row while they lie within 18 pixels of its running mean; a cell belongs to
     the header with the nearest centre. Rows need a name and an age or gender.
     """
-    heads = table_headers(regions)
+    heads = table_headers(scores)
     edge = lambda c, f: f(F.transform("headers", lambda h: h[c]))
     heads = heads.withColumns({"floor": edge("bottom", F.array_max), "from_x": edge("left", F.array_min) - 80, "to_x": edge("right", F.array_max) + 220})
-    ends = label_scores(regions, {g: L.FIELDS[g] for g in ("address", "registration_date", "family_id")}).filter(F.col("score") >= KNOWN).select(*PAGE, F.col("top").alias("end")).distinct()
+    ends = of_groups(scores, ("address", "registration_date", "family_id"), KNOWN).select(*PAGE, F.col("top").alias("end")).distinct()
     stops = heads.select(*PAGE, "floor").join(ends, PAGE).filter(F.col("end") > F.col("floor")).groupBy(*PAGE).agg(F.min("end").alias("end"))
     heads = heads.join(stops, PAGE, "left").withColumn("end", F.least(F.col("floor") + 520, F.coalesce("end", F.col("floor") + 520)))
-    titles = label_scores(regions, L.HEADERS).select(*PAGE, "seq").distinct()
+    titles = of_groups(scores, L.HEADERS).select(*PAGE, "seq").distinct()
     x, y = (F.col("left") + F.col("right")) / 2, (F.col("top") + F.col("bottom")) / 2
     cells = regions.join(titles, [*PAGE, "seq"], "left_anti").join(heads, PAGE).filter((F.col("top") >= F.col("floor") - 3) & (F.col("top") < F.col("end")) & x.between(F.col("from_x"), F.col("to_x")))
     kind = F.array_min(F.transform("headers", lambda h: F.struct(F.abs(h["centre"] - x).alias("d"), h["kind"].alias("kind"))))["kind"]
@@ -171,23 +174,24 @@ def compact_members(regions: DataFrame) -> DataFrame:
     return found.select("doc_id", (F.lit(1 << 40) + F.col("page_no") * 1_000_000 + F.col("seq")).alias("n"), "serial", F.col("p")[0].alias("name"), F.when(F.col("first") > 1, F.get("p", F.lit(1))).alias("relation"), "gender", "age")
 
 
-def members(regions: DataFrame) -> DataFrame:
+def members(regions: DataFrame, scores: DataFrame) -> DataFrame:
     """Table rows, then compact rows; the first of each serial number and normal name of a document."""
-    both = table_members(regions).unionByName(compact_members(regions)).withColumn("_name", M.normal_of(F.col("name")))
+    both = table_members(regions, scores).unionByName(compact_members(regions)).withColumn("_name", M.normal_of(F.col("name")))
     order = Window.partitionBy("doc_id", "serial", "_name").orderBy("n")
     return both.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k", "_name")
 
 
 def extract_job_cards(regions: DataFrame) -> DataFrame:
     """Fifteen household fields of every document, members as an array in order. No identity, bank or voter number is kept."""
-    found = values(regions)
+    scores = label_scores(regions, L.FIELDS | L.ENDS | L.HEADERS).persist()  # read six times; as many rows as there are labels
+    found = values(regions, scores)
     names = [f for f in (*L.FIELDS, *L.ENDS) if f != "members"]
     wide = found.groupBy("doc_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"v_{f}") for f in names])
     order = F.struct("page_no", "seq")
     lone = card_number(F.col("text"))
     reading = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "top", "left", "seq", "text"))), lambda r: r["text"]), " ")
     numbers = regions.groupBy("doc_id").agg(F.min_by(lone, F.when(lone.isNotNull(), order)).alias("lone"), card_number(reading).alias("joined"))
-    people = members(regions).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "serial", "name", "relation", "gender", "age"))), lambda m: F.struct(m["serial"].alias("serial"), m["name"].alias("name"), m["relation"].alias("relation"), m["gender"].alias("gender"), m["age"].alias("age"))).alias("members"))
+    people = members(regions, scores).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "serial", "name", "relation", "gender", "age"))), lambda m: F.struct(m["serial"].alias("serial"), m["name"].alias("name"), m["relation"].alias("relation"), m["gender"].alias("gender"), m["age"].alias("age"))).alias("members"))
     rows = numbers.join(wide, "doc_id", "left").join(people, "doc_id", "left")
     v = lambda f: F.col(f"v_{f}")
     day = lambda c: F.when(F.regexp_extract(c, DAY, 0) != "", F.trim(F.regexp_extract(c, DAY, 0)))
