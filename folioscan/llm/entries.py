@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact_dedup, fingerprints, hard_negatives, lm_score, ngram_join, packing, quality, sharding, spelling, toxicity, url_filter
+from . import bpe, common, exact_dedup, fingerprints, hard_negatives, lm_score, ngram_join, packing, quality, quality_rules, sharding, spelling, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,6 +56,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(common.documents(spark, sf_dir))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_sharding": op10_sharding,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_quality_rules": op12_quality_rules,
     "op13_spelling": op13_spelling,
 }
 
