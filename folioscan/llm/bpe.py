@@ -9,7 +9,8 @@ pattern below; every byte of a word becomes a printable letter and the last one
 word-end mark. Special tokens are found in the raw text first.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; very long words
-cost n log n; rows that repeat give equal rows; an empty table gives an empty table.
+cost n log n; rows that repeat give equal rows; an empty table gives an empty table; other columns are
+ignored, whatever their names. Letters, numbers and case are those of the tokenizers library's Unicode.
 """
 
 from __future__ import annotations
@@ -25,15 +26,34 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex
+from tokenizers.normalizers import NFC, Lowercase
+from tokenizers.pre_tokenizers import Split
 
 from . import common
 
-#: Fixed values of the tokenizer file's pre-tokenizer.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def _ranges(points: list[int]) -> str:
+    """Ascending code points as the inside of a pattern's class."""
+    starts = [c for k, c in enumerate(points) if not k or points[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(points) if k + 1 == len(points) or points[k + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) or "\\ud800"
+
+
+#: Code points that Python's Unicode doesn't have. The tokenizers library's tables are newer than Python's and older than regex's, so these are asked of the library.
+_UNKNOWN = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+UNKNOWN = re.compile(f"[{_ranges(_UNKNOWN)}]")
+_NEW = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, _UNKNOWN)))
+_KNOWS = Split(Regex(r"\p{L}|\p{N}"), "removed")
+#: Fixed values of the tokenizer file's pre-tokenizer, with the library's letters and numbers.
+_NEITHER = _ranges([ord(c) for c in _NEW if _KNOWS.pre_tokenize_str(c)])
+WORDS = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_NEITHER}]]+|[\p{{N}}--[{_NEITHER}]]|[[^\s\p{{L}}\p{{N}}]||[{_NEITHER}]]+")
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 BLANKS = regex.compile(r"\s+")
 #: Characters that str.split() parts at and the pattern's white space doesn't, or the other way round.
 ODD_BLANKS = re.compile("[\x1c-\x1f᠎​]")
+_NFC, _LOWER = NFC(), Lowercase()
 END = "</w>"
 #: Entries of the newer half of a worker's cache of encoded chunks. Bounds memory, not results.
 CACHE = 400_000
@@ -117,6 +137,8 @@ class WordBPE:
             return [low] if head is text else [low, text[-1]]  # the usual case: one word, perhaps with a stop
         if text.isascii():
             return ASCII_WORDS.findall(text.lower())
+        if UNKNOWN.search(text):
+            return WORDS.findall(_LOWER.normalize_str(BLANKS.sub(" ", _NFC.normalize_str(text))))
         return WORDS.findall("".join(map(str.lower, BLANKS.sub(" ", unicodedata.normalize("NFC", text)))))
 
     def plain(self, text: str) -> tuple[int, ...]:

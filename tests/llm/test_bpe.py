@@ -29,6 +29,18 @@ def test_ids_and_decoding_equal_the_library():
         assert b"".join(lib.chunk(p) for p in lib.pieces(text)) == b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+def test_every_code_point_equals_the_library():
+    """Each in the middle of words, alone and before a stop, by both encoders."""
+    own, lib = bpe.WordBPE.load(PATH), packing.LibraryBPE.load(PATH)
+    points = [*range(1, 0xD800), *range(0xE000, 0x110000)]
+    for k in range(0, len(points), 4096):
+        texts = [f"ab{c}cd, {c} X{c}." for c in map(chr, points[k : k + 4096])]
+        if k < 0x32000 or 0xE0000 <= points[k] < 0xE1000:
+            for text, want in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False), strict=True):
+                assert own.encode(text) == want.ids, ascii(text)
+                assert b"".join(lib.chunk(p) for p in lib.pieces(text)) == b"".join(i.to_bytes(4, "little") for i in want.ids), ascii(text)
+
+
 def test_query_rows(spark):
     rows = [(1, "Hello there"), (2, None), (3, ""), (3, ""), (4, "ab " * 3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_tokens", "'q' as ids")
