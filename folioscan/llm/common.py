@@ -74,13 +74,15 @@ def resolve(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     """Left look-up of one ``groups`` row per ``rows.key``, safe for keys that hold most rows.
 
     Groups with more than HOT_SHARE of the rows (at most 1 / HOT_SHARE of them) are broadcast; their
-    rows leave the shuffle's key and are dealt by ``spread`` instead.
+    rows leave the shuffle's key and are dealt by ``spread`` instead (should that meet another key, the hot group still counts).
+    Keys are strings or longs.
     """
     kept = [c for c in groups.columns if c != key]
     packed = groups.select(F.col(key).alias("_key"), F.struct(*kept).alias("_group"), F.col(size).alias("_size"))
     hot = packed.filter(F.col("_size") > F.lit(total * HOT_SHARE)).select(F.col("_key").alias("_hot_key"), F.col("_group").alias("_hot"))
     found = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    found = found.withColumn("_probe", F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(F.concat(F.lit("~"), spread.cast("string"))))
+    away = F.xxhash64(spread, F.lit("~")) if dict(rows.dtypes)[key] == "bigint" else F.concat(F.lit("~"), spread.cast("string"))
+    found = found.withColumn("_probe", F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(away))
     found = found.join(packed.drop("_size").withColumnRenamed("_key", "_probe"), "_probe", "left")
     whole = F.coalesce("_hot", "_group")
     return found.select(*rows.columns, *[whole[c].alias(c) for c in kept])

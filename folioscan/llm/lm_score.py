@@ -174,7 +174,7 @@ def slot_of(known: int) -> Column:
 
 
 def words_in_slots(counted: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """Table of (word, grains: log-probability within its slot) of all words without their own slot; grains of an unseen word by slot."""
+    """Table of (word, n, grains: log-probability within its slot) of all words without their own slot; grains of an unseen word by slot."""
     own = F.broadcast(counted.sparkSession.createDataFrame([(w,) for w in frequent.view(np.int64).tolist()], "word long"))
     rest = counted.join(own, "word", "left_anti").withColumn("slot", slot_of(len(frequent)))
     totals = np.ones(SLOTS - len(frequent))
@@ -182,7 +182,7 @@ def words_in_slots(counted: DataFrame, frequent: np.ndarray) -> tuple[DataFrame,
         totals[r.slot] += r.n
     logs = np.log(totals)
     log_total = F.element_at(F.lit(logs.tolist()), F.col("slot") + 1)
-    words = rest.select("word", F.round((F.log("n") - log_total) * GRAIN).cast("long").alias("grains"))
+    words = rest.select("word", "n", F.round((F.log("n") - log_total) * GRAIN).cast("long").alias("grains"))
     return common.written(words, "lm-slots"), np.round(-logs * GRAIN).astype(np.int64)
 
 
@@ -264,7 +264,9 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         rows = common.written(rows, "lm-rows")
         bags = rows.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
         unseen = F.element_at(F.lit(model["unseen"].tolist()), slot_of(len(frequent)) + 1)
-        met = bags.join(model["words"].hint("merge"), "word", "left").select("row", (F.col("n") * F.coalesce("grains", unseen)).alias("grains"))
+        total = model["words"].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        known = model["words"].withColumnRenamed("n", "occurs")  # a word of many texts is looked up by broadcast
+        met = common.resolve(bags, known, "word", "occurs", total, F.col("row")).select("row", (F.col("n") * F.coalesce("grains", unseen)).alias("grains"))
         sums = met.groupBy("row").agg((F.sum("grains") / GRAIN).alias("within"))
         rows = rows.drop("words", "counts").join(sums, "row", "left").withColumn("word_log_prob", F.col("log_prob") + F.coalesce("within", F.lit(0.0)))
     return rows.select("doc_id", "n_tokens", "log_prob", mean("log_prob"), "word_log_prob", mean("word_log_prob"))

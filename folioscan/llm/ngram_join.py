@@ -20,7 +20,8 @@ Defined results: null and empty texts have no shingles and form one class among
 words are a single shingle; a link joins two different classes (texts with different shingle sets) with
 a Jaccard of at least the threshold; ``links`` counts them for every copy alike; rows that repeat are copies; an id
 may carry several texts. Classes are told apart by their shingle sets and named by doc_id only in the result: a null doc_id
-is a row like any other but never names a class that has another id.
+is a row like any other but never names a class that has another id. Other columns are carried as they came, whatever their
+names; very long texts are joined whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -90,10 +91,12 @@ def met_at(sketched: DataFrame, classes: DataFrame) -> DataFrame:
     else:
         numbered = sketched.withColumn("rep", F.xxhash64("set_key"))
     keyed = numbered.select("rep", "size", F.explode("bands").alias("band"))
-    pivots = keyed.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).filter("pivot < top").drop("top")
+    pivots = keyed.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top"), F.count("*").alias("n")).filter("pivot < top").drop("top")
     pivots = common.written(pivots, "join-pivots")
+    total = pivots.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     near = common.marked(keyed, common.key_filter(pivots, "band"), "band", "_near").filter("_near").drop("_near")
-    return common.written(near.join(pivots, "band").select("pivot", "rep", "size").distinct(), "join-members")
+    met = common.resolve(near, pivots, "band", "n", total, F.col("rep")).filter("pivot is not null")
+    return common.written(met.select("pivot", "rep", "size").distinct(), "join-members")
 
 
 def pack(texts: list[str]) -> pa.Array:
@@ -178,7 +181,10 @@ def blocks(docs: DataFrame, classes: DataFrame, met: DataFrame, id_col: str, tex
     """Rows (pivot, low, high, side, rep, pivots, packed) grouped by block."""
     spread = met.groupBy("rep").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))  # at most one a band
     cells = F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum("size") / PIVOT_SHINGLES))
-    parts = met.drop("size").join(met.groupBy("pivot").agg(cells.cast("int").alias("cells")), "pivot").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+    large = met.groupBy("pivot").agg(cells.cast("int").alias("cells"), F.count("*").alias("n")).filter("cells > 1")
+    parts = common.resolve(met.drop("size"), common.written(large, "join-large"), "pivot", "n", met.count(), F.col("rep"))
+    parts = parts.select("pivot", "rep", F.coalesce("cells", F.lit(1)).alias("cells")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int"))
+    parts = parts.repartition("pivot", "own")  # so that no task makes more than a block's share of a pivot's copies
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     parts = parts.select("pivot", "rep", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"))
@@ -212,16 +218,21 @@ def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     Every round takes the smallest label among neighbours and then that label's own label, and is written.
     """
     both = common.written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "join-edges")
-    labels = common.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "join-labels")
+    total = both.count()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label"), F.count("*").alias("degree"))
+    labels = common.written(labels, "join-labels")
     for _ in range(most_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", F.least("label", "near").alias("new"), "label")
-        up = labels.select(F.col("node").alias("up"), F.col("label").alias("up_label"))
-        step = step.join(up, step.new == up.up, "left").select("node", F.least("new", F.coalesce("up_label", "new")).alias("label"), (F.least("new", F.coalesce("up_label", "new")) < F.col("label")).alias("moved"))
+        ends = labels.select(F.col("node").alias("b"), "label", "degree")
+        near = common.resolve(both, ends, "b", "degree", total, F.col("a")).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, labels.node == near.a).select("node", "degree", "label", F.least("label", "near").alias("new"))
+        heads = step.groupBy("new").agg(F.count("*").alias("n"))  # a label that many nodes have is looked up once
+        heads = heads.join(labels.select(F.col("node").alias("new"), F.col("label").alias("up")), "new")
+        new = F.least("new", "up")
+        step = common.resolve(step, heads, "new", "n", total, F.col("node")).select("node", "degree", new.alias("label"), (new < F.col("label")).alias("moved"))
         step = common.written(step, "join-labels")
-        labels = step.select("node", "label")
+        labels = step.drop("moved")
         if step.filter("moved").isEmpty():
-            return labels
+            return labels.drop("degree")
     raise RuntimeError("components did not settle")
 
 
@@ -233,8 +244,8 @@ def grouped(docs: DataFrame, sketched: DataFrame, threshold: float, id_col: str,
     counts = links.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     linked = labels.join(counts, F.col("node") == F.col("a"), "left").select(F.col("node").alias("rep"), F.col("label").alias("group"), "links")
     linked = common.written(classes.select("rep", F.col("doc_id").alias("text_class")).join(linked, "rep"), "join-linked")
-    names = linked.groupBy("group").agg(F.min("text_class").alias("class_id"))
-    linked = linked.join(names, "group").select("rep", "group", "class_id", "links")
+    names = linked.groupBy("group").agg(F.min("text_class").alias("class_id"), F.count("*").alias("n"))
+    linked = common.resolve(linked, names, "group", "n", linked.count(), F.col("rep")).select("rep", "group", "class_id", "links")
     named = classes.join(linked, "rep", "left").select("set_key", F.coalesce("group", "rep").alias("group"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("doc_id").alias("text_class"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "digest")
     return common.written(named, "join-named")
 
@@ -268,8 +279,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     best = best.select(id_of("row.text_class").alias("_id"), F.col("row.digest").alias("_digest"), F.lit(True).alias("_stays"))
     met = looked_up(sketched.select("doc_id", "digest", "set_key"), busy).filter("copies is not null").select(id_of("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     met = common.written(met.join(best, ["_id", "_digest"], "left").withColumn("_row", F.xxhash64("_id", "_digest")), "join-met")
-    rows = docs.withColumn("_digest", digest_of(text_col)).withColumn("_id", id_of(id_col)).withColumn("_row", F.xxhash64("_id", "_digest"))
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("whole")
+    rows = docs.select(whole, digest_of(text_col).alias("_digest"), id_of(id_col).alias("_id")).withColumn("_row", F.xxhash64("_id", "_digest"))
     rows = common.marked(rows, common.key_filter(met, "_row"), "_row", "_maybe").drop("_row")
-    own = [F.col(f"`{c}`") for c in docs.columns]
     maybe = rows.filter("_maybe").join(met.select("_id", "_digest", F.coalesce("_stays", F.lit(False)).alias("_stays")).hint("merge"), ["_id", "_digest"], "left")
-    return rows.filter("not _maybe").select(*own).unionAll(maybe.filter(F.coalesce("_stays", F.lit(True))).dropDuplicates(["_id", "_digest"]).select(*own))
+    stay = rows.filter("not _maybe").select("whole").unionAll(maybe.filter(F.coalesce("_stays", F.lit(True))).dropDuplicates(["_id", "_digest"]).select("whole"))
+    return stay.select(*[F.col(f"whole.c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -160,3 +160,30 @@ def test_one_id_over_many_ranges(spark, monkeypatch):
     assert len(got) == 80 and len({r.edited_sha256 for r in got if r.doc_id == 7}) == 61
     own = {p.tobytes().hex() for p in fingerprints.prints([t for _, t in rows])}
     assert {r.fingerprint for r in got} == own
+
+
+def test_hot_band_and_hub(spark):
+    """A passage in a third of the texts, each different: one band, one pivot, a star of edges."""
+    shared = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"{shared} own{k}") for k in range(300)] + [(1000 + k, f"text {k} " * 3 + f"{k * 7} ends here") for k in range(600)]
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_join.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == (0, 299) for k in range(300)) and len(got) == 900
+    star = spark.createDataFrame([(-5, k) for k in range(2000)] + [(3000 + k, 3001 + k) for k in range(40)], "a long, b long")
+    labels = {r.node: r.label for r in ngram_join.components(star).collect()}
+    assert all(labels[k] == -5 for k in range(2000)) and {labels[3000 + k] for k in range(41)} == {3000}
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    """Every name that the operators use themselves, as a column of the caller's."""
+    import corpus_pipeline
+
+    clean = "the quiet river runs along the old town and its gardens where people walk on summer evenings after work"
+    names = ["_id", "_digest", "_row", "_maybe", "_near", "_page", "_bits", "_stays", "row", "digest", "whole", "_own", "_salt", "_text", "_null", "_best", "_hash", "words", "label", "score", "toxic", "quality", "copies", "rep"]
+    rows = [(k, text, *[f"{n}{k}" for n in names]) for k, text in enumerate([clean, clean, clean + " today", "other words in a plain row that tell of a long road over hills and far away from here", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, "/root/testdata/sf0.001")
+        assert kept.columns == docs.columns, name
+        found = {tuple(r) for r in kept.collect()}
+        assert found <= set(rows) and len(found) >= 2, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 4
