@@ -44,8 +44,6 @@ FEATURES = {
     "dup_lines": "n_dup_lines / n_lines",
     "repeated": "n_repeat_words / n_words",
     "distinct": "n_distinct / n_words",
-    "capitals": "n_capitals / word_chars",
-    "digits": "n_digits / word_chars",
     "line_words": "n_words / n_lines",
 }
 #: Intervals of a feature, conditions of a rule, rules of a list.
@@ -66,8 +64,8 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def repeats(words: Column) -> Column:
         """Words that lie in a window found twice or more."""
-        hashes = F.transform(words, lambda w: F.xxhash64(w))
-        keys = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda k: F.xxhash64(F.slice(hashes, k, WINDOW)))
+        windows = lambda hashes: F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda k: F.xxhash64(*[F.get(hashes, k + j) for j in range(WINDOW)]))
+        keys = let(F.transform(words, lambda w: F.xxhash64(w)), windows)
         marked = lambda k: F.when(F.size(F.array_distinct(k)) < F.size(k), covered(k)).otherwise(F.lit(0))
         return F.when(F.size(words) > WINDOW, let(keys, marked)).otherwise(F.lit(0))
 
@@ -86,17 +84,15 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
         )
 
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, BLANKS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "")
     signs = lambda chars: reduce(lambda a, b: a + b, [F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in chars])
     found = docs.select(
         F.col(id_col).alias("doc_id"),
         let(F.filter(F.split(text, BLANKS), lambda w: w != ""), counted).alias("w"),
         signs(SYMBOLS).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
-        (F.octet_length(text) - F.octet_length(F.regexp_replace(text, "[A-Z]+", ""))).cast("long").alias("n_capitals"),
-        (F.octet_length(text) - F.octet_length(F.regexp_replace(text, "[0-9]+", ""))).cast("long").alias("n_digits"),
     )
-    return found.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "w.n_distinct", "n_capitals", "n_digits")
+    return found.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "w.n_distinct")
 
 
 def base_failed() -> Column:

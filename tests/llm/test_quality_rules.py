@@ -52,17 +52,17 @@ def test_list_is_learned_on_one_part_and_holds_on_another(spark):
     rng = random.Random(3)
     rows, labels = [], []
     for k in range(3000):
-        s = {"n_words": rng.randint(20, 900), "word_chars": 0, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 10, "n_distinct": 0, "n_capitals": 0, "n_digits": 0}
+        s = {"n_words": rng.randint(20, 900), "word_chars": 0, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "n_lines": 10, "n_distinct": 0}
         s["word_chars"] = int(s["n_words"] * rng.uniform(3, 8))
         s["n_symbols"] = int(s["word_chars"] * rng.uniform(0, 0.2))
-        s["n_digits"] = int(s["word_chars"] * rng.uniform(0, 0.2))
+        s["n_distinct"] = int(s["n_words"] * rng.uniform(0, 1))
         s["n_dup_lines"] = rng.randint(0, 5)
-        bad = s["n_symbols"] > 0.15 * s["word_chars"] or (s["n_dup_lines"] >= 4 and s["n_digits"] > 0.1 * s["word_chars"])
+        bad = s["n_symbols"] > 0.15 * s["word_chars"] or (s["n_dup_lines"] >= 4 and s["n_distinct"] < 0.5 * s["n_words"])
         rows.append((k, *s.values(), bad))
         labels.append((k, int(not bad) if rng.random() > 0.01 else int(bad)))
     stats = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{c} long" for c in s) + ", truth boolean")
     rules = quality_rules.learn(stats.filter("doc_id < 2000"), spark.createDataFrame(labels, "doc_id long, quality int"))
-    assert 2 <= len(rules) <= 6 and {c.name for r in rules for c in r} >= {"symbols", "dup_lines", "digits"}
+    assert 2 <= len(rules) <= 6 and {c.name for r in rules for c in r} >= {"symbols", "dup_lines", "distinct"}
     right = stats.filter("doc_id >= 2000").withColumn("said", quality_rules.expression(rules).isNotNull()).filter("said = truth").count()
     assert right >= 960
     assert all(str(c) for r in rules for c in r)
