@@ -25,8 +25,19 @@ def norm_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(c), "[^A-Z0-9]+", " "))
 
 
+def casefold(c: Column) -> Column:
+    """Full case folding on the JVM: letters that differ in case only, or by a special upper case (ß and SS), become equal.
+
+    Lower, upper, lower again covers all full mappings; a final sigma becomes a plain one, and a dotless i, whose upper case is
+    another letter's, stays what it is. Cherokee folds to small letters here, to capitals in the standard.
+    """
+    kept = lambda x: F.substring(x, 1, 1 << 30)  # noqa: E731 - the whole text; the optimiser drops a case change right under another
+    part = lambda x: F.replace(F.lower(kept(F.upper(kept(F.lower(x))))), F.lit("ς"), F.lit("σ"))
+    return F.when(c.contains("ı"), F.array_join(F.transform(F.split(c, "ı"), part), "ı")).otherwise(part(c))
+
+
 def dedup_key(c: Column) -> Column:
-    return F.lower(squeeze(c))
+    return casefold(squeeze(c))
 
 
 def clean_mrz(c: Column) -> Column:

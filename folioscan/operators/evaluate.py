@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions import text as T
+
 #: Dimensions with one value a sample, and those with several (a text, values between commas).
 SINGLE = ("design_family", "year_band", "issuer", "state", "side", "capture", "resolution", "blur", "glare", "rotation", "crop", "perspective", "compression")
 MULTIPLE = ("language", "script")
@@ -18,8 +20,8 @@ FIELD_COUNTS = ("field_expected", "field_exact", "field_normalized")
 
 
 def normalize_value(c: Column) -> Column:
-    """Lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    """Case folded, letters and digits only."""
+    return F.regexp_replace(T.casefold(c), r"[^\p{L}\p{N}]", "")
 
 
 def field_outcomes(samples: DataFrame, results: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Rural-employment job cards: labels in many scripts with recognition errors, household fields, the member table.
 
-A label's score needs no join: every region meets the fixed label list in one expression that lets through only equal,
-containing or nearly equal ones (edit distance bounds the likeness from above), and only those few pairs reach the Arrow function.
+Labels are scored once for each different text: an index of the labels' words and letter pairs gives each text the few labels
+it may be like, and only those reach the edit distance and the Arrow function. Scores are staged, since six steps read them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,7 @@ from pyspark.sql.window import Window
 from folioscan.functions import likeness
 from folioscan.functions import multiscript as M
 from folioscan.plans import job_card as L
+from folioscan.sources.staging import looked_up, staged
 
 PAGE = ["doc_id", "page_no"]
 #: Least likeness of a label; of a region that is known to be a label.
@@ -24,27 +27,88 @@ CARD = r"(?<![A-Z0-9])([A-Z]{2}\s*[-–—]\s*[0-9OILSBZGQD]{1,10}(?:\s*[-/–
 LETTERS, DIGITS = "OQDILZSGB", "000112568"
 
 
+def index_of(aliases: list[tuple[str, str]]) -> list[tuple[str, str, int]]:
+    """Rows (kind, key, alias number) by which texts find the labels they may score for, and no others.
+
+    ``run``: a run of words that is the label. ``gram``: two letters of a label that may be met with errors; what keeps its likeness
+    keeps most of these. ``size``: a text length at which a label's grams prove nothing (few or repeated ones), so all texts count.
+    """
+    rows = []
+    for k, (_, alias) in enumerate(aliases):
+        rows.append(("run", alias, k))
+        if len(alias) >= 5:
+            rows += [("gram", g, k) for g in sorted(_pairs(alias))]
+            rows += [("size", str(m), k) for m in _sizes(len(alias)) if _least(alias, m) <= 0]
+    return rows
+
+
+def _pairs(word: str) -> set[str]:
+    return {word[i : i + 2] for i in range(len(word) - 1)}
+
+
+def _sizes(n: int) -> range:
+    """Lengths of texts that may be like a label of n letters."""
+    return range(math.ceil(0.65 * n - 1e-9), math.floor(1.45 * n + 1e-9) + 1)
+
+
+def _edits(n, m):
+    """Most edits between a label and a text that is NEAR it: the likeness is at most 1 - edits / (n + m)."""
+    return (1 - NEAR) * (n + m)
+
+
+def _least(alias: str, m: int) -> int:
+    """Fewest different pairs of letters that a text of m letters shares with a label it is NEAR; an edit changes two."""
+    return len(_pairs(alias)) - 2 * math.floor(_edits(len(alias), m) + 1e-9)
+
+
+def text_scores(texts: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
+    """text, group, score of different texts: one and a bit for equality (whole text or the text before a delimiter), a little less for
+    containment, else the likeness of that text and the label; the best label of each group, NEAR or more.
+
+    Texts meet the labels through ``index_of`` in one broadcast join on keys; only labels that share enough grams are compared.
+    """
+    spark = texts.sparkSession
+    aliases = sorted({(g, M.as_label(a)) for g, names in labels.items() for a in names})
+    index = F.broadcast(spark.createDataFrame(index_of(aliases), "kind string, key string, alias_no int"))
+    table = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(a).alias("alias"), F.lit(len(a)).alias("n"), F.lit(len(_pairs(a))).alias("pairs")) for g, a in aliases])
+    rows = texts.withColumns({"whole": M.label_of(F.col("text")), "head": M.label_of(F.split("text", DELIMITERS, 2)[0])}).filter("whole != ''")
+    words = F.split("whole", " ")
+    sizes = sorted({len(a.split(" ")) for _, a in aliases})
+    none = F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
+        """All runs of n words."""
+        return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(none)
+
+    held = F.array_append(F.flatten(F.array(*map(runs, sizes))), F.col("head"))
+    m = F.length("head")
+    grams = F.when(m >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), m - 1), lambda i: F.col("head").substr(i, F.lit(2))))).otherwise(none)
+    keyed = lambda kind, keys: F.transform(keys, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    keys = F.concat(keyed("run", F.array_distinct(held)), keyed("gram", grams), keyed("size", F.array(m.cast("string"))))
+    met = rows.select("text", "whole", "head", F.explode(keys).alias("k")).select("text", "whole", "head", "k.*").join(index, ["kind", "key"])
+    met = met.groupBy("text", "whole", "head", "alias_no").agg(F.count_if(F.col("kind") == "gram").alias("shared"), F.bool_or(F.col("kind") == "run").alias("held"), F.bool_or(F.col("kind") == "size").alias("any"))
+    met = met.withColumn("a", F.get(table, F.col("alias_no"))).select("*", "a.*")
+    n = F.col("n")
+    enough = F.col("any") | (F.col("shared") >= F.col("pairs") - 2 * F.floor(_edits(n, m) + 1e-9))
+    close = (n >= 5) & (m >= 0.65 * n) & (m <= 1.45 * n) & enough & (F.levenshtein("head", "alias") <= _edits(n, m))
+    equal = (F.col("whole") == F.col("alias")) | (F.col("head") == F.col("alias"))
+    length = F.least(n, F.lit(100)) / 1000
+    ratio = likeness.sequence_ratio(F.when(~F.col("held") & close, F.col("head")), F.col("alias"))
+    scored = met.filter(F.col("held") | close).withColumn("score", F.when(equal, 1.0 + length).when(F.col("held"), 0.99 + length).otherwise(ratio)).filter(F.col("score") >= NEAR)
+    return scored.groupBy("text", "group").agg(F.max("score").alias("score"))
+
+
 def label_scores(rows: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
-    """Adds group and score, a row for every group whose label scores NEAR or more: one and a bit for equality (whole text or
-    the text before a delimiter), a little less for containment, else the likeness of that text and the label."""
-    listed = [(g, M.as_label(a)) for g, names in labels.items() for a in names]
-    table = F.array(*[F.struct(F.lit(g).alias("group"), F.lit(a).alias("alias"), F.lit(f" {a} ").alias("inside"), F.lit(len(a)).alias("n")) for g, a in listed])
-    rows = rows.withColumns({"_whole": M.label_of(F.col("text")), "_head": M.label_of(F.split("text", DELIMITERS, 2)[0])})
-    rows = rows.withColumns({"_padded": F.concat(F.lit(" "), F.col("_whole"), F.lit(" ")), "_m": F.length("_head")})
-
-    def passes(x: Column) -> Column:
-        a, n, m = x["alias"], x["n"], F.col("_m")
-        held = F.col("_padded").contains(x["inside"])
-        close = (n >= 5) & (m >= 0.65 * n) & (m <= 1.45 * n) & (F.levenshtein(F.col("_head"), a) <= (1 - NEAR) * (n + m))
-        return held | (F.col("_head") == a) | close
-
-    pairs = rows.filter("_whole != ''").withColumn("_x", F.explode(F.filter(table, passes))).select("*", "_x.*")
-    equal = (F.col("_whole") == F.col("alias")) | (F.col("_head") == F.col("alias"))
-    held = F.col("_padded").contains(F.col("inside"))
-    length = F.least(F.length("alias"), F.lit(100)) / 1000
-    ratio = likeness.sequence_ratio(F.when(~equal & ~held, F.col("_head")), F.col("alias"))
-    scored = pairs.withColumn("score", F.when(equal, 1.0 + length).when(held, 0.99 + length).otherwise(ratio)).filter(F.col("score") >= NEAR)
-    return scored.groupBy(*rows.columns, "group").agg(F.max("score").alias("score")).drop("_whole", "_head", "_padded", "_m")
+    """Adds group and score, a row for every group whose label scores NEAR or more.
+
+    Each different text is judged once, whatever the number of its copies; texts that every document bears are looked up by broadcast.
+    """
+    counts = staged(rows.filter("text is not null").groupBy("text").agg(F.count("*").alias("copies")), "label-texts")
+    scores = text_scores(counts.select("text"), labels).groupBy("text").agg(F.collect_list(F.struct("group", "score")).alias("scores"))
+    found = staged(scores.join(counts, "text"), "label-scores")
+    total = counts.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    met = looked_up(rows, found, "text", "copies", total, F.col("doc_id"))
+    return met.select(*rows.columns, F.inline("scores"))
 
 
 def of_groups(scores: DataFrame, groups, least: float = NEAR) -> DataFrame:
@@ -183,7 +247,8 @@ def members(regions: DataFrame, scores: DataFrame) -> DataFrame:
 
 def extract_job_cards(regions: DataFrame) -> DataFrame:
     """Fifteen household fields of every document, members as an array in order. No identity, bank or voter number is kept."""
-    scores = label_scores(regions, L.FIELDS | L.ENDS | L.HEADERS).persist()  # read six times; as many rows as there are labels
+    regions = staged(regions, "job-regions")
+    scores = staged(label_scores(regions, L.FIELDS | L.ENDS | L.HEADERS), "job-labels")  # as many rows as there are labels
     found = values(regions, scores)
     names = [f for f in (*L.FIELDS, *L.ENDS) if f != "members"]
     wide = found.groupBy("doc_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"v_{f}") for f in names])

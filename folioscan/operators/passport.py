@@ -1,4 +1,4 @@
-"""Passports: biodata page checked against its zone, back page, and the routing of documents of any kind.
+"""Passports: biodata page checked against its zone, and the back page.
 
 Every step is an aggregate or a join on doc_id; labels are few, so geometry joins carry few rows.
 """
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import dates, likeness
 from folioscan.functions import text as T
-from folioscan.operators import assess, classify, layout, mrz
+from folioscan.operators import layout, mrz
 from folioscan.operators import regions as R
 from folioscan.plans import dims
 
@@ -102,32 +102,6 @@ def overall_confidence(validation: Column, page: Column) -> Column:
     return F.bround(F.least(F.greatest(validation * 0.85 + page * 0.15, F.lit(0.0)), F.lit(1.0)), 3)
 
 
-def scan_documents(regions: DataFrame, as_of: str, codes: DataFrame) -> DataFrame:
-    """One routed row per document of any kind: doc_id, document_type, page_type, status, confidence, low_confidence, errors, warnings.
-
-    The lower part of a page tells biodata from back pages; those two go the passport's way, all others are
-    classified on the whole page and go through the cards' extraction and assessment.
-    """
-    regions = R.dealt(regions)
-    pages = classify.classify_pages(R.targeted(regions))
-    order = F.when(F.col("page_type") == "biodata", 2).when(F.col("page_type") == "non_biodata", 1).otherwise(0)
-    kinds = pages.groupBy("doc_id").agg(F.max_by(F.struct("page_type", F.col("confidence").alias("page_confidence"), "biodata", "non_biodata", "has_mrz"), F.struct(order, F.col("confidence"), -F.col("page_no"))).alias("k")).select("doc_id", "k.*")
-    of = lambda *types: regions.join(kinds.filter(F.col("page_type").isin(*types)).select("doc_id"), "doc_id", "left_semi")
-    judged = read_passports(of("biodata"), codes).join(kinds.select("doc_id", "page_confidence"), "doc_id")
-    judged = judged.withColumn("final", overall_confidence(F.col("confidence"), F.col("page_confidence")))
-    good = F.col("overall_ok") & F.coalesce(F.col("passport_number") != "", F.lit(False)) & F.coalesce(F.col("surname") != "", F.lit(False)) & (F.col("final") >= 0.7)
-    zone = F.when(F.col("mrz_errors") != "", F.split("mrz_errors", ",")).when(~F.col("has_mrz"), F.array(F.lit("MRZ_NOT_DETECTED"))).otherwise(F.array().cast("array<string>"))
-    biodata = judged.select("doc_id", F.lit("passport").alias("document_type"), F.lit("passport_biodata").alias("page_type"), F.when(good, "success").otherwise("failure").alias("status"), F.col("final").alias("confidence"),
-        F.when(good | (F.size("errors") > 0), F.col("errors")).otherwise(F.array(F.lit("LOW_CONFIDENCE_EXTRACTION"))).alias("errors"), F.concat(zone, F.col("warnings")).alias("warnings"))
-    none = F.array().cast("array<string>")
-    back = kinds.filter("page_type = 'non_biodata'").select("doc_id", F.lit("passport").alias("document_type"), F.lit("passport_non_biodata").alias("page_type"), F.lit("success").alias("status"), F.col("page_confidence").alias("confidence"), none.alias("errors"), F.array(F.concat(F.lit("NON_BIODATA_HINTS_"), F.col("non_biodata").cast("string"))).alias("warnings"))
-    cards = assess.scan_results(regions.join(kinds.filter(F.col("page_type").isin("biodata", "non_biodata")).select("doc_id"), "doc_id", "left_anti"), as_of)
-    cards = cards.select("doc_id", "document_type", F.when(F.col("status") == "unsupported_page", "unknown").otherwise(F.col("document_type")).alias("page_type"), "status", "confidence", F.filter(F.split(F.coalesce("errors", F.lit("")), ","), lambda e: e != "").alias("errors"), none.alias("warnings"))
-    out = biodata.unionByName(back).unionByName(cards)
-    text = lambda c: F.array_join(c, ",").alias(c)
-    return out.select("doc_id", "document_type", "page_type", "status", "confidence", ((F.col("confidence") >= 0.3) & (F.col("confidence") < 0.7) & (F.col("status") != "unsupported_page") & (F.col("page_type") != "passport_non_biodata")).alias("low_confidence"), text("errors"), text("warnings"))
-
-
 def mostly_non_latin(c: Column) -> Column:
     """Over half of the letters are beyond ASCII; false without letters."""
     return T.letters_share(c, r"\x{80}-\x{10FFFF}") > 0.5

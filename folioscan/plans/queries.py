@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from folioscan.functions import checksum, dates
 from folioscan.functions import identifiers as I
 from folioscan.functions import text as T
-from folioscan.operators import assess, cards, classify, evaluate, extract, extras, job_card, layout, mrz, npr, passport
+from folioscan.operators import assess, cards, classify, evaluate, extract, extras, job_card, layout, mrz, npr, passport, routing
 from folioscan.operators import regions as R
 from folioscan.plans import dims
 from folioscan.plans import fixtures as X
 from folioscan.sources import ingest, manifest
+from folioscan.sources.staging import staged
 from folioscan.streaming import jobs
 
 QUERIES = {}
@@ -72,7 +73,7 @@ on(X.regions, "extract_driving_licence", extract.extract_driving_licence)
 on(X.regions, "extract_aadhaar", extract.extract_aadhaar)
 on(X.regions, "extract_npr_letter", extract.extract_npr_letter)
 on(X.regions, "extract_nrega", extract.extract_nrega)
-on(X.regions, "scan_results", lambda r: assess.scan_results(r.persist(), AS_OF))  # the derivation is dear; a stored table needs no cache
+on(X.regions, "scan_results", lambda r: assess.scan_results(staged(r, "regions"), AS_OF))
 on(X.passports, "validate_passport", lambda r: passport.validate_passport(r, dims.country_dim(r.sparkSession)).drop("errors", "warnings"))
 on(X.passports, "passport_fields", lambda r: passport.passport_fields(r, dims.country_dim(r.sparkSession)))
 on(X.passports, "read_passports", lambda r: passport.read_passports(r, dims.country_dim(r.sparkSession)).select("doc_id", "confidence", "passport_number", "overall_ok"))
@@ -86,7 +87,7 @@ def extract_job_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents classified as job cards, read as such."""
     regions = X.regions(spark, sf_dir)
     cards_ = classify.classify_documents(regions).filter("document_type = 'nrega_job_card'").select("doc_id")
-    routed = regions.join(cards_, "doc_id", "left_semi").persist()  # read by every label group; stored tables need no cache
+    routed = regions.join(cards_, "doc_id", "left_semi")
     return job_card.extract_job_cards(routed).withColumn("members", F.to_json("members"))
 
 
@@ -94,15 +95,26 @@ on(X.regions, "npr_letters", npr.npr_letters)
 on(X.regions, "extract_npr_fields", npr.extract_npr_fields)
 
 
-@query
-def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards, biodata pages and back pages in one table, told apart and routed."""
+def of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of cards, biodata pages and back pages in one table."""
     tables = [X.regions(spark, sf_dir), X.passports(spark, sf_dir), X.back_pages(spark, sf_dir)]
     rows = None
     for k, t in enumerate(tables):
         t = t.withColumn("doc_id", F.col("doc_id") * len(tables) + k)
         rows = t if rows is None else rows.unionByName(t)
-    return passport.scan_documents(R.dealt(rows).persist(), AS_OF, dims.country_dim(spark))  # read by each route
+    return rows
+
+
+@query
+def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of all kinds told apart, routed and read whole."""
+    return routing.route_documents(of_all_kinds(spark, sf_dir), AS_OF, dims.country_dim(spark))
+
+
+@query
+def published_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of documents of all kinds as JSON with all keys."""
+    return ingest.to_json(routing.result_objects(scan_documents(spark, sf_dir)), with_id=False)
 
 
 on(X.regions, "results_to_json", lambda r: ingest.to_json(classify.classify_documents(r).select("doc_id", "document_type")))
@@ -110,7 +122,7 @@ on(X.regions, "results_to_json", lambda r: ingest.to_json(classify.classify_docu
 
 @query
 def assess_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = X.regions(spark, sf_dir).persist()
+    regions = staged(X.regions(spark, sf_dir), "regions")
     classes, sound = classify.classify_documents(regions), R.trusted(regions)
     return assess.assess(extract.extract_all(sound, classes), sound, classes, AS_OF).withColumn("identifier_valid", F.col("identifier_valid").cast("string"))
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LARGEST = 10 * 2**20
 
@@ -43,12 +44,36 @@ def camel(name: str) -> str:
     return head + "".join(w.title() for w in rest)
 
 
-def to_json(results: DataFrame) -> DataFrame:
-    """doc_id, json: one camelCase object per result, null keys kept."""
-    return results.select("doc_id", F.to_json(F.struct(*[F.col(c).alias(camel(c)) for c in results.columns]), {"ignoreNullFields": "false"}).alias("json"))
+def _named(c: Column, kind: T.DataType, name, order) -> Column:
+    """The value with the keys of all structs in it renamed by ``name`` and put in ``order``, at any depth; maps by key."""
+    if isinstance(kind, T.StructType):
+        fields = [_named(c[f.name], f.dataType, name, order).alias(name(f.name)) for f in order(kind.fields)]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _named(x, kind.elementType, name, order))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(c)))
+    return c
 
 
-def write_report(sections: dict[str, DataFrame], path: str) -> None:
-    """Sections of a report as JSON lines, a folder each; parents are made. ``sorted_report`` gives a section in order."""
+def to_json(results: DataFrame, with_id: bool = True) -> DataFrame:
+    """doc_id, json: one camelCase object per result, at any depth; null keys kept. ``with_id``: the object has the id, too."""
+    body = [c for c in results.schema.fields if with_id or c.name != "doc_id"]
+    cells = [_named(F.col(f"`{f.name}`"), f.dataType, camel, list).alias(camel(f.name)) for f in body]
+    return results.select("doc_id", F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def report_rows(sections: dict[str, DataFrame]) -> DataFrame:
+    """section, body: every row of every section as a JSON object with sorted keys at any depth, null keys kept."""
+    by_name = lambda fields: sorted(fields, key=lambda f: f.name)
+    out = None
     for name, rows in sections.items():
-        rows.write.mode("overwrite").json(f"{path}/{name}")
+        cells = [_named(F.col(f"`{f.name}`"), f.dataType, str, by_name).alias(f.name) for f in by_name(rows.schema.fields)]
+        part = rows.select(F.lit(name).alias("section"), F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}).alias("body"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def write_report(sections: dict[str, DataFrame], path: str) -> None:
+    """Sections of a report as JSON lines with sorted keys, one folder ``section=<name>`` each; parents are made, an older report goes."""
+    report_rows(sections).write.mode("overwrite").partitionBy("section").text(path)

@@ -59,3 +59,47 @@ def test_whole_card(spark):
 def test_page_without_anything(spark):
     row = job_card.extract_job_cards(page(spark, [("hello", 0, 0, 10, 10)])).first()
     assert {v for k, v in row.asDict().items() if k not in ("doc_id", "members")} == {None} and row.members == []
+
+
+def test_index_finds_what_all_pairs_find(spark):
+    """Planted texts with errors, in several scripts, against the likeness of every text and label."""
+    import difflib
+    import random
+    import re
+
+    from folioscan.plans import job_card as L
+
+    rng = random.Random(4)
+    labels = L.FIELDS | L.ENDS | L.HEADERS
+    aliases = [(g, M.as_label(a)) for g, names in labels.items() for a in names]
+    texts = {"", "x", "no", "Village: RAMPUR", "the gram panchayat office", "Name - SITA", "aaaa aaaa", "12 / 4"}
+    for _, a in aliases:
+        for _ in range(3):
+            w = list(a)
+            for _ in range(rng.randint(0, 4)):
+                k = rng.randrange(len(w) + 1)
+                w[k : k + rng.randint(0, 1)] = rng.choice(["", "x", "e", " ", "क"])
+            texts.add("".join(w) + rng.choice(["", ": value", " - x", " more"]))
+    want = {}
+    for text in texts:
+        whole, head = M.as_label(text), M.as_label(re.split(job_card.DELIMITERS, text, maxsplit=1)[0])
+        for g, a in aliases:
+            n, m = len(a), len(head)
+            if not whole:
+                continue
+            score = 1 + min(n, 100) / 1000 if a in (whole, head) else 0.99 + min(n, 100) / 1000 if f" {a} " in f" {whole} " else 0
+            if not score and n >= 5 and 0.65 * n <= m <= 1.45 * n:
+                score = difflib.SequenceMatcher(None, head, a).ratio()
+            if score >= job_card.NEAR:
+                want[text, g] = max(want.get((text, g), 0), score)
+    got = {(r.text, r.group): r.score for r in job_card.text_scores(spark.createDataFrame([(t,) for t in texts], "text string"), labels).collect()}
+    assert got.keys() == want.keys() and len(got) > 300
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_repeated_texts_are_scored_once(spark):
+    from folioscan.plans import job_card as L
+
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(0).alias("seq"), F.when(F.col("id") % 3 == 0, "Village").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    scored = job_card.label_scores(rows, L.FIELDS).filter("group = 'village'")
+    assert scored.count() == 1000 and scored.agg(F.min("score"), F.max("score")).first() == (1.007, 1.007)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions import dates, likeness
-from folioscan.operators import npr, passport
+from folioscan.operators import npr, passport, routing
 from folioscan.plans import dims
 from test_engine import LINE1, LINE2, page
 
@@ -69,7 +69,7 @@ def test_routing_of_documents(spark):
 
     back = [("Name of Father", 40, 300, 220, 325), ("A", 40, 330, 220, 350), ("Address", 40, 400, 220, 425), ("FILE NO", 40, 500, 220, 525)]
     pages = page(spark, biodata(), 1).union(page(spark, PAN, 2)).union(page(spark, back, 3)).union(page(spark, [("total 100", 0, 0, 10, 10)], 4)).union(page(spark, [("Surname", 40, 300, 220, 325), ("ROY", 40, 330, 220, 350), ("Date of Birth", 40, 400, 220, 425)], 5))
-    got = {r.doc_id: r for r in passport.scan_documents(pages, "2024-06-01", codes(spark)).collect()}
+    got = {r.doc_id: r for r in routing.route_documents(pages, "2024-06-01", codes(spark)).collect()}
     assert (got[1].page_type, got[1].status, got[1].low_confidence) == ("passport_biodata", "success", False)
     assert (got[2].document_type, got[2].status) == ("pan", "success")
     assert (got[3].page_type, got[3].status, got[3].warnings) == ("passport_non_biodata", "success", "NON_BIODATA_HINTS_3")
