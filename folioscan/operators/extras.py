@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from folioscan.functions import identifiers as I
 from folioscan.functions import text as T
+from folioscan.operators.evaluate import exact_median
 
 #: Vehicle class tokens of a licence, in the order that decides which of two overlapping ones counts.
 VEHICLES = ["MCWOG", "MCWG", "MCEX50CC", "MGV", "HGMV", "HMV", "HPMV", "LMV-NT", "LMV-TR", "LMV", "TRANS", "TRACTOR", "ERIG", "ROAD ROLLER", "MC", "FVG", "PSV", "3WT", "3WNT", "INVCRG"]
@@ -152,7 +153,10 @@ def scan_benchmark(expected: DataFrame, actual: DataFrame) -> DataFrame:
     share = lambda a, b: F.bround(F.coalesce(F.try_divide(a.cast("double"), b), F.lit(1.0)), 6)
     out = rows.agg(
         F.bround(F.avg(F.coalesce(status, F.lit(False)).cast("double")), 6).alias("status_rate"), share(F.sum(exact), F.sum(F.size(names))).alias("field_rate"), share(F.sum(zone), F.count(zone)).alias("mrz_rate"), share(F.sum(back), F.count(back)).alias("non_biodata_rate"),
-        F.coalesce(F.median(F.when(biodata, F.col("a_processing_ms"))), F.lit(0.0)).alias("biodata_median_ms"), F.bround(F.avg("a_confidence"), 6).alias("mean_confidence"), F.bround(F.avg("a_processing_ms"), 6).alias("mean_ms"), F.sum("a_processing_ms").alias("total_ms"),
+        F.bround(F.avg("a_confidence"), 6).alias("mean_confidence"), F.bround(F.avg("a_processing_ms"), 6).alias("mean_ms"), F.sum("a_processing_ms").alias("total_ms"),
     )
+    middle = exact_median(rows.select(F.lit("biodata").alias("kind"), F.when(biodata, F.col("a_processing_ms")).alias("ms")), "kind", "ms")
+    middle = middle.agg(F.coalesce(F.max("median"), F.lit(0.0)).alias("biodata_median_ms"), F.lit(1).alias("_one"))
+    out = out.withColumn("_one", F.lit(1)).join(F.broadcast(middle), "_one").drop("_one")  # one row each
     gates = {"status_rate": 0.95, "field_rate": 0.97, "mrz_rate": 0.99, "non_biodata_rate": 0.95}
     return out.select("*", *[(F.col(c) >= least).alias(f"{c}_ok") for c, least in gates.items()], (F.col("biodata_median_ms") <= 5000).alias("biodata_median_ok"))

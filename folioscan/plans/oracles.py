@@ -309,5 +309,17 @@ SQL["best_candidate"] = f"SELECT doc_id, CASE WHEN b > a THEN 'full' ELSE 'targe
 SQL["country_check"] = f"SELECT doc_id, 'UNKNOWN_COUNTRY_CODE_' || c AS warning FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'UTO' ELSE country END AS c FROM ({SQL['parse_mrz']})) WHERE c NOT IN (SELECT upper(substr(n_name, 1, 3)) FROM nation)"
 SQL["passport_confidence"] = f"WITH {PASSPORTS} SELECT r.doc_id, round_even(least(1.0, 0.4 * coalesce(CASE WHEN overall_ok THEN 1.0 ELSE 0.7 * (CAST(number_ok AS INT) + CAST(birth_ok AS INT) + CAST(expiry_ok AS INT)) / 3 END, 0) + 0.15 + 0.3 * ocr), 3) AS confidence FROM (SELECT doc_id, avg(confidence) AS ocr FROM regions GROUP BY doc_id) r LEFT JOIN ({SQL['parse_mrz']}) z USING (doc_id)"
 SQL["legacy_benchmark"] = f"WITH {EVAL} SELECT status_match, field_exact, status_match >= 0.95 AS status_gate, field_exact >= 0.97 AS field_gate FROM (SELECT round_even(avg(CAST(expected_accepted = actual_accepted AS INT)), 6) AS status_match, round_even(avg(CAST(complete_exact AS INT)), 6) AS field_exact FROM observed)"
+_page = lambda t: f"CASE s.side WHEN 'front' THEN 'passport_biodata' WHEN 'back' THEN 'passport_non_biodata' ELSE {t}.document_type END"
+_share = lambda a, b: f"round_even(coalesce({a} / nullif(CAST({b} AS DOUBLE), 0), 1.0), 6)"
+SQL["scan_benchmark"] = f"""WITH {EVAL}, {LOG}, both_ AS (
+        SELECT s.accepted AS e_ok, r.accepted AS a_ok, s.document_type AS e_type, r.document_type AS a_type, {_page('s')} AS e_page, {_page('r')} AS a_page, s.side = 'front' AS front, r.holder IS NOT NULL AS zone_read,
+               CAST(s.holder IS NOT DISTINCT FROM r.holder AS INT) + CAST(s.number IS NOT DISTINCT FROM r.number AS INT) AS exact, l.processing_ms AS ms
+        FROM samples s JOIN results r USING (sample_id) JOIN log l ON l.doc_id = s.sample_id
+    ), rates AS (
+        SELECT round_even(avg(CAST(e_ok = a_ok AND e_type = a_type AND e_page = a_page AS INT)), 6) AS status_rate, {_share('sum(exact)', '2 * count(*)')} AS field_rate, {_share('count(*) FILTER (WHERE front AND zone_read)', 'count(*) FILTER (WHERE front)')} AS mrz_rate,
+               {_share("count(*) FILTER (WHERE e_page = 'passport_non_biodata' AND a_ok AND a_page = 'passport_non_biodata')", "count(*) FILTER (WHERE e_page = 'passport_non_biodata')")} AS non_biodata_rate,
+               round_even(avg(ms % 100 / 100.0), 6) AS mean_confidence, round_even(avg(ms), 6) AS mean_ms, CAST(sum(ms) AS BIGINT) AS total_ms, coalesce(median(ms) FILTER (WHERE e_ok AND e_page = 'passport_biodata'), 0.0) AS biodata_median_ms
+        FROM both_)
+    SELECT *, status_rate >= 0.95 AS status_rate_ok, field_rate >= 0.97 AS field_rate_ok, mrz_rate >= 0.99 AS mrz_rate_ok, non_biodata_rate >= 0.95 AS non_biodata_rate_ok, biodata_median_ms <= 5000 AS biodata_median_ok FROM rates"""
 for _name in ("classify_documents", "classify_pages", "assess_extraction", "scan_results", "passport_confidence"):  # decimal literals to doubles, as in Spark
     SQL[_name] = f"SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM ({SQL[_name]})"

@@ -286,3 +286,17 @@ def passport_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["legacy_benchmark"] = judged(lambda s, r: extras.legacy_benchmark(evaluate.observations(s, r)))
+
+
+@query
+def scan_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven rates and their gates: samples' fronts as biodata pages, their backs as back pages, latencies from the log of events."""
+    wanted, got, log = X.samples(spark, sf_dir), X.results(spark, sf_dir), X.scan_log(spark, sf_dir)
+    page = F.when(F.col("side") == "front", "passport_biodata").when(F.col("side") == "back", "passport_non_biodata").otherwise(F.col("document_type"))
+    status = lambda: F.when(F.col("accepted"), "success").otherwise("failure").alias("status")
+    name, front = F.col("sample_id").cast("string").alias("name"), F.col("side") == "front"
+    expected = wanted.select(name, status(), "document_type", page.alias("page_type"), "fields", F.when(front, F.upper(F.col("fields")["number"])).alias("mrz_raw"))
+    read = got.join(wanted.select("sample_id", "side"), "sample_id").join(log.select(F.col("doc_id").alias("sample_id"), "processing_ms"), "sample_id")
+    zone = F.when(front, F.when(F.col("fields")["name"].isNull(), "UNREAD").otherwise(F.upper(F.col("fields")["number"])))
+    actual = read.select(name, status(), "document_type", page.alias("page_type"), "fields", zone.alias("mrz_raw"), (F.col("processing_ms") % 100 / 100).alias("confidence"), "processing_ms")
+    return extras.scan_benchmark(expected, actual)
