@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import identifiers as I
@@ -44,6 +46,15 @@ def _keyword_counts(found: DataFrame) -> DataFrame:
     return lone.select("doc_id", *[F.size(F.array_intersect("lone", F.lit([number[r] for r in rows if r[:2] == g]).cast("array<int>"))).alias(f"{g[0]}__{g[1]}") for g in dims.KEYWORDS])
 
 
+def across(joined: Column, phrases: list[str]) -> Column:
+    """How many phrases a document's joined text holds at word boundaries, over the borders of its regions, too. None of ``phrases`` lies in
+    another. Only texts with a phrase's first word are normalised."""
+    firsts = sorted({p.split(" ")[0] for p in phrases})
+    padded = F.concat(F.lit(" "), T.norm_text(joined), F.lit(" "))
+    counted = F.aggregate(F.array(padded), F.lit(0), lambda n, t: n + reduce(lambda a, b: a + b, [t.contains(f" {p} ").cast("int") for p in phrases]))
+    return F.when(F.upper(joined).rlike("|".join(firsts)), counted).otherwise(F.lit(0))
+
+
 def document_scores(regions: DataFrame) -> DataFrame:
     """doc_id, doc_type, score, reasons of every type with evidence; three aggregates on doc_id, no unions."""
     found = R.grams(regions, [r[2] for r in dims.keyword_rows()], T.norm_text).join(F.broadcast(dims.keyword_dim(regions.sparkSession)), F.col("gram") == F.col("keyword"))
@@ -55,16 +66,22 @@ def document_scores(regions: DataFrame) -> DataFrame:
     rows = facts.join(mrz, "doc_id").join(_keyword_counts(found), "doc_id", "left")
     n = lambda t, e="keyword": F.coalesce(F.col(f"{t}__{e}"), F.lit(0))
     uid, uid_ok = I.aadhaar(F.col("joined")).isNotNull(), I.aadhaar_valid(F.col("joined"))
-    title, card, context, acronym = (n("nrega_job_card", e) for e in ("title", "card", "context", "acronym"))
-    rural = ((acronym > 0) & ((card > 0) | (context > 0))) | ((card > 0) & (context > 0))
-    npr, npr_weak = n("npr_letter", "title") > 0, (n("npr_letter", "acronym") > 0) & (n("npr_letter", "issuer") > 0)
+    joined = F.col("joined")
+    over = lambda t: across(joined, dims.KEYWORDS[t, "title"])
+    hindi = lambda *words: F.coalesce(reduce(lambda a, b: a | b, [joined.contains(w) for w in words]), F.lit(False))
+    title = F.greatest(n("nrega_job_card", "title"), over("nrega_job_card"))
+    titled = (title > 0) | hindi(*dims.NREGA_TITLES_HINDI)
+    card, context, acronym = (n("nrega_job_card", e) for e in ("card", "context", "acronym"))
+    rural = ((acronym > 0) & ((card > 0) | (context > 0))) | ((card > 0) & (context > 0)) | (hindi(dims.NREGA_CARD_HINDI) & hindi(*dims.NREGA_CONTEXT_HINDI))
+    npr = (n("npr_letter", "title") > 0) | (over("npr_letter") > 0) | hindi(dims.NPR_TITLE_HINDI)
+    npr_weak = (n("npr_letter", "acronym") > 0) & (n("npr_letter", "issuer") > 0)
     words = lambda t, prefix: (n(t) > 0, 2 * n(t), F.concat(F.lit(f"{prefix}_KEYWORDS_"), n(t).cast("string")))
     evidence = {
         "pan": [words("pan", "PAN"), (F.col("pan"), 3, "PAN_FORMAT")],
         "aadhaar": [words("aadhaar", "AADHAAR"), (uid, 3, "AADHAAR_NUMBER"), (uid_ok, 2, "AADHAAR_CHECKSUM_VALID")],
         "driving_licence": [words("driving_licence", "DL"), (F.col("dl"), 3, "DL_FORMAT")],
         "voter_id": [words("voter_id", "VOTER"), (F.col("epic"), 3, "EPIC_FORMAT")],
-        "nrega_job_card": [(title > 0, 9 + F.least(title, F.lit(2)), "NREGA_EXPLICIT_TITLE"), ((title == 0) & rural, 8, "NREGA_JOB_CARD_CONTEXT")],
+        "nrega_job_card": [(titled, 9 + F.least(title, F.lit(2)), "NREGA_EXPLICIT_TITLE"), (~titled & rural, 8, "NREGA_JOB_CARD_CONTEXT")],
         "npr_letter": [(npr, 9, "NPR_EXPLICIT_TITLE"), (~npr & npr_weak, 8, "NPR_ISSUER_CONTEXT")],
         "passport": [words("passport", "PASSPORT"), (F.col("mrz"), 4, "MRZ_DETECTED")],
     }

@@ -86,6 +86,8 @@ KEYWORDS = {
     ("npr_letter", "acronym"): ["NPR"],
     ("passport", "keyword"): ["PASSPORT", "REPUBLIC OF INDIA PASSPORT"],
 }
+#: Titles and words of job cards in Hindi.
+NREGA_TITLES_HINDI, NREGA_CARD_HINDI, NREGA_CONTEXT_HINDI = ["राष्ट्रीय ग्रामीण रोजगार गारंटी", "महात्मा गांधी राष्ट्रीय ग्रामीण रोजगार गारंटी"], "जॉब कार्ड", ["ग्राम पंचायत", "रोजगार गारंटी"]
 PAGE_HINTS = {
     "biodata": ["SURNAME", "GIVEN NAME", "PASSPORT NO", "PASSPORT NUMBER", "DATE OF BIRTH", "NATIONALITY", "PLACE OF BIRTH", "DATE OF ISSUE", "DATE OF EXPIRY", "SEX", "COUNTRY CODE"],
     "non_biodata": ["NAME OF FATHER", "LEGAL GUARDIAN", "NAME OF MOTHER", "NAME OF SPOUSE", "ADDRESS", "FILE NO", "OLD PASSPORT", "PLACE OF ISSUE"],

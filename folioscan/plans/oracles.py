@@ -120,11 +120,16 @@ nesting AS {values(dims.nesting_rows(), 'doc_type, evidence, short, long')},
 matches AS MATERIALIZED (SELECT DISTINCT doc_id, doc_type, evidence, keyword FROM (SELECT doc_id, {norm('text')} AS norm FROM regions) r JOIN keyword_dim ON (' ' || norm || ' ') LIKE '% ' || keyword || ' %'),
 counts AS MATERIALIZED (SELECT doc_id, doc_type, evidence, count(*) AS n FROM matches m WHERE NOT EXISTS (SELECT 1 FROM matches o JOIN nesting g ON o.keyword = g.long AND o.doc_type = g.doc_type AND o.evidence = g.evidence
     WHERE o.doc_id = m.doc_id AND g.short = m.keyword AND o.doc_type = m.doc_type AND o.evidence = m.evidence) GROUP BY ALL)"""
-SCORES = f"""{EVIDENCE},
+_hindi = lambda words: " OR ".join(f"contains(j, '{w}')" for w in words)
+SCORES = f"""{EVIDENCE}, titles AS {values([(t, k) for t, e, k in dims.keyword_rows() if e == 'title'], 'doc_type, title')},
 joined AS (SELECT doc_id, string_agg(text, ' ' ORDER BY seq) AS j FROM regions GROUP BY doc_id),
-strong AS (SELECT doc_id, doc_type, max(CASE WHEN evidence = 'title' THEN n ELSE 0 END) AS t, max(CASE WHEN evidence = 'card' THEN n ELSE 0 END) AS c, max(CASE WHEN evidence = 'context' THEN n ELSE 0 END) AS x, max(CASE WHEN evidence = 'acronym' THEN n ELSE 0 END) AS a, max(CASE WHEN evidence = 'issuer' THEN n ELSE 0 END) AS i FROM counts GROUP BY ALL),
+strong AS (SELECT doc_id, doc_type, max(CASE WHEN evidence = 'title' THEN n ELSE 0 END) AS t, max(CASE WHEN evidence = 'card' THEN n ELSE 0 END) AS c, max(CASE WHEN evidence = 'context' THEN n ELSE 0 END) AS x, max(CASE WHEN evidence = 'acronym' THEN n ELSE 0 END) AS a, max(CASE WHEN evidence = 'issuer' THEN n ELSE 0 END) AS i, max(CASE WHEN evidence = 'hindi' THEN n ELSE 0 END) AS h, max(CASE WHEN evidence = 'hindi_card' THEN n ELSE 0 END) AS hc
+    FROM (FROM counts UNION ALL SELECT doc_id, doc_type, 'title', count(*) FROM joined JOIN titles ON (' ' || {norm('j')} || ' ') LIKE '% ' || title || ' %' GROUP BY ALL
+        UNION ALL SELECT doc_id, 'npr_letter', 'title', 1 FROM joined WHERE contains(j, '{dims.NPR_TITLE_HINDI}')
+        UNION ALL SELECT doc_id, 'nrega_job_card', 'hindi', 1 FROM joined WHERE {_hindi(dims.NREGA_TITLES_HINDI)}
+        UNION ALL SELECT doc_id, 'nrega_job_card', 'hindi_card', 1 FROM joined WHERE contains(j, '{dims.NREGA_CARD_HINDI}') AND ({_hindi(dims.NREGA_CONTEXT_HINDI)})) GROUP BY ALL),
 parts AS (SELECT doc_id, doc_type, 2 * n AS score FROM counts WHERE evidence = 'keyword'
-    UNION ALL SELECT doc_id, doc_type, CASE WHEN t > 0 THEN 9 + least(t, 2) ELSE 8 END FROM strong WHERE doc_type = 'nrega_job_card' AND (t > 0 OR (a > 0 AND c + x > 0) OR (c > 0 AND x > 0))
+    UNION ALL SELECT doc_id, doc_type, CASE WHEN t > 0 OR h > 0 THEN 9 + least(t, 2) ELSE 8 END FROM strong WHERE doc_type = 'nrega_job_card' AND (t > 0 OR h > 0 OR hc > 0 OR (a > 0 AND c + x > 0) OR (c > 0 AND x > 0))
     UNION ALL SELECT doc_id, doc_type, CASE WHEN t > 0 THEN 9 ELSE 8 END FROM strong WHERE doc_type = 'npr_letter' AND (t > 0 OR (a > 0 AND i > 0))
     UNION ALL SELECT doc_id, 'pan', 3 FROM regions WHERE {_pan} IS NOT NULL GROUP BY doc_id
     UNION ALL SELECT doc_id, 'driving_licence', 3 FROM regions WHERE {_dl} IS NOT NULL GROUP BY doc_id

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from folioscan.operators import cards, job_card, npr, routing
+from folioscan.operators import cards, classify, job_card, npr, routing
 from folioscan.sources import ingest
 from test_engine import LINE1, LINE2, PAN, page
 from test_job_card import CARD
@@ -64,3 +64,14 @@ def test_source_is_read_once(spark):
 
 def test_no_documents(spark):
     assert routing.route_documents(page(spark, PAN).limit(0), "2024-06-01", codes(spark)).collect() == []
+
+
+def test_titles_over_regions_and_in_hindi(spark):
+    kind = lambda *texts: classify.classify_documents(page(spark, [(t, 40, 30 * k, 300, 30 * k + 20) for k, t in enumerate(texts)])).first()
+    assert kind("NATIONAL POPULATION", "REGISTER").document_type == "npr_letter"
+    assert kind("राष्ट्रीय जनसंख्या", "रजिस्टर").reasons == "NPR_EXPLICIT_TITLE"
+    two = kind("Mahatma Gandhi", "National Rural Employment", "Guarantee Act")
+    assert (two.document_type, two.reasons, two.confidence) == ("nrega_job_card", "NREGA_EXPLICIT_TITLE", 0.98)
+    assert kind("राष्ट्रीय ग्रामीण", "रोजगार गारंटी").reasons == "NREGA_EXPLICIT_TITLE"
+    assert kind("जॉब कार्ड", "ग्राम पंचायत").reasons == "NREGA_JOB_CARD_CONTEXT"
+    assert kind("INTERNATIONAL POPULATION REGISTERS").document_type == kind("जॉब कार्ड").document_type == "unknown"
