@@ -75,5 +75,6 @@ def report_rows(sections: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_report(sections: dict[str, DataFrame], path: str) -> None:
-    """Sections of a report as JSON lines with sorted keys, one folder ``section=<name>`` each; parents are made, an older report goes."""
-    report_rows(sections).write.mode("overwrite").partitionBy("section").text(path)
+    """Sections of a report as JSON lines with sorted keys, a folder each; parents are made, an older section goes."""
+    for name, rows in sections.items():
+        report_rows({name: rows}).select("body").write.mode("overwrite").text(f"{path}/{name}")

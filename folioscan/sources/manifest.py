@@ -6,6 +6,11 @@ reader would stop at the first fault, all faults come out.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +62,44 @@ def read_legacy_manifest(spark: SparkSession, path: str, expected: str) -> DataF
     return text.select(F.explode(F.from_json("value", f"map<string,struct<{expected}>>")).alias("name", "e")).select("name", "e.*")
 
 
+#: Bytes of a file that are read to tell its kind.
+HEAD = 8
+
+
+def file_heads(files: DataFrame, count: int = HEAD) -> DataFrame:
+    """path, length and head (the first ``count`` bytes; null where a file can't be opened) of files named by ``path``.
+
+    Each file is opened through Arrow's file systems by its own address and read no further, whatever its size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = [_head(p, count) for p in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(heads, pa.binary())], ["path", "length", "head"])
+
+    return files.select("path", "length").mapInArrow(run, "path string, length long, head binary")
+
+
+def _head(path: str, count: int) -> bytes | None:
+    try:
+        system, place = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+        with system.open_input_stream(place, buffer_size=0) as file:
+            return file.read(count)
+    except (OSError, pa.ArrowException):
+        return None
+
+
 def asset_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, kind of all files under a folder: by name's end, or by the first bytes; content is read for them only."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    """path, length, kind of all files under a folder: by name's end, or, for names that don't tell, by the first bytes.
+
+    The listing reads no content; only files whose names don't tell are opened, for HEAD bytes each.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     name = F.lower("path")
-    kind = F.when(name.endswith(".pdf") | (F.substring("content", 1, 5) == F.lit(b"%PDF-")), "pdf").when(name.rlike(r"\.hei[cf]$"), "heic").otherwise("image")
-    return rows.select("path", "length", kind.alias("kind"))
+    by_name = F.when(name.endswith(".pdf"), "pdf").when(name.rlike(r"\.hei[cf]$"), "heic")
+    known = rows.filter(by_name.isNotNull()).select("path", "length", by_name.alias("kind"))
+    heads = file_heads(rows.filter(by_name.isNull()))
+    return known.unionByName(heads.select("path", "length", F.when(F.substring("head", 1, 5) == F.lit(b"%PDF-"), "pdf").otherwise("image").alias("kind")))
 
 
 def missing_assets(samples: DataFrame, catalog: DataFrame, root: str) -> DataFrame:

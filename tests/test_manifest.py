@@ -128,3 +128,26 @@ def test_json_leaves(spark):
 def test_whole_result_as_json(spark, tmp_path):
     ingest.write_report({"summary": spark.range(2), "checks": spark.range(1)}, str(tmp_path / "deep" / "report"))
     assert spark.read.json(str(tmp_path / "deep" / "report" / "summary")).count() == 2
+
+
+def test_report_sections_have_sorted_keys_at_any_depth(spark, tmp_path):
+    rows = spark.sql("SELECT 2 AS z, named_struct('y', 1, 'b', array(named_struct('d', CAST(NULL AS INT), 'c', 'x'))) AS a, map('q', 1, 'p', 2) AS m UNION ALL SELECT 3, NULL, NULL")
+    ingest.write_report({"documents": rows, "checks": spark.range(1)}, str(tmp_path / "r"))
+    ingest.write_report({"documents": rows.filter("z = 2")}, str(tmp_path / "r"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "r" / "documents")).collect()]
+    assert lines == ['{"a":{"b":[{"c":"x","d":null}],"y":1},"m":{"p":2,"q":1},"z":2}']
+    assert [r.section for r in ingest.report_rows({"documents": rows, "checks": spark.range(1)}).collect()] == ["documents", "documents", "checks"]
+
+
+def test_heads_are_read_no_further(spark, tmp_path, monkeypatch):
+    """A few bytes of a file of any size; files that can't be opened have none."""
+    big = tmp_path / "big.bin"
+    with open(big, "wb") as file:
+        file.write(b"%PDF-1.7")
+        file.truncate(1 << 33)  # sparse
+    (tmp_path / "empty.dat").write_bytes(b"")
+    rows = spark.createDataFrame([(f"file:{big}", 1 << 33), (f"file:{tmp_path}/empty.dat", 0), (f"file:{tmp_path}/none", 1)], "path string, length long")
+    heads = [None if r.head is None else bytes(r.head) for r in M.file_heads(rows).collect()]
+    assert heads == [b"%PDF-1.7", b"", None]
+    plan = M.asset_catalog(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan and "content" not in plan
