@@ -5,13 +5,15 @@ Labels of one card kind are searched at a time; blocks are bands under a label,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import dates
 from folioscan.functions import identifiers as I
 from folioscan.functions import text as T
-from folioscan.operators import extras, layout
+from folioscan.operators import extract, extras, layout
 from folioscan.plans import dims
 
 #: Labels of a licence besides those of ``dims.LABELS``.
@@ -133,3 +135,72 @@ def extract_aadhaar_cards(regions: DataFrame) -> DataFrame:
         "doc_id", number.alias("aadhaar_number"), F.coalesce("above", F.when(front, F.col("topmost"))).alias("name"), F.col("b.day").alias("date_of_birth"), F.when(F.col("b.day").isNull(), F.col("b.year")).alias("year_of_birth"), "gender", "address",
         F.when(pin != "", pin).alias("pincode"), I.aadhaar_valid(F.col("bare")).alias("checksum_valid"), (number.isNull() & tail.isNotNull()).alias("aadhaar_masked"), F.coalesce(F.substring(number, -4, 4), tail).alias("aadhaar_last4"), "vid",
     )
+
+
+#: Labels of a voter's card.
+VOTER = {
+    ("voter", "name"): ["ELECTOR S NAME", "ELECTORS NAME", "ELECTOR NAME", "NAME OF ELECTOR", "NAME"],
+    ("voter", "father"): ["FATHER S NAME", "FATHERS NAME", "FATHER NAME", "NAME OF FATHER", "FATHER"],
+    ("voter", "husband"): ["HUSBAND S NAME", "HUSBANDS NAME", "HUSBAND NAME", "NAME OF HUSBAND", "HUSBAND"],
+    ("voter", "mother"): ["MOTHER S NAME", "MOTHERS NAME", "MOTHER NAME", "NAME OF MOTHER", "MOTHER"],
+    ("voter", "gender"): ["SEX", "GENDER"],
+    ("voter", "date_of_birth"): ["DATE OF BIRTH", "DOB"],
+    ("voter", "age"): ["AGE AS ON", "AGE"],
+}
+RELATIONS = ["father", "husband", "mother"]
+#: Genders in Hindi on a voter's card, in the order in which they are looked for.
+VOTER_HINDI = {"FEMALE": "महिला", "MALE": "पुरुष", "TRANSGENDER": "अन्य"}
+
+
+def letters_of(c: Column) -> Column:
+    """A to Z of a text in capitals, nothing else."""
+    return F.regexp_replace(F.upper(c), "[^A-Z]", "")
+
+
+def voter_gender(c: Column) -> Column:
+    """Gender by a word within the text, else by a Hindi word, else by a lone letter."""
+    word = F.upper(c)
+    named = F.when(word.contains("FEMALE"), "FEMALE").when(word.contains("MALE"), "MALE").when(word.contains("TRANSGENDER") | word.contains("OTHER"), "TRANSGENDER")
+    hindi = F.coalesce(*[F.when(c.contains(h), g) for g, h in VOTER_HINDI.items()])
+    lone = F.coalesce(*[F.when(letters_of(c) == g[0], g) for g in VOTER_HINDI])
+    return F.coalesce(named, hindi, lone)
+
+
+def extract_voter_cards(regions: DataFrame) -> DataFrame:
+    """Seven fields of every document: number, name, relation by name and kind, birth date, age where that is missing, gender.
+
+    A relation's label must hold its own word, and father goes before husband before mother. Age stands beside or under its label, in the
+    label's own text, in any text with the word AGE, or behind that word in the document's joined text. Gender is its label's value,
+    else the first text that is a gender by itself or holds its Hindi word.
+    """
+    text, order = F.trim("text"), F.struct("page_no", "seq")
+    first = lambda v, when: F.min_by(v, F.when(when, order))
+    number = I.epic_in(I.compact(F.col("text")))
+    aged = extract.age(F.col("text"))
+    lone = reduce(lambda a, b: a | b, [text.contains(h) for h in VOTER_HINDI.values()]) | letters_of(text).isin(*VOTER_HINDI, *[g[0] for g in VOTER_HINDI])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(text != "", F.struct("page_no", "seq", "text")))), lambda r: r["text"]), " ")
+    facts = regions.groupBy("doc_id").agg(
+        first(number, number.isNotNull()).alias("epic_number"),
+        first(aged, F.col("text").rlike(r"(?i)\bAGE\b") & aged.isNotNull()).alias("any_age"),
+        first(voter_gender(text), lone & voter_gender(text).isNotNull()).alias("any_gender"),
+        joined.alias("joined"),
+    )
+    rows = facts.join(layout.best_values(regions, dims.rows_of(VOTER)), "doc_id", "left")
+    of = lambda f: F.col(f"voter__{f}")
+    near = lambda f: F.coalesce(of(f)["right"], of(f)["below"])
+    relation_label = lambda c: F.coalesce(letters_of(c).rlike("FATHER|HUSBAND|MOTHER"), F.lit(False))
+    related = {f: F.when(letters_of(of(f)["label_text"]).contains(f.upper()), T.after_colon(F.trim(near(f)))) for f in RELATIONS}
+    name = F.when(~relation_label(of("name")["label_text"]) & ~relation_label(near("name")), T.after_colon(F.trim(near("name"))))
+    born = F.coalesce(dates.printed(of("date_of_birth")["value"]), dates.printed(near("date_of_birth")))
+    labelled = F.when(letters_of(of("age")["label_text"]).contains("AGE"), F.coalesce(extract.age(near("age")), extract.age(of("age")["label_text"])))
+    tail = F.regexp_extract("joined", r"(?is)\bAGE\b.*", 0)
+    return rows.select(
+        "doc_id",
+        "epic_number",
+        name.alias("name"),
+        F.coalesce(*related.values()).alias("relation_name"),
+        F.coalesce(*[F.when(c.isNotNull(), f) for f, c in related.items()]).alias("relation_type"),
+        born.alias("date_of_birth"),
+        F.when(born.isNull(), F.coalesce(labelled, "any_age", extract.age(tail))).alias("age"),
+        F.coalesce(voter_gender(of("gender")["value"]), voter_gender(near("gender")), "any_gender").alias("gender"),
+    )

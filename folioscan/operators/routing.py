@@ -20,7 +20,7 @@ READERS = {
     "pan": extract.extract_pan,
     "aadhaar": cards.extract_aadhaar_cards,
     "driving_licence": cards.extract_licences,
-    "voter_id": extract.extract_voter_id,
+    "voter_id": cards.extract_voter_cards,
     "nrega_job_card": job_card.extract_job_cards,
     "npr_letter": npr.extract_npr_fields,
 }

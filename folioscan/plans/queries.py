@@ -80,6 +80,7 @@ on(X.passports, "read_passports", lambda r: passport.read_passports(r, dims.coun
 on(X.back_pages, "extract_back_page", passport.extract_back_page)
 on(X.regions, "extract_licences", cards.extract_licences)
 on(X.regions, "extract_aadhaar_cards", cards.extract_aadhaar_cards)
+on(X.regions, "extract_voter_cards", cards.extract_voter_cards)
 
 
 @query
