@@ -21,6 +21,10 @@ COUNTERS = ("samples", "classified", "expected_accepted", "actual_accepted", "ac
 FIELD_COUNTS = ("field_expected", "field_exact", "field_normalized")
 
 
+#: Fewest samples of a slice.
+SLICE_MINIMUM = 20
+
+
 def normalize_value(c: Column) -> Column:
     """Case folded, letters and digits only."""
     return F.regexp_replace(T.casefold(c), r"[^\p{L}\p{N}]", "")
@@ -117,6 +121,20 @@ def gate(checked: DataFrame) -> DataFrame:
     return checked.agg(F.bool_and("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
 
 
+def all_checks(measured: DataFrame, sliced: DataFrame, lacking: DataFrame, thresholds=THRESHOLDS, minimum: int = SLICE_MINIMUM) -> DataFrame:
+    """scope, rule, actual, threshold, passed of everything that a release must pass: each type's thresholds, enough samples in every
+    slice, required coverage that is missing, and no runtime error at all, whatever the thresholds leave out.
+
+    ``measured``: metrics; ``sliced``: metrics by slice; ``lacking``: what ``missing_coverage`` found.
+    """
+    own = checks(measured, thresholds).select(F.col("document_type").alias("scope"), F.col("metric").alias("rule"), "actual", "threshold", "passed")
+    row = lambda scope, rule, actual, least, passed: [scope.alias("scope"), F.lit(rule).alias("rule"), actual.cast("double").alias("actual"), F.lit(float(least)).alias("threshold"), passed.alias("passed")]
+    enough = sliced.filter("document_type = '*'").select(*row(F.concat_ws(".", "dimension", "value"), "minimumSamples", F.col("samples"), minimum, F.col("samples") >= minimum))
+    covered = lacking.select(*row(F.concat_ws(".", "dimension", "value"), "coverage", F.lit(0), 1, F.lit(False)))
+    broken = measured.filter("document_type = '*' and runtime_errors > 0").select(*row(F.lit("overall"), "noRuntimeErrors", F.col("runtime_errors"), 0, F.lit(False)))
+    return own.unionByName(enough).unionByName(covered).unionByName(broken)
+
+
 def missing_coverage(samples: DataFrame, required: DataFrame) -> DataFrame:
     """Required (dimension, value) pairs without an accepted sample."""
     seen = samples.filter("accepted").select(F.explode(slice_values()).alias("p")).select("p.dimension", "p.value").distinct()

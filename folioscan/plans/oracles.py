@@ -314,6 +314,8 @@ SQL["best_candidate"] = f"SELECT doc_id, CASE WHEN b > a THEN 'full' ELSE 'targe
 SQL["country_check"] = f"SELECT doc_id, 'UNKNOWN_COUNTRY_CODE_' || c AS warning FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'UTO' ELSE country END AS c FROM ({SQL['parse_mrz']})) WHERE c NOT IN (SELECT upper(substr(n_name, 1, 3)) FROM nation)"
 SQL["passport_confidence"] = f"WITH {PASSPORTS} SELECT r.doc_id, round_even(least(1.0, 0.4 * coalesce(CASE WHEN overall_ok THEN 1.0 ELSE 0.7 * (CAST(number_ok AS INT) + CAST(birth_ok AS INT) + CAST(expiry_ok AS INT)) / 3 END, 0) + 0.15 + 0.3 * ocr), 3) AS confidence FROM (SELECT doc_id, avg(confidence) AS ocr FROM regions GROUP BY doc_id) r LEFT JOIN ({SQL['parse_mrz']}) z USING (doc_id)"
 SQL["legacy_benchmark"] = f"WITH {EVAL} SELECT status_match, field_exact, status_match >= 0.95 AS status_gate, field_exact >= 0.97 AS field_gate FROM (SELECT round_even(avg(CAST(expected_accepted = actual_accepted AS INT)), 6) AS status_match, round_even(avg(CAST(complete_exact AS INT)), 6) AS field_exact FROM observed)"
+SQL["release_gate"] = f"""SELECT bool_and(passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed FROM (SELECT passed FROM ({SQL['threshold_checks']}) UNION ALL SELECT samples >= {evaluate.SLICE_MINIMUM} FROM ({SQL['sliced_metrics']}) WHERE document_type = '*'
+    UNION ALL SELECT false FROM ({SQL['coverage_anti']}) UNION ALL SELECT false FROM ({SQL['metrics']}) WHERE document_type = '*' AND runtime_errors > 0)"""
 _page = lambda t: f"CASE s.side WHEN 'front' THEN 'passport_biodata' WHEN 'back' THEN 'passport_non_biodata' ELSE {t}.document_type END"
 _share = lambda a, b: f"round_even(coalesce({a} / nullif(CAST({b} AS DOUBLE), 0), 1.0), 6)"
 SQL["scan_benchmark"] = f"""WITH {EVAL}, {LOG}, both_ AS (

@@ -200,6 +200,15 @@ def coverage_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.missing_coverage(samples, required)
 
 
+@query
+def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate over thresholds, slices, coverage and runtime errors."""
+    samples, results = X.samples(spark, sf_dir), X.results(spark, sf_dir)
+    observed = staged(evaluate.observations(samples, results), "observed")
+    every = evaluate.all_checks(evaluate.metrics(observed), evaluate.sliced_metrics(observed), coverage_anti(spark, sf_dir))
+    return evaluate.gate(every)
+
+
 @query
 def check_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = X.samples(spark, sf_dir)

@@ -151,3 +151,16 @@ def test_heads_are_read_no_further(spark, tmp_path, monkeypatch):
     assert heads == [b"%PDF-1.7", b"", None]
     plan = M.asset_catalog(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<path:string,length:bigint>" in plan and "content" not in plan
+
+
+def test_gate_takes_in_slices_coverage_and_runtime_errors(spark):
+    """A failing row of each kind fails the gate by itself."""
+    m = spark.createDataFrame([("pan", 1.0, 0, 30), ("*", 1.0, 0, 30)], "document_type string, acceptance_rate double, runtime_errors long, samples long")
+    sliced = spark.createDataFrame([("*", "side", "front", 30), ("pan", "side", "front", 3)], "document_type string, dimension string, value string, samples long")
+    lacking = spark.createDataFrame([("side", "back")], "dimension string, value string")
+    rules = [("*", "acceptance_rate", "min", 0.9)]
+    judge = lambda m, s, c: evaluate.gate(evaluate.all_checks(m, s, c, rules)).first()
+    assert judge(m, sliced, lacking.limit(0)).passed
+    few = sliced.withColumn("samples", F.col("samples") - 11)
+    broken = m.withColumn("runtime_errors", F.lit(2))
+    assert [judge(*x).failed for x in ((m, few, lacking.limit(0)), (m, sliced, lacking), (broken, sliced, lacking.limit(0)), (broken, few, lacking))] == [1, 1, 1, 3]
