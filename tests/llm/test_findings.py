@@ -3,7 +3,6 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from folioscan.functions import checksum
 from folioscan.llm import fingerprints, lm_score, ngram_join, quality, shingles, toxicity
 
 
@@ -68,18 +67,6 @@ def test_fingerprints_join_all_links_of_a_band(spark):
     assert {(r.a, r.b) for r in fingerprints.near_pairs(df, threshold=0.75).collect()} == {(0, 1), (0, 2), (1, 2)}
 
 
-def test_icao_digits_of_whole_regions(spark, monkeypatch):
-    from folioscan.plans import queries
-
-    texts = ["L898902C3", "740812", "L898902C36UTO7408122F1204159ZE184226B<<<<<", "a-b 1", "", "x" * 500]
-    monkeypatch.setattr(queries.X, "regions", lambda s, d: s.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "doc_id long, seq int, text string"))
-    rows = queries.QUERIES["icao_check_digit_whole"](spark, "").collect()
-    value = lambda c: max(0, checksum.ALPHABET.find(c))
-    assert len(rows) == len(texts) and max(len(r.data) for r in rows) == 500
-    for r in rows:
-        assert r.digit == sum(value(c) * (7, 3, 1)[k % 3] for k, c in enumerate(r.data)) % 10
-
-
 def test_samples_bound_rows(spark):
     rows = [(1, f"text {k}") for k in range(200)] + [(k, "once") for k in range(2, 40)] + [(None, "null id")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
