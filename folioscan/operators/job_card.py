@@ -23,6 +23,9 @@ NEAR, KNOWN = 0.84, 0.92
 DELIMITERS = r"\s*[:=]\s*|\s+[–—-]\s+"
 DAY = r"(?i)\b(?:\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}|\d{1,2}\s+(?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)(?:UARY|RUARY|CH|IL|E|Y|UST|TEMBER|OBER|EMBER)?\s+\d{4})\b"
 CARD = r"(?<![A-Z0-9])([A-Z]{2}\s*[-–—]\s*[0-9OILSBZGQD]{1,10}(?:\s*[-/–—]\s*[0-9OILSBZGQD]{1,10}){2,7})(?![A-Z0-9])"
+#: Full-width forms, which stand for the plain letters, digits and signs 65,248 places before them.
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+NARROW = "".join(chr(ord(c) - 0xFEE0) for c in WIDE)
 #: Letters read for digits in a card's number.
 LETTERS, DIGITS = "OQDILZSGB", "000112568"
 
@@ -156,8 +159,8 @@ def values(regions: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def card_number(c: Column) -> Column:
-    """A job card's number in a text: most numeric parts, then the longest; letters read for digits are mended."""
-    found = F.regexp_extract_all(F.upper(c), F.lit(CARD), F.lit(1))
+    """A job card's number in a text: most numeric parts, then the longest; letters read for digits are mended, full-width forms are plain ones."""
+    found = F.regexp_extract_all(F.upper(F.translate(c, WIDE, NARROW)), F.lit(CARD), F.lit(1))
     flat = F.transform(found, lambda x: F.regexp_replace(F.translate(x, "–—", "--"), r"\s+", ""))
     mended = F.transform(flat, lambda x: F.concat(F.substring(x, 1, 3), F.translate(F.substring(x, F.lit(4), F.length(x)), LETTERS, DIGITS)))
     ranked = F.transform(mended, lambda x: F.struct(F.size(F.split(x, "[-/]")).alias("parts"), F.length(x).alias("n"), x.alias("number")))

@@ -78,9 +78,9 @@ def needs_full_page(judged: DataFrame) -> Column:
     return ~F.col("has_mrz") | ~F.col("overall_ok") | F.col("passport_number").isNull() | F.col("surname").isNull()
 
 
-def meaningful() -> Column:
-    """Some field was read."""
-    return F.coalesce(*[F.col(c) for c in ("surname", "given_names", "passport_number", "nationality", "date_of_birth", "expiry_date")]).isNotNull()
+def meaningful(of=F.col) -> Column:
+    """Some field was read; ``of`` gives a field's value."""
+    return F.coalesce(*[of(c) for c in ("surname", "given_names", "passport_number", "nationality", "date_of_birth", "expiry_date")]).isNotNull()
 
 
 def candidate_score() -> Column:

@@ -131,9 +131,15 @@ def result_objects(routed: DataFrame) -> DataFrame:
     p = F.col(PASSPORT)
     took = F.col("processing_ms") if "processing_ms" in routed.columns else F.lit(0)
     block = lambda t: F.col(t)
-    fields = F.when(p.isNotNull(), F.struct(*[p[f].alias(f) for f in passport.FIELDS]))
+    fields = F.when(passport.meaningful(lambda c: p[c]), F.struct(*[p[f].alias(f) for f in passport.FIELDS]))
     return routed.select(
         "doc_id", "status", "document_type", "page_type", "confidence", fields.alias("fields"), block(BACK).alias("back_page_fields"), block("pan").alias("pan_fields"), block("aadhaar").alias("aadhaar_fields"),
         block("driving_licence").alias("driving_licence_fields"), block("voter_id").alias("voter_id_fields"), block("nrega_job_card").alias("nrega_job_card_fields"), block("npr_letter").alias("npr_letter_fields"), "mrz_raw", "mrz_valid", "low_confidence",
         "unsupported_reason", "identifier_valid", "missing_required_fields", F.array().cast("array<string>").alias("probe_text"), "errors", "warnings", took.cast("long").alias("processing_ms"),
     )
+
+
+def scan_log(routed: DataFrame) -> DataFrame:
+    """What a log may have of each document: doc_id, status, page_type, confidence, processing_ms, errors; no field, no text."""
+    took = F.col("processing_ms") if "processing_ms" in routed.columns else F.lit(0)
+    return routed.select("doc_id", "status", "page_type", "confidence", took.cast("long").alias("processing_ms"), "errors")

@@ -20,6 +20,10 @@ def test_vocabularies(spark):
     assert column(spark, ["Yes", "नहीं", "no, not", "maybe"], M.yes_no) == [True, False, False, None]
 
 
+def test_full_width_card_numbers(spark):
+    assert column(spark, ["ＲＪ－２７－００１－００２－０００８１４７／００", "KL−1-2-3"], job_card.card_number) == ["RJ-27-001-002-0008147/00", None]
+
+
 def test_card_numbers(spark):
     texts = ["No. RJ-27-OO1-002-0008147/00 here", "RJ-27-123", "KL – 1S - 2 - 3 / 4", "AB-1-2-3 CD-1-2-3-4", "x"]
     assert column(spark, texts, job_card.card_number) == ["RJ-27-001-002-0008147/00", None, "KL-15-2-3/4", "CD-1-2-3-4", None]
