@@ -10,7 +10,8 @@ at most 1000 of them by arithmetic.
 
 Defined results: null text counts as empty, so null and empty texts are copies; a null doc_id never wins
 against another; rows that repeat doc_id and text are the same document and share one decision;
-other columns play no part. ``keep_one`` keeps exactly one whole row of each text.
+other columns play no part, whatever their names; very long texts are compared whole; an empty table gives an empty table.
+``keep_one`` keeps exactly one whole row of each text.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ the same weights, and the partitions' weights are averaged by tokens, FAN at a t
 takes more rounds. A document's log_prob sums its slots' conditional log-probabilities, word_log_prob its words'.
 
 Defined results: null, empty and blank texts have no words and all sums and means 0; very long texts are read whole;
-equal texts have equal scores; an empty table gives an empty table.
+equal texts have equal scores, so rows that repeat are scored alike; of equally frequent words those with the smaller hash
+come first; null ids are kept; other columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

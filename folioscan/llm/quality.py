@@ -8,7 +8,8 @@ from it; the scorer judges every document by its whole text.
 What the driver sees: the patterns' counts (at most PATTERNS rows are possible, 2 ** 12) and SAMPLE feature vectors.
 
 Defined results: a null or empty text has no words, gets no votes and scores EMPTY; very long texts are read whole;
-equal texts have equal scores, whatever their other columns; an empty table gives an empty table.
+equal texts have equal scores, whatever their other columns and those columns' names, so rows that repeat are judged alike; a score of
+exactly THRESHOLD is good; null ids are kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations

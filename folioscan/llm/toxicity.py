@@ -11,7 +11,7 @@ over the clause features is fitted on the same rows.
 
 Defined results: a null or empty text has no clause and gets the lowest score; very long texts are read whole; equal
 texts have equal scores; of an id with several labels the toxic one counts; without any label the fixed list and a fixed
-scorer serve; rows that repeat are scored alike; an empty table gives an empty table; other columns are ignored.
+scorer serve; rows that repeat are scored alike; a score of exactly a half is toxic; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

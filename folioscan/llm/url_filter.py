@@ -6,7 +6,9 @@ with carry between words, keep the bits whose letter fits, and hold the bits of
 A ``*`` left of the host's end never crosses a ``/``.
 
 Defined results: null urls and urls without ``://`` have empty host and path and match no host rule; very long
-urls run in narrower blocks, so a block's matrix stays small; repeated rows give equal rows.
+urls run in narrower blocks, so a block's matrix stays small; repeated rows give equal rows; null ids are kept; of rules that fit the
+longest decides, and no two that fit one url are equally long; an empty table gives an empty table; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
