@@ -89,11 +89,15 @@ def route_documents(regions: DataFrame, as_of: str, codes: DataFrame) -> DataFra
     return rows.select("doc_id", *_verdict(), *found)
 
 
+def listed(c: Column) -> Column:
+    """Names between commas as a list."""
+    return F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda e: e != "")
+
+
 def _verdict() -> list[Column]:
     """Status and confidence of each route, from the joined row."""
     route, p, none = F.col("route"), F.col(PASSPORT), F.array().cast("array<string>")
     passport_, back, card = route == PASSPORT, route == BACK, route.isin(*READERS)
-    listed = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda e: e != "")
     final = passport.overall_confidence(p["confidence"], F.col("page_confidence"))
     read = lambda f: F.coalesce(p[f] != "", F.lit(False))
     good = p["overall_ok"] & read("passport_number") & read("surname") & (final >= 0.7)
@@ -116,8 +120,8 @@ def _verdict() -> list[Column]:
         F.when(status == "unsupported_page", "UNSUPPORTED_DOCUMENT").alias("unsupported_reason"),
         F.when(card, F.col("identifier_valid")).alias("identifier_valid"),
         F.when(card, listed(F.col("missing"))).otherwise(none).alias("missing_required_fields"),
-        errors.alias("errors"),
-        warnings.alias("warnings"),
+        F.array_join(errors, ",").alias("errors"),
+        F.array_join(warnings, ",").alias("warnings"),
         F.when(passport_ & p["has_mrz"], F.col("mrz_raw")).alias("mrz_raw"),
         F.coalesce(F.when(passport_, p["overall_ok"]), F.lit(False)).alias("mrz_valid"),
     ]
@@ -135,7 +139,7 @@ def result_objects(routed: DataFrame) -> DataFrame:
     return routed.select(
         "doc_id", "status", "document_type", "page_type", "confidence", fields.alias("fields"), block(BACK).alias("back_page_fields"), block("pan").alias("pan_fields"), block("aadhaar").alias("aadhaar_fields"),
         block("driving_licence").alias("driving_licence_fields"), block("voter_id").alias("voter_id_fields"), block("nrega_job_card").alias("nrega_job_card_fields"), block("npr_letter").alias("npr_letter_fields"), "mrz_raw", "mrz_valid", "low_confidence",
-        "unsupported_reason", "identifier_valid", "missing_required_fields", F.array().cast("array<string>").alias("probe_text"), "errors", "warnings", took.cast("long").alias("processing_ms"),
+        "unsupported_reason", "identifier_valid", "missing_required_fields", F.array().cast("array<string>").alias("probe_text"), listed(F.col("errors")).alias("errors"), listed(F.col("warnings")).alias("warnings"), took.cast("long").alias("processing_ms"),
     )
 
 
