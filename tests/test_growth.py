@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioscan.operators import extras, layout, npr
+from folioscan.operators import cards, extras, layout, npr
 from folioscan.plans import dims
 from folioscan.plans import fixtures as X
 
@@ -40,3 +40,15 @@ def test_vehicle_tokens_are_tried_only_where_one_pattern_finds_any(spark):
     found = spark.createDataFrame(texts, "text string").select(extras.vehicle_tokens(F.col("text")).alias("t"))
     assert [r.t for r in found.collect()] == [["MCWG", "LMV"], ["LMV-NT"], [], [], []]
     assert "RLIKE(" in plan(found)
+
+
+def test_names_are_told_without_lambda(spark):
+    told = spark.createDataFrame([("RAVI KUMAR",), ("GOVT. OF INDIA",), ("FEMALES ONLY",), ("R2D2",), ("  ",)], "text string").select(extras.name_like(F.col("text")).alias("n"))
+    assert [r.n for r in told.collect()] == [True, False, True, False, False]
+    assert "lambda" not in plan(told)
+
+
+def test_labels_of_a_card_are_gathered_not_picked_field_by_field(spark):
+    regions = X.regions(spark, SF)
+    aadhaar, voter = plan(cards.extract_aadhaar_cards(regions)), plan(cards.extract_voter_cards(regions))
+    assert "max_by(struct(page_no" not in aadhaar + voter
