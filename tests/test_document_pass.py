@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioscan.functions import identifiers as I
-from folioscan.operators import classify
+from folioscan.operators import assess, classify
 from folioscan.plans import fixtures as X
 
 SCHEMA = "doc_id long, page_no int, seq int, text string, left int, top int, right int, bottom int, confidence double"
@@ -43,3 +43,8 @@ def test_number_of_twelve_digits_is_judged_without_lambda(spark):
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(I.aadhaar_valid(F.col("t")).alias("ok"))
     assert [r.ok for r in found.collect()] == [True, False, False, False, False, False]
     assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_results_read_classes_that_are_staged(spark):
+    plan = assess.scan_results(X.regions(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "scores" not in plan and "class_confidence" in plan
