@@ -8,10 +8,13 @@ arithmetic (at most ``1 / share`` groups can hold more than ``share`` of the row
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +49,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives the system back what this worker process has freed: Arrow's pool and the C library's heap keep it otherwise, for as long as the
+    worker serves later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(run):
+    """``run`` over a task's batches; its memory is released when the task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def text_of(col: str = "text") -> Column:
     """Null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -57,7 +57,7 @@ def sketch(docs: DataFrame, threshold: float, recall: float, id_col: str, text_c
                 columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(map(shingles.set_key, sets), pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(listed, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "set_key", "size", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(text_col).alias("digest"), common.text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, digest binary, set_key binary, size long, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(text_col).alias("digest"), common.text_of(text_col).alias("text")).mapInArrow(common.lean(run), "doc_id long, digest binary, set_key binary, size long, bands array<long>")
 
 
 def digest_of(text_col: str) -> Column:
@@ -192,7 +192,7 @@ def blocks(docs: DataFrame, classes: DataFrame, met: DataFrame, id_col: str, tex
     wanted = common.written(wanted, "join-wanted")
     rows = docs.select(common.text_of(text_col).alias("text"), row_key(F.col(id_col), digest_of(text_col)).alias("row"))
     rows = common.marked(rows, common.key_filter(wanted, "row"), "row", "_near").filter("_near").select("text")
-    texts = rows.mapInArrow(_packed, "set_key binary, packed binary").dropDuplicates(["set_key"]).join(wanted.hint("merge"), "set_key")
+    texts = rows.mapInArrow(common.lean(_packed), "set_key binary, packed binary").dropDuplicates(["set_key"]).join(wanted.hint("merge"), "set_key")
     return parts.join(texts.select("rep", "pivots", "packed").hint("merge"), "rep").groupBy("pivot", "low", "high")
 
 

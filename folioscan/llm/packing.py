@@ -229,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, grain: int =
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.text_of(text_col).alias("text"))
-    cut = rows.mapInArrow(cutter(tokenizer, capacity, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    cut = rows.mapInArrow(common.lean(cutter(tokenizer, capacity, end_id)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
     cut = common.written(cut.withColumns({"unit": F.ceil(F.col("length") / grain).cast("int"), "piece": F.monotonically_increasing_id()}), "pack-pieces")
     histogram = {r.unit: r["n"] for r in cut.groupBy("unit").agg(F.count("*").alias("n")).collect()}  # at most capacity / grain rows
     table = spark.createDataFrame(plan(histogram, capacity // grain), "unit int, low long, high long, copies long, base long, place long")

@@ -177,13 +177,13 @@ def sample_of(rows: DataFrame, size: int) -> DataFrame:
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict:
     """Model: weights of the scorer, the labellers' accuracies, the share of good texts."""
     rows = rows_of(docs, id_col, text_col)
-    counted = rows.mapInArrow(_measured, "doc_id long, votes string").groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
+    counted = rows.mapInArrow(common.lean(_measured), "doc_id long, votes string").groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
     if not counted:
         return {"weights": np.zeros(WIDTH + 1), "accuracy": np.full(len(LABELLERS), 0.5), "prior": 0.5}
     patterns = np.array([["-01".index(v) - 1 for v in r.votes] for r in counted])
     prior, accuracy, posterior = estimate(patterns, np.array([r.n for r in counted], float))
     by_votes = {r.votes: p for r, p in zip(counted, posterior, strict=True)}
-    seen = sample_of(rows, sample).mapInArrow(_featured, "votes string, features binary").filter(F.col("votes") != "-" * len(LABELLERS))
+    seen = sample_of(rows, sample).mapInArrow(common.lean(_featured), "votes string, features binary").filter(F.col("votes") != "-" * len(LABELLERS))
 
     def fitted(batches):
         """One task over at most ``sample`` rows: Spark gives its workers one BLAS thread."""
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
         w = train(x, np.array([y for _, y in got])) if got else np.zeros(WIDTH + 1)
         yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], ["weights"])
 
-    weights = seen.repartition(1).mapInArrow(fitted, "weights array<double>").first()
+    weights = seen.repartition(1).mapInArrow(common.lean(fitted), "weights array<double>").first()
     return {"weights": np.array(weights[0]) if weights else np.zeros(WIDTH + 1), "accuracy": accuracy, "prior": prior}
 
 
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 bad.append(v.count(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([x >= THRESHOLD for x in scores], pa.bool_()), pa.array(good, pa.int32()), pa.array(bad, pa.int32())], ["doc_id", "score", "keep", "votes_good", "votes_bad"])
 
-    return rows_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, keep boolean, votes_good int, votes_bad int")
+    return rows_of(docs, id_col, text_col).mapInArrow(common.lean(run), "doc_id long, score double, keep boolean, votes_good int, votes_bad int")
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = LEARN, id_col: str = "do
     default = np.array([1.0, 0.5, 1.0, 1.5, 1.0, -2.5])
     if not bad or not fine:
         return {"terms": {}, "weights": default}
-    counted = rows.mapInArrow(terms_of, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.mapInArrow(common.lean(terms_of), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     least = max(LEAST, int(0.003 * bad))
     lift = (F.col("toxic") + 0.5) / (bad + 1) / ((F.col("clean") + 0.5) / (fine + 1))
     found = counted.filter((F.col("toxic") >= least) & (lift >= LIFT)).collect()  # terms of at most ``size`` texts, each in LEAST of them
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = LEARN, id_col: str = "do
             got = [clause_features(t, lexicon, table)[0].tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    seen = rows.mapInArrow(measured, "x array<double>, toxic int").collect()  # at most ``size`` short vectors
+    seen = rows.mapInArrow(common.lean(measured), "x array<double>, toxic int").collect()  # at most ``size`` short vectors
     x, y = np.array([r.x for r in seen]), np.array([r.toxic for r in seen], float)
     order = np.lexsort((y, *x.T))
     return {"terms": terms, "weights": _logistic(x[order], y[order])}
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.float64()), pa.array([int(g[0] >= 0.5) for g in got], pa.int32()), pa.array([g[1] for g in got], pa.int32())], ["doc_id", "held_out", "score", "predicted", "clauses"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), common.text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, clauses int")
+    return rows.mapInArrow(common.lean(run), "doc_id long, held_out boolean, score double, predicted int, clauses int")
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn_from: DataFrame | None = None) -> DataFrame:
