@@ -28,6 +28,16 @@ def test_label_score_makes_each_form_once(spark):
     assert scored.first().s > 30_000
 
 
+def test_letters_are_scored_without_lambda(spark):
+    assert "lambda" not in plan(npr.best_labels(X.regions(spark, SF)))
+    english, hindi = ([x for pair in dims.NPR_LABELS.values() for x in pair[k]] for k in (0, 1))
+    texts = [(t,) for t in ("Name: A", "the name", "Name", "Ref. No. 7", "reference", "पता", "पता: x", "पत्र संख्या - 4", "NAMES", "x: Name", "", None)]
+    head = F.split("text", "[:：]", 2)[0]
+    told = spark.createDataFrame(texts, "text string").select(npr.field_label(F.col("text")).alias("a"), (npr.label_score(head, english, hindi) > 0).alias("b"))
+    assert [r.a for r in told.collect()] == [r.b for r in told.collect()] == [True, False, True, True, False, True, True, True, False, False, False, False]
+    assert "lambda" not in plan(told.select("a"))
+
+
 def test_split_licence_drops_most_rows_by_one_search(spark):
     rows = spark.createDataFrame([(1, 0, 0, "MH12", 10, 20, 60, 40, 0.9), (1, 0, 1, "2011", 70, 20, 120, 40, 0.9), (1, 0, 2, "0012345", 130, 20, 200, 40, 0.9)], "doc_id long, page_no int, seq int, text string, left int, top int, right int, bottom int, confidence double")
     found = extras.split_licence(rows)
