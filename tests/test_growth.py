@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioscan.operators import cards, extras, layout, npr
+from folioscan.operators import cards, extras, job_card, layout, npr
 from folioscan.plans import dims
 from folioscan.plans import fixtures as X
 
@@ -38,6 +38,14 @@ def test_letters_are_scored_without_lambda(spark):
     assert "lambda" not in plan(told.select("a"))
 
 
+def test_leading_words_of_a_label_are_told_without_lambda(spark):
+    labels = {"name": ["Name", "Name of Head"], "block": ["Block"]}
+    rows = [("name of head anil", "name"), ("name of heads", "name"), ("names", "name"), ("block name", "name"), ("block", "block"), ("", "block")]
+    told = spark.createDataFrame(rows, "whole string, field string").select(job_card.leading_words(F.col("whole"), F.col("field"), labels).alias("n"))
+    assert [r.n for r in told.collect()] == [3, 1, 0, 0, 1, 0]
+    assert "lambda" not in plan(told)
+
+
 def test_split_licence_drops_most_rows_by_one_search(spark):
     rows = spark.createDataFrame([(1, 0, 0, "MH12", 10, 20, 60, 40, 0.9), (1, 0, 1, "2011", 70, 20, 120, 40, 0.9), (1, 0, 2, "0012345", 130, 20, 200, 40, 0.9)], "doc_id long, page_no int, seq int, text string, left int, top int, right int, bottom int, confidence double")
     found = extras.split_licence(rows)
