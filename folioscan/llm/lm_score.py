@@ -59,53 +59,73 @@ class Network:
         net.low_bias[:] = 0
         return net
 
-    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = self.embed[context]
-        return near, (near * self.place).sum(1)
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        """Sum of the context's embeddings, each weighted by its position: a table a position, so no product is made twice."""
+        h = (self.embed * self.place[0])[context[:, 0]]
+        for k in range(1, 2 * SIDE):
+            h += (self.embed * self.place[k])[context[:, k]]
+        return h
 
     @staticmethod
-    def softmax(logits: np.ndarray) -> np.ndarray:
-        logits -= logits.max(1, keepdims=True)
+    def softmax(logits: np.ndarray, axis: int = 1) -> np.ndarray:
+        logits -= logits.max(axis, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
+        logits /= logits.sum(axis, keepdims=True)
         return logits
 
+    def shares(self, h: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of classes and of slots within the own class, a column a word; words lie by class, which begin at ``cuts``.
+
+        Columns of all words are normalised at once: sums and maxima run along memory, not over 32 values a word.
+        """
+        within = np.empty((PER_CLASS, len(h)), np.float32)
+        for c in range(CLASSES):
+            if cuts[c] < cuts[c + 1]:
+                within[:, cuts[c] : cuts[c + 1]] = self.low[c] @ h[cuts[c] : cuts[c + 1]].T + self.low_bias[c][:, None]
+        return self.softmax(self.top @ h.T + self.top_bias[:, None], 0), self.softmax(within, 0)
+
+    @staticmethod
+    def by_class(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of words by class, and where each class begins."""
+        top = (words // PER_CLASS).astype(np.uint8)
+        order = np.argsort(top, kind="stable")
+        return order, np.searchsorted(top[order], np.arange(CLASSES + 1))
+
     def log_probs(self, words: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Conditional log-probability of each word."""
-        _, h = self.hidden(context)
-        top, low = words // PER_CLASS, words % PER_CLASS
-        p = self.softmax(h @ self.top.T + self.top_bias)[np.arange(len(words)), top]
-        for c in range(CLASSES):
-            own = np.flatnonzero(top == c)
-            if len(own):
-                p[own] *= self.softmax(h[own] @ self.low[c].T + self.low_bias[c])[np.arange(len(own)), low[own]]
+        order, cuts = self.by_class(words)
+        own, at = words[order], np.arange(len(words))
+        of_class, within = self.shares(self.hidden(context[order]), cuts)
+        p = np.empty(len(words), np.float32)
+        p[order] = of_class[own // PER_CLASS, at] * within[own % PER_CLASS, at]
         return np.log(np.maximum(p, 1e-30).astype(np.float64))
 
     def step(self, words: np.ndarray, context: np.ndarray, memory: Network) -> None:
         """One Adagrad step on the mean negative log-probability."""
-        n = len(words)
-        near, h = self.hidden(context)
-        top, low = words // PER_CLASS, words % PER_CLASS
+        order, cuts = self.by_class(words)
+        words, context = words[order], context[order]
+        n, at = len(words), np.arange(len(words))
+        h = self.hidden(context)
+        p, q = self.shares(h, cuts)
         grad = Network(np.zeros(self.SIZE, np.float32))
-        p = self.softmax(h @ self.top.T + self.top_bias)
-        p[np.arange(n), top] -= 1
-        grad.top[:], grad.top_bias[:] = p.T @ h, p.sum(0)
-        back = p @ self.top
-        order = np.argsort(top, kind="stable")
-        cuts = np.searchsorted(top[order], np.arange(CLASSES + 1))
+        p[words // PER_CLASS, at] -= 1
+        q[words % PER_CLASS, at] -= 1
+        grad.top[:], grad.top_bias[:] = p @ h, p.sum(1)
+        back = p.T @ self.top
         for c in range(CLASSES):
-            own = order[cuts[c] : cuts[c + 1]]
-            if len(own):
-                mine = h[own]
-                q = self.softmax(mine @ self.low[c].T + self.low_bias[c])
-                q[np.arange(len(own)), low[own]] -= 1
-                grad.low[c], grad.low_bias[c] = q.T @ mine, q.sum(0)
-                back[own] += q @ self.low[c]
-        grad.place[:] = (near * back[:, None, :]).sum(0)
-        ids = context.ravel()
-        spread = (back[:, None, :] * self.place).reshape(-1, WIDTH)
+            if cuts[c] < cuts[c + 1]:
+                mine = slice(cuts[c], cuts[c + 1])
+                grad.low[c], grad.low_bias[c] = q[:, mine] @ h[mine], q[:, mine].sum(1)
+                back[mine] += q[:, mine].T @ self.low[c]
+        # what comes back to a slot at a position; the gradients of embeddings and positions both follow from it
+        size = SLOTS + 1
+        ids = (context.T + size * np.arange(2 * SIDE)[:, None]).ravel()
+        met = np.empty((2 * SIDE, size, WIDTH), np.float32)
         for d in range(WIDTH):
-            grad.embed[:, d] = np.bincount(ids, weights=spread[:, d], minlength=SLOTS + 1)
+            met[:, :, d] = np.bincount(ids, weights=np.tile(back[:, d], 2 * SIDE), minlength=2 * SIDE * size).reshape(2 * SIDE, size)
+        grad.place[:] = (met * self.embed).sum(1)
+        for k in range(2 * SIDE):
+            grad.embed += met[k] * self.place[k]
         grad.flat /= n
         memory.flat += grad.flat**2
         self.flat -= RATE * grad.flat / (np.sqrt(memory.flat) + 1e-6) * 0.3
