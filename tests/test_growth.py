@@ -70,3 +70,7 @@ def test_labels_of_a_card_are_gathered_not_picked_field_by_field(spark):
     regions = X.regions(spark, SF)
     aadhaar, voter = plan(cards.extract_aadhaar_cards(regions)), plan(cards.extract_voter_cards(regions))
     assert "max_by(struct(page_no" not in aadhaar + voter
+
+
+def test_a_region_that_labels_many_fields_meets_its_page_once(spark):
+    assert "collect_list(struct(doc_type" in plan(layout.label_values(X.regions(spark, SF)))
