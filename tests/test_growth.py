@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from folioscan.operators import cards, extras, job_card, layout, npr
+from folioscan.operators import assess, cards, extras, job_card, layout, npr
 from folioscan.plans import dims
 from folioscan.plans import fixtures as X
 
@@ -74,3 +74,14 @@ def test_labels_of_a_card_are_gathered_not_picked_field_by_field(spark):
 
 def test_a_region_that_labels_many_fields_meets_its_page_once(spark):
     assert "collect_list(struct(doc_type" in plan(layout.label_values(X.regions(spark, SF)))
+
+
+def test_assessment_deals_regions_by_document_only(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for job in (assess.assess_extraction, assess.scan_results):
+            done = job(X.regions(spark, SF))._jdf.queryExecution().executedPlan().toString()
+            moves = [line for line in done.split("\n") if "Exchange hashpartitioning(" in line]
+            assert moves and not [m for m in moves if "page_no" in m or "ENSURE_REQUIREMENTS" in m]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
