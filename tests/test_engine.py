@@ -1,5 +1,6 @@
 """Published expectations on small tables, plan shape, and SQL twins at the smallest scale."""
 
+import json
 import os
 
 import duckdb
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import checksum, dates
 from folioscan.functions import identifiers as I
 from folioscan.functions import text as T
-from folioscan.operators import assess, classify, evaluate, extract, layout, mrz
+from folioscan.operators import assess, classify, evaluate, extract, layout, mrz, routing
 from folioscan.operators import regions as R
 from folioscan.plans import fixtures, registry
 from folioscan.sources import ingest
@@ -212,3 +213,11 @@ def test_sql_twins(spark, name):
     got = sorted(repr(tuple(fold(r[c]) for c in columns)) for r in frame.collect())
     found = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
     assert got == sorted(repr(tuple(map(fold, r))) for r in found)
+
+
+def test_results_of_cards_are_whole_objects(spark):
+    row = json.loads(registry.queries()["results_to_json"](spark, SF).filter("doc_id = 6").first().json)
+    assert len(row) == 22 and row["fields"] is None and row["probeText"] == [] and row["documentType"] == "pan"
+    assert row["panFields"]["panNumber"] and set(row["panFields"]) == {"panNumber", "name", "fatherName", "dateOfBirth"} and row["aadhaarFields"] is None
+    unread = json.loads(ingest.to_json(routing.result_objects(routing.route_cards(page(spark, [("total 100", 0, 0, 10, 10)]), "2024-06-01")), with_id=False).first().json)
+    assert (unread["status"], unread["unsupportedReason"], unread["warnings"], unread["panFields"]) == ("unsupported_page", "UNSUPPORTED_DOCUMENT", ["NO_DOCUMENT_HINTS"], None)
